@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +72,25 @@ def _as_utc(stamp: Column) -> Column:
     return F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def parses(text: str, format_: str) -> bool:
+    try:
+        datetime.strptime(text.strip(), format_)
+    except ValueError:
+        return False
+    return True
+
+
+def candidates(values: list[str]) -> list[str]:
+    """The ladder's formats, in order, that parse all of a few strings."""
+    return [f for f in ladder() if all(parses(v, f) for v in values)] if values else []
+
+
 def infer_format(df: DataFrame, name: str, rows: int = 100) -> str | None:
     """The first format of the ladder that parses all of up to `rows` non-null strings, else the one that parses most; None if
     none parses any."""
-    sample = df.select(F.trim(F.col(f"`{name}`").cast("string")).alias("c")).where(F.col("c").isNotNull()).limit(rows)
-    formats = ladder()
-    shaped = sample.select("c", *(F.try_to_timestamp("c", F.lit(spark_pattern(f))).isNotNull().cast("int").alias(f"f{i}") for i, f in enumerate(formats)))
-    got = shaped.agg(F.count("c").alias("n"), *(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(formats)))).first()
-    hits = [(-(got[f"f{i}"] or 0), i) for i in range(len(formats))]
-    best, i = min(hits)
-    return formats[i] if best < 0 else None
+    values = [r[0] for r in df.select(F.col(f"`{name}`").cast("string")).dropna().limit(rows).collect()]
+    if found := candidates(values):
+        return found[0]
+    hits = [(-sum(parses(v, f) for v in values), i, f) for i, f in enumerate(ladder())]
+    best, _, format_ = min(hits)
+    return format_ if best < 0 else None

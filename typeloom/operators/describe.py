@@ -8,6 +8,8 @@ exact quantiles of all numeric columns together.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,18 +28,26 @@ def distinct_and_mode(df: DataFrame, columns: list[str], with_mode: list[str]) -
     branches = []
     for i, c in enumerate(columns):
         by = df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        total = by.agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("most"))
-        branches.append(total.select(F.lit(i).alias("i"), "distinct", "most"))
+        mode = F.min(F.struct(-F.col("n"), "v"))["v"].cast("string") if c in with_mode else F.lit(None).cast("string")
+        branches.append(by.agg(F.count(F.lit(1)).alias("distinct"), mode.alias("mode")).select(F.lit(i).alias("i"), "distinct", "mode"))
     if not branches:
         return {}
-    found = {columns[r.i]: r for r in reduce(DataFrame.unionByName, branches).collect()}
-    modes = {}
-    for c in with_mode:
-        if found[c].distinct:
-            by = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).where(F.col("v").isNotNull())
-            modes[c] = by.where(F.col("n") == found[c].most).agg(F.min("v").alias("v"))
-    values = {c: m.first().v for c, m in modes.items()}
-    return {c: (found[c].distinct, values.get(c)) for c in columns}
+    return {columns[r.i]: (r.distinct, _value(r.mode, df.schema[columns[r.i]].dataType)) for r in reduce(DataFrame.unionByName, branches).collect()}
+
+
+def _value(text: str | None, kind: T.DataType):
+    """What Spark's text of a value stands for."""
+    if text is None or isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, L.WHOLE):
+        return int(text)
+    if isinstance(kind, T.BooleanType):
+        return text == "true"
+    if isinstance(kind, T.DecimalType):
+        return Decimal(text)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return float(text)
+    return datetime.fromisoformat(text) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else date.fromisoformat(text) if isinstance(kind, T.DateType) else text
 
 
 def describe_dict(table, include=None, callback: Callable | None = None, results_callback: Callable | None = None, extra_stats: bool = False, bins: int = 10, top_x: int = 10, recent_x: int = 10) -> dict[str, dict]:

@@ -21,79 +21,68 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
 
     Columns are numeric; nulls and NaN are left out.
     """
-    most = config.get_option("exact_values_in_a_task")
-    value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
     if not columns:
         return {}
+    most = config.get_option("exact_values_in_a_task")
+    value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
     row = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(value.values()))).first()
     sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    # wanted: for each place among the sorted values the bracket that holds it, with the number of values below the bracket
-    wanted = {(c, k): (None, None) for c in columns if sizes[c] for p in probabilities for x in [(sizes[c] - 1) * p] for k in (math.floor(x), math.ceil(x))}
+    # For each place among the sorted values the bracket that holds it: least and greatest value, values below it, values in it.
+    places = {(c, k): (None, None, 0, sizes[c]) for c in columns if sizes[c] for p in probabilities for x in [(sizes[c] - 1) * p] for k in (math.floor(x), math.ceil(x))}
     found: dict[tuple[str, int], float] = {}
-    while todo := [w for w in wanted if w not in found]:
-        spans = sorted({(c, *wanted[c, k]) for c, k in todo}, key=str)
-        inside = {s: _inside(value[s[0]], s) for s in spans}
-        below = {s: F.count_if(value[s[0]] < s[1]) if s[1] is not None else F.lit(0) for s in spans}
-        got = df.agg(*(e for i, s in enumerate(spans) for e in (below[s].cast("long").alias(f"b{i}"), F.count(inside[s]).alias(f"n{i}")))).first()
-        lists, sketches = [], []
-        for i, s in enumerate(spans):
-            (lists if got[f"n{i}"] <= most or s[1] is not None and s[1] == s[2] else sketches).append((i, s))
-        exprs = [F.array_sort(F.collect_list(inside[s])).alias(f"v{i}") if s[1] is None or s[1] != s[2] else F.lit(None).alias(f"v{i}") for i, s in lists]
-        asked = {}
-        for i, s in sketches:
-            n = got[f"n{i}"]
-            ps = set()
-            for c, k in todo:
-                if (c, *wanted[c, k]) == s:
-                    p = (k - got[f"b{i}"]) / n
-                    ps |= {max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)}
-            asked[i] = sorted(ps)
-            exprs.append(F.percentile_approx(inside[s], F.array(*map(F.lit, asked[i])), F.lit(ACCURACY)).alias(f"q{i}"))
+    while todo := {w: b for w, b in places.items() if w not in found}:
+        spans = sorted({(c, *b) for (c, _), b in todo.items()}, key=str)
+        exprs = []
+        for i, (c, low, high, below, n) in enumerate(spans):
+            if n <= most:
+                exprs.append(F.array_sort(F.collect_list(_inside(value[c], low, high))).alias(f"x{i}"))
+            else:
+                near = {min(1.0, max(0.0, (k - below) / n + d)) for (a, k), b in todo.items() if (a, *b) == spans[i] for d in (-2 / ACCURACY, 2 / ACCURACY)}
+                exprs.append(F.percentile_approx(_inside(value[c], low, high), F.array(*map(F.lit, sorted(near))), F.lit(ACCURACY)).alias(f"x{i}"))
         seen = df.agg(*exprs).first()
-        for i, s in lists:
-            for c, k in todo:
-                if (c, *wanted[c, k]) == s:
-                    held = seen[f"v{i}"]
-                    found[c, k] = s[1] if held is None else held[k - got[f"b{i}"]]
-        for i, s in sketches:
-            edges = [s[1], *seen[f"q{i}"], s[2]]
-            _narrow(df, value, wanted, [w for w in todo if (w[0], *wanted[w]) == s], edges)
+        edges: dict[str, set] = {}
+        for i, (c, low, high, below, n) in enumerate(spans):
+            if n <= most:
+                found |= {(a, k): seen[i][k - below] for (a, k), b in todo.items() if (a, *b) == spans[i]}
+            else:
+                edges.setdefault(c, set()).update(seen[i])
+        if edges:
+            _narrow(df, value, places, found, edges)
     out: dict[str, list[float] | None] = {}
     for c in columns:
-        if not sizes[c]:
-            out[c] = None
-            continue
-        out[c] = []
-        for p in probabilities:
+        out[c] = None if not sizes[c] else []
+        for p in probabilities if sizes[c] else ():
             x = (sizes[c] - 1) * p
             a, b = found[c, math.floor(x)], found[c, math.ceil(x)]
             out[c].append(a + (b - a) * (x - math.floor(x)))
     return out
 
 
-def _inside(v, span):
-    """v where it lies in the closed span."""
-    _, low, high = span
+def _inside(v, low, high):
+    """v where it lies between the two values, themselves left out; None bounds nothing."""
     ok = F.lit(True)
     if low is not None:
-        ok = ok & (v >= low)
+        ok = ok & (v > low)
     if high is not None:
-        ok = ok & (v <= high)
+        ok = ok & (v < high)
     return F.when(ok, v)
 
 
-def _narrow(df: DataFrame, value, wanted: dict, places: list, edges: list) -> None:
-    """Gives each place the closest pair of edges around it, by exact counts of the values up to each edge."""
-    column = places[0][0]
-    v = value[column]
-    real = sorted({e for e in edges if e is not None})
-    row = df.agg(*(e for i, x in enumerate(real) for e in (F.count_if(v < x).alias(f"l{i}"), F.count_if(v <= x).alias(f"u{i}")))).first()
-    for w in places:
-        k = w[1]
-        on = next((x for i, x in enumerate(real) if row[f"l{i}"] <= k < row[f"u{i}"]), None)
-        if on is not None:
-            wanted[w] = (on, on)
+def _narrow(df: DataFrame, value, places: dict, found: dict, edges: dict[str, set]) -> None:
+    """One pass of exact counts at all edges: a place that an edge's own value holds is found, others get closer brackets."""
+    flat = [(c, e) for c, es in edges.items() for e in sorted(es)]
+    row = df.agg(*(x for i, (c, e) in enumerate(flat) for x in (F.count_if(value[c] < e).alias(f"l{i}"), F.count_if(value[c] <= e).alias(f"u{i}")))).first()
+    at = {c: [(e, row[f"l{i}"], row[f"u{i}"]) for i, (d, e) in enumerate(flat) if d == c] for c in edges}
+    for (c, k), (low, high, below, n) in places.items():
+        if (c, k) in found or c not in at:
             continue
-        low = max((x for i, x in enumerate(real) if row[f"u{i}"] <= k), default=edges[0])
-        high = min((x for i, x in enumerate(real) if row[f"l{i}"] > k), default=edges[-1])
-        wanted[w] = (low, high)
+        end = below + n
+        for e, less, upto in at[c]:
+            if less <= k < upto:
+                found[c, k] = e
+                break
+            if upto <= k and upto >= below:
+                low, below = e, upto
+            if less > k and less <= end:
+                high, end = (e, less) if less < end or high is None else (high, end)
+        places[c, k] = (low, high, below, end - below)

@@ -201,14 +201,13 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
     return out
 
 
-def _dates(sample: DataFrame, columns: dict[str, str]) -> dict[str, bool]:
-    """Whether some one format parses all of a column's values."""
-    if not columns:
-        return {}
-    formats = datetimes.ladder()
-    exprs = []
-    for c in columns.values():
-        value = L.clean(F.col(c), T.StringType())
-        exprs += [F.every(F.coalesce(F.try_to_timestamp(F.trim(value), F.lit(datetimes.spark_pattern(f))).isNotNull(), value.isNull()) | value.isNull()) for f in formats]
-    row = sample.agg(*(e.alias(f"d{i}") for i, e in enumerate(exprs))).first()
-    return {c: any(row[i * len(formats) : (i + 1) * len(formats)]) for i, c in enumerate(columns)}
+def _dates(sample: DataFrame, columns: dict[str, str], rows: int = 100) -> dict[str, bool]:
+    """Whether some one format parses all of a column's values. A few values settle on the driver which formats are worth trying."""
+    tried, exprs = {}, []
+    for c, place in columns.items():
+        value = L.clean(F.col(place), T.StringType())
+        few = [r[0] for r in sample.select(value.alias("v")).dropna().limit(rows).collect()]
+        tried[c] = datetimes.candidates(few)
+        exprs += [F.every(F.try_to_timestamp(F.trim(value), F.lit(datetimes.spark_pattern(f))).isNotNull() | value.isNull()) for f in tried[c]]
+    row = iter(sample.agg(*(e.alias(f"d{i}") for i, e in enumerate(exprs))).first() if exprs else ())
+    return {c: any([next(row) for _ in fs]) for c, fs in tried.items()}

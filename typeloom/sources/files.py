@@ -116,7 +116,7 @@ def to_disk(table: TypedTable, path: str, format: str = "csv", filename: str = "
     df = table.df
     if kind == "csv":
         df = df.select(*(_as_text(f).alias(f.name) for f in df.schema))
-        options = {"header": True, "escape": '"', "emptyValue": '""', **options}
+        options = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **options}
     if kind == "arrow":
         _write_arrow(df, data)
     else:
