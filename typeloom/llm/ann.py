@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .shared import ship, written
 
 #: Distinct vectors that trees are grown over, at most (those that hash lowest); trees; sample rows of a leaf, at most.
-SAMPLE_ROWS, TREES, LEAF = 20_000, 10, 64
+SAMPLE_ROWS, TREES, LEAF = 20_000, 20, 48
 
 #: Leaves are taken until they hold this share of the sample, over all trees (repeats counted), but not below LEAST rows of it.
-SHARE, LEAST = 0.5, 4_000
+SHARE, LEAST = 0.65, 4_000
 
 #: Rows of a leaf that are compared at a time; a larger leaf is dealt over several tasks.
 BLOCK = 4096
