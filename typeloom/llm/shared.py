@@ -23,11 +23,17 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that the Python side handles at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+#: Bytes of rows that Spark hands to Python at a time, where the session has its own default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers whose path does not hold it already."""
+    """Makes this package importable in Python workers whose path does not hold it already, and bounds the batches they get."""
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if getattr(context, "_shipped_packages", None) == PACKAGE:
         return

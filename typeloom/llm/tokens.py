@@ -27,7 +27,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Entries of each of the two generations of an encoder's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 80_000
 
 _SPACE_CHARS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
