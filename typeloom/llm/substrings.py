@@ -2,8 +2,9 @@
 
 Level 1 looks at windows of half the wanted length, and of these only at each full window's minimizer: the one of its
 half windows that hashes least. Equal full windows have equal minimizers, so a full window can repeat only if its
-minimizer repeats between documents. Level 2 extends those that do to the full length and groups them exactly. With
-`grow`, windows that repeat go on to twice the length, level by level, until no candidates survive.
+minimizer repeats between documents. Level 2 extends those that do to the full length and groups them exactly. Longer
+repeats are found by further doubling: a window of twice the length is a candidate only if both of its halves repeat, and
+its identity is that of the pair of halves, so that texts are not read again; this ends when no candidates survive.
 """
 
 from __future__ import annotations
@@ -45,9 +46,13 @@ def windows(raw: np.ndarray, bounds: np.ndarray, size: int):
     return row, place - at[row], least, place, h
 
 
-def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, tie (a hash of the text) and positions: the first words, ascending, of all windows of `size` words that also start in
-    a document with a smaller doc_id. Documents without such windows give no row, nor does a null doc_id."""
+def occurrences(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """k1, k2 (together a window's hash), doc_id and place of windows of `size` words that may repeat between documents.
+
+    All windows that do repeat are among them; a fixed-size filter lets some others pass. place holds a hash of the text in
+    its upper 31 bits, which tells rows with one doc_id apart, and the first word's place in its lower 32. Rows without a
+    doc_id are left out.
+    """
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -82,12 +87,46 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 names=["k1", "k2", "doc_id", "place"],
             )
 
-    found = source.withColumn("tie", F.xxhash64("text")).mapInArrow(full, "k1 long, k2 int, doc_id long, place long")
+    return source.withColumn("tie", F.xxhash64("text")).mapInArrow(full, "k1 long, k2 int, doc_id long, place long")
+
+
+def _repeating(found: DataFrame) -> DataFrame:
+    """Occurrences whose window starts in more than one document, with the least of these as `least`.
+
+    The repeated windows are written first: both sides of the join are then plain exchanges, whose hot keys Spark can split.
+    """
     first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    again = found.join(first, ["k1", "k2"]).where("doc_id > least")
+    return found.join(written(first, "repeats"), ["k1", "k2"])
+
+
+def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, tie (a hash of the text) and positions: the first words, ascending, of all windows of `size` words that also start in
+    a document with a smaller doc_id. Documents without such windows give no row, nor does a null doc_id."""
+    again = _repeating(occurrences(docs, size)).where("doc_id > least")
     return again.groupBy("doc_id", F.shiftright("place", 32).alias("tie")).agg(F.array_sort(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("positions"))
 
 
+def longest_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, position and length of windows of size, 2 size, 4 size ... words that start in more than one document too.
+
+    For each place the longest such window alone. Each level joins the level below with itself, at a distance of its
+    length, and is a written table; an empty level ends the doubling. Rows as in occurrences().
+    """
+    level = written(_repeating(occurrences(docs, size)).select("k1", "k2", "doc_id", "place"), "level")
+    out, length = None, size
+    while level.take(1):
+        left, right = level.alias("l"), level.alias("r")
+        pair = left.join(right, (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.place") + length == F.col("r.place")))
+        k1 = F.xxhash64("l.k1", "l.k2", "r.k1", "r.k2")
+        k2 = F.hash("r.k2", "r.k1", "l.k2", "l.k1")
+        longer = written(_repeating(pair.select(k1.alias("k1"), k2.alias("k2"), F.col("l.doc_id").alias("doc_id"), F.col("l.place").alias("place"))).select("k1", "k2", "doc_id", "place"), "level")
+        final = level.join(longer.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_anti")
+        final = final.select("doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("position"), F.lit(length).alias("length"))
+        out = final if out is None else out.unionByName(final)
+        level, length = longer, 2 * length
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, position int, length int")
+
+
 def covered(positions: np.ndarray, size: int, n_words: int) -> np.ndarray:
     """Which of a document's words a window covers."""
     step = np.zeros(n_words + 1, dtype=np.int64)
