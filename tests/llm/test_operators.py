@@ -245,6 +245,22 @@ def test_substring_dedup(spark, tables, source):
     assert sum(n for _, _, n, _ in want) > 0
 
 
+def test_repeats_double_until_none_survives(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(230)]
+    table = [(1, shared[:230]), (2, [word() for _ in range(20)] + shared[10:225]), (3, shared[:60] + [word()]), (4, [word() for _ in range(80)])]
+    got = {(r.doc_id, r.position): r.length for r in substrings.longest_repeats(spark.createDataFrame([(d, " ".join(w)) for d, w in table], "doc_id long, text string")).collect()}
+    want = {}
+    for size in (50, 100, 200, 400):
+        held = defaultdict(set)
+        for d, w in table:
+            for i in range(len(w) - size + 1):
+                held[tuple(w[i : i + size])].add((d, i))
+        want |= {x: size for places in held.values() if len({d for d, _ in places}) > 1 for x in places}
+    assert got == want and set(want.values()) == {50, 100, 200}
+
+
 def test_kept_text_of_untouched_documents_is_whole(spark, docs, rows):
     out = substrings.deduplicated(docs, keep=["source"]).where("n_removed = 0").select("doc_id", "kept_text").collect()
     texts = {(r[0], r[1] or "") for r in rows}
