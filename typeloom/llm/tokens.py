@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 
@@ -27,13 +28,21 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Entries of each of the two generations of an encoder's cache.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 150_000
 
 _SPACE_CHARS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters with closing marks after them; an apostrophe may start a pre-token of its own kind.
+_TAILED = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]+)").fullmatch
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else np.array(ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, the same ids as encode_batch(texts, add_special_tokens=False).
 
@@ -55,6 +64,7 @@ class Encoder:
             self.opens[i] = token.startswith("Ġ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @staticmethod
     def at(path: str) -> "Encoder":
@@ -71,14 +81,23 @@ class Encoder:
         if not self.by_chunk:
             return self.plain(texts)
         parts = [self._cut(t) for t in texts]
-        found = [list(map(self.young.get, p)) for p in parts]
-        missing = {k for p, f in zip(parts, found, strict=True) if None in f for k, x in zip(p, f, strict=True) if x is None}
-        fresh = self._learn(missing)
-        heads = self.plain([p.head for p in parts])
+        found, holes = [], []
+        for p in parts:
+            f, at = list(map(self.young.get, p)), []
+            try:
+                i = f.index(None)
+                while True:
+                    at.append(i)
+                    i = f.index(None, i + 1)
+            except ValueError:
+                pass
+            found.append(f)
+            holes.append(at)
+        fresh = self._learn({p[i] for p, at in zip(parts, holes, strict=True) for i in at})
         out = []
-        for p, f, head in zip(parts, found, heads, strict=True):
-            if None in f:
-                f = [fresh[k] if x is None else x for k, x in zip(p, f, strict=True)]
+        for p, f, at, head in zip(parts, found, holes, self.plain([p.head for p in parts]), strict=True):
+            for i in at:
+                f[i] = fresh[p[i]]
             out.append(head + b"".join(f))
         return out
 
@@ -99,21 +118,41 @@ class Encoder:
         return chunks
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        fresh = {k: self.old[k] for k in missing if k in self.old}
-        unknown = [k for k in missing if k not in fresh]
-        simple = [k for k in unknown if " " not in k]
-        for at in range(0, len(simple), 500):
-            group = simple[at : at + 500]
+        """Ids of chunks, each with a space before it, and keeps them."""
+        fresh, stems, tailed = {}, set(), []
+        for k in missing:
+            if (x := self.old.get(k)) is not None:
+                fresh[k] = x
+            elif (m := _TAILED(k)) is not None:  # letters and what follows them are always pre-tokens of their own
+                tailed.append((k, *m.groups()))
+                stems.add(m[1])
+            else:
+                stems.add(k)
+        tails = {t for _, _, t in tailed if t not in self.tails}
+        self.tails.update(zip(tails, self.plain(list(tails)), strict=True))
+        known = {k: x for k in stems if (x := self.young.get(k) or self.old.get(k)) is not None}
+        unknown = [k for k in stems if k not in known]
+        word = self.tokenizer.model.tokenize
+        for k in unknown:  # a byte-level pre-token of ASCII letters is itself, after the mark for the space
+            if k.isascii() and k.isalpha():
+                known[k] = _packed([t.id for t in word("Ġ" + k)])
+        unknown = [k for k in unknown if k not in known]
+        for group in (g for at in range(0, len(unknown), 500) if (g := [k for k in unknown[at : at + 500] if " " not in k])):
             ids = np.frombuffer(self.plain([" " + " ".join(group)])[0], dtype="<u4")
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(group) and first[0] == 0:
-                fresh.update(zip(group, (x.tobytes() for x in np.split(ids, first[1:])), strict=True))
-        rest = [k for k in unknown if k not in fresh]
-        fresh.update(zip(rest, self.plain([" " + k for k in rest]), strict=True))
+                raw, cut = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
+                known.update((k, raw[a:b]) for k, a, b in zip(group, cut, cut[1:], strict=False))
+        rest = [k for k in unknown if k not in known]
+        known.update(zip(rest, self.plain([" " + k for k in rest]), strict=True))
+        fresh.update(known)
+        fresh.update((k, known[stem] + self.tails[t]) for k, stem, t in tailed)
         if len(self.young) + len(fresh) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         if len(fresh) <= CACHE_WORDS:
             self.young.update(fresh)
+        if len(self.tails) > 1000:
+            self.tails.clear()
         return fresh
 
 
