@@ -20,6 +20,9 @@ from ..config import config
 from ..functions import logical_types as L
 
 NO_FREQ = "NO_FREQ"
+
+#: Consecutive timestamps whose windows one group of rows holds.
+BLOCK = 50_000
 MICROS = [("D", 86_400_000_000), ("H", 3_600_000_000), ("T", 60_000_000), ("S", 1_000_000), ("L", 1_000), ("U", 1)]
 DAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
@@ -171,11 +174,21 @@ def candidates(rows: DataFrame, window: int | None = None) -> DataFrame:
     def alias(windows: pd.Series) -> pd.Series:
         return windows.map(lambda x: alias_of([pd.Timestamp(t).to_pydatetime() for t in x]) or NO_FREQ)
 
-    w = Window.orderBy("pos").rowsBetween(-(window - 1), 0)
-    full = rows.select(F.collect_list("ts").over(w).alias("x")).where(F.size("x") == window)
+    # Blocks of consecutive places, each with the first rows of the next, so that every window lies within one block.
+    dense = positioned(rows, "ts", ["pos"])
+    home = F.floor(F.col("pos") / BLOCK)
+    shared = F.when(F.col("pos") % BLOCK < window - 1, F.array(home - 1, home)).otherwise(F.array(home))
+    blocks = dense.withColumn("_home", home).withColumn("_block", F.explode(shared))
+    w = Window.partitionBy("_block").orderBy("pos").rowsBetween(0, window - 1)
+    full = blocks.select("_home", "_block", F.collect_list("ts").over(w).alias("x")).where((F.col("_home") == F.col("_block")) & (F.size("x") == window))
     return full.select(alias("x").alias("alias"), F.col("x")[0].alias("a"), F.col("x")[window - 1].alias("b")).groupBy("alias").agg(F.count(F.lit(1)).alias("count"), F.min("a").alias("min_dt"), F.max("b").alias("max_dt"))
 
 
+def steps(rows: DataFrame) -> DataFrame:
+    """pos, ts and b, the timestamp at the place before: places are consecutive, so a join finds it."""
+    return rows.join(rows.select((F.col("pos") + 1).alias("pos"), F.col("ts").alias("b")), "pos").where(F.col("b").isNotNull())
+
+
 def infer_frequency(df: DataFrame, name: str, order: list[str] | None = None, debug: bool = False, window_length: int | None = None, threshold: float | None = None):
     """The alias that fits all of a column's timestamps, else None; with debug also where the series departs from its likeliest.
 
@@ -209,7 +222,7 @@ def infer_frequency(df: DataFrame, name: str, order: list[str] | None = None, de
     if clean.count() < window:
         out.message = f"Series too short: {window} or more distinct timestamps are needed"
         return None, asdict(out)
-    back = clean.select((F.col("ts") < F.lag("ts").over(Window.orderBy("pos"))).alias("back")).where("back")
+    back = steps(positioned(clean, "ts", ["pos"])).where("ts < b")
     if back.take(1):
         out.message = "Series is not increasing"
         return None, asdict(out)
@@ -234,8 +247,7 @@ def _nulls(rows: DataFrame) -> bool:
 
 def _exact(rows: DataFrame) -> str | None:
     """The alias of the whole series, from its distinct steps and, where these differ, from aggregates over its calendar."""
-    before = F.lag("ts").over(Window.orderBy("pos"))
-    steps = rows.select("ts", before.alias("b")).where(F.col("b").isNotNull())
+    moves = steps(rows)
     micros = lambda c: F.unix_micros(F.to_utc_timestamp(c, "UTC").cast("timestamp"))
     last = F.last_day("ts")
     weekday_last = F.date_sub(last, F.greatest(F.lit(0), F.weekday(last) - 4))
@@ -244,7 +256,7 @@ def _exact(rows: DataFrame) -> str | None:
     day = F.to_date("ts")
     months = F.year("ts") * 12 + F.month("ts")
     month_step = months - (F.year("b") * 12 + F.month("b"))
-    s = steps.agg(F.count(F.lit(1)).alias("n"), F.min(micros("ts") - micros("b")).alias("low"), F.max(micros("ts") - micros("b")).alias("high"), F.min(month_step).alias("mlow"), F.max(month_step).alias("mhigh"), F.every((F.weekday("ts") < 5) & (F.weekday("b") < 5) & (F.datediff("ts", "b") == F.when(F.weekday("b") == 4, 3).otherwise(1))).alias("b")).first()
+    s = moves.agg(F.count(F.lit(1)).alias("n"), F.min(micros("ts") - micros("b")).alias("low"), F.max(micros("ts") - micros("b")).alias("high"), F.min(month_step).alias("mlow"), F.max(month_step).alias("mhigh"), F.every((F.weekday("ts") < 5) & (F.weekday("b") < 5) & (F.datediff("ts", "b") == F.when(F.weekday("b") == 4, 3).otherwise(1))).alias("b")).first()
     if not s.n or s.n < 2 or s.low <= 0:
         return None
     a = rows.agg(F.min("ts").alias("first"), F.min(F.date_format("ts", "HHmmssSSSSSS")).alias("t1"), F.max(F.date_format("ts", "HHmmssSSSSSS")).alias("t2"), F.every(day == last).alias("M"), F.every(day == first).alias("MS"), F.every(day == weekday_last).alias("BM"), F.every(day == weekday_first).alias("BMS")).first()
@@ -257,7 +269,7 @@ def _exact(rows: DataFrame) -> str | None:
         return _calendar(kind, s.mlow, a["first"].month)
     if s.b:
         return "B"
-    half = steps.agg(F.every(((F.dayofmonth("ts") == 15) != (F.dayofmonth("b") == 15)) & month_step.isin(0, 1) & ((F.dayofmonth("ts") == 15) | (day == last))).alias("ok")).first().ok
+    half = moves.agg(F.every(((F.dayofmonth("ts") == 15) != (F.dayofmonth("b") == 15)) & month_step.isin(0, 1) & ((F.dayofmonth("ts") == 15) | (day == last))).alias("ok")).first().ok
     return "SM-15" if half else None
 
 
