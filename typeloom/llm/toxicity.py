@@ -90,18 +90,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for at in range(0, n, 256):
         batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 256], pa.string())})
         sentence, feature, doc, *_ = sentences(*utf8(batch))
-        found.append((sentence + base, feature, doc + at))
+        found.append(((sentence + base).astype(np.int32), feature.astype(np.int32), (doc + at).astype(np.int32)))
         base += len(doc)
     sentence, feature, doc = (np.concatenate([f[i] for f in found]) for i in range(3))
+    del found
     y = np.asarray(labels, dtype=float)
-    in_docs = np.unique(doc[sentence] * FEATURES + feature)
+    in_docs = np.unique(doc[sentence].astype(np.int64) * FEATURES + feature)
     held, held_toxic = (np.bincount(in_docs % FEATURES, w, minlength=FEATURES) for w in (None, y[in_docs // FEATURES]))
     kept = np.flatnonzero(held >= max(LEAST_DOCS, LEAST_SHARE * n))
     bad, good = held_toxic[kept] + 0.5, (held - held_toxic)[kept] + 0.5
     odds = np.log(bad / (y.sum() + 1)) - np.log(good / (n - y.sum() + 1))
     start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)  # the lower bound of a word's log odds ratio
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
+    del in_docs
     use = place[feature] >= 0
     sentence, feature = sentence[use], place[feature[use]]
     theta = np.concatenate([start, [MOST_BIAS, np.log(0.02 / 0.98)]])
