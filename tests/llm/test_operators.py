@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from typeloom.llm import ann, flac, media, mixing, packing, queries, sharding, simhash, substrings, tokens, toxicity, urls
+from typeloom.llm import ann, flac, jaccard, media, mixing, packing, queries, sharding, simhash, substrings, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -547,3 +547,59 @@ def test_pipeline_stages_chain(spark):
     got = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     check_packing(got, list(zip([d for d, _ in table], plain_ids([t for _, t in table]))))
     assert corpus_pipeline.run(spark, sf).count() == len(got)
+
+
+def brute_sets(texts):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = [[w.translate(low) for w in WORD.findall(t or "")] for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in held]
+
+
+def brute_jaccard_components(texts):
+    sets, parent = brute_sets(texts), list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    owners = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            owners[x].append(i)
+    for a, b in {(o[i], o[j]) for o in owners.values() for j in range(len(o)) for i in range(j)}:
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(len(texts))]
+
+
+def near_variants():
+    """Texts with some of their words changed, so that similarities lie on both sides of 0.8, and odd ones."""
+    rng, texts = random.Random(8), ["", None, " ", "one", "One", "two words", "a b c d e", "A b  c d e", "a b c d f"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((40, 120, 300)))]
+        for n in range(7):
+            text = list(base)
+            for _ in range(n * len(base) // 160):
+                text[rng.randrange(len(text))] = "other"
+            texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("source", ["variants", "blocks", "/root/testdata/sf0.01"])
+def test_pipeline_near_duplicates_share_four_fifths_of_their_shingles(spark, source, monkeypatch):
+    import corpus_pipeline
+
+    if source == "blocks":  # buckets that are compared block by block
+        monkeypatch.setattr(jaccard, "BLOCK", 2)
+        monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    if source.startswith("/"):
+        docs = spark.read.parquet(f"{source}/documents.parquet")
+    else:
+        docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(near_variants())], SCHEMA).repartition(3)
+    table = docs.select("doc_id", "text").collect()
+    least = {}
+    for r, root in zip(table, brute_jaccard_components([r.text for r in table]), strict=True):
+        least[root] = min(least.get(root, r.doc_id), r.doc_id)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, source).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
