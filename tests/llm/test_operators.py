@@ -441,6 +441,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert (out.predicted[y == 1] == 1).mean() > 0.6 and (out.predicted[y == 0] == 1).mean() < 0.02
 
 
+def test_toxicity_learns_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    out = queries.toxicity_scores(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    out = out.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").select("lang", "predicted", "toxic").toPandas()
+    for lang, rows in out.groupby("lang"):
+        caught, rejected = (rows.predicted[rows.toxic == t].mean() for t in (1, 0))
+        assert caught > 0.6 and rejected < 0.03, (lang, caught, rejected)
+
+
 def test_toxicity_finds_sentences_and_odd_rows(spark):
     bad, good = "you are a vile toad", "the sun is warm today"
     table = [(i, f"{good}. {bad}! {good}." if i % 2 else f"{good}. {good} indeed.") for i in range(60)] + [(60, None), (61, ""), (None, "toad"), (1, f"{bad}")]

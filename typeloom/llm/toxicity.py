@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's score is a logistic model of its distinct lower-cased letter runs, hashed to a fixed number of weights.
+A sentence's score is a logistic model of its distinct lower-cased letter runs and their first bytes, so that the forms
+of a rare word pool their evidence, hashed to a fixed number of weights.
 A document's score is a noisy-or of its sentences' scores and a leak, which takes up labels that no sentence explains.
 Weights, bias and leak are fitted to document labels by gradient steps (Adam) on the document likelihood.
 """
@@ -20,11 +21,14 @@ from .shared import BYTE_CODES, BYTE_POWERS, mixed, runs_hashed, ship, slices, u
 #: Labelled documents that the model is fitted to, at most: those whose id hashes lowest.
 TRAIN_ROWS = 6000
 
-FEATURE_BITS = 18
+FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 
-#: A feature counts if so many training documents, and so large a share of them, hold it.
-LEAST_DOCS, LEAST_SHARE = 3, 0.003
+#: Besides a whole letter run, its first so many bytes are features.
+STARTS = (4, 5, 6, 7)
+
+#: A feature counts if so many training documents hold it.
+LEAST_DOCS = 3
 
 STEPS, RATE, RIDGE = 200, 0.05, 0.01
 
@@ -42,8 +46,8 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
 
 
-def sentences(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sentence, feature) pairs and the sentences' documents and bounds in raw.
+def sentences(raw: np.ndarray, bounds: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sentence, feature) pairs, of the used features if given, and the sentences' documents and bounds in raw.
 
     A sentence ends after a full stop, exclamation or question mark, a line's end or the text's end.
     """
@@ -56,10 +60,17 @@ def sentences(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inner = np.setdiff1d(bounds, [0, len(raw)])
     split = inner[inside[inner] & inside[inner - 1]] if len(raw) else inner
     starts, ends = np.sort(np.append(starts, split)), np.sort(np.append(ends, split))
-    h = mixed(runs_hashed(BYTE_CODES[_FOLD[raw]], BYTE_POWERS, starts, ends))
-    feature = (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    codes, pairs = BYTE_CODES[_FOLD[raw]], []
     sentence = np.searchsorted(first, starts, side="right") - 1
-    pair = np.unique(sentence * FEATURES + feature)
+    for n in (0, *STARTS):
+        long = np.flatnonzero(ends - starts >= n)
+        h = mixed(runs_hashed(codes, BYTE_POWERS, starts[long], starts[long] + n if n else ends), n)
+        feature = (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        if used is not None:
+            some = used[feature]
+            long, feature = long[some], feature[some]
+        pairs.append(sentence[long] * FEATURES + feature)
+    pair = np.unique(np.concatenate(pairs))
     return pair // FEATURES, pair % FEATURES, doc, first, end
 
 
@@ -71,7 +82,7 @@ class Model:
 
     def score(self, raw: np.ndarray, bounds: np.ndarray):
         """Document scores; sentence scores with their documents and bounds."""
-        sentence, feature, doc, first, end = sentences(raw, bounds)
+        sentence, feature, doc, first, end = sentences(raw, bounds, self.weights != 0)
         z = self.bias + np.bincount(sentence, self.weights[feature], minlength=len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bounds) - 1)
@@ -85,27 +96,32 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     weights = np.zeros(FEATURES)
     if not 0 < sum(labels) < n:
         return Model(weights, -40.0, rate)
-    found = []
-    base = 0
-    for at in range(0, n, 256):
-        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 256], pa.string())})
-        sentence, feature, doc, *_ = sentences(*utf8(batch))
+    y = np.asarray(labels, dtype=float)
+
+    def parts(used=None):
+        for at in range(0, n, 256):
+            batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 256], pa.string())})
+            yield at, *sentences(*utf8(batch), used)[:3]
+
+    held, held_toxic = np.zeros(FEATURES), np.zeros(FEATURES)
+    for at, sentence, feature, doc in parts():
+        in_docs = np.unique((doc[sentence] + at) * FEATURES + feature)
+        held += np.bincount(in_docs % FEATURES, minlength=FEATURES)
+        held_toxic += np.bincount(in_docs % FEATURES, y[in_docs // FEATURES], minlength=FEATURES)
+    bad, good = held_toxic + 0.5, held - held_toxic + 0.5
+    odds = np.log(bad / (y.sum() + 1)) - np.log(good / (n - y.sum() + 1))
+    used = (held >= LEAST_DOCS) & (odds > 0)  # weights are 0 or more: others would have none
+    kept = np.flatnonzero(used)
+    start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)[kept]  # the lower bound of a feature's log odds ratio
+    found, base = [], 0
+    for at, sentence, feature, doc in parts(used):
         found.append(((sentence + base).astype(np.int32), feature.astype(np.int32), (doc + at).astype(np.int32)))
         base += len(doc)
     sentence, feature, doc = (np.concatenate([f[i] for f in found]) for i in range(3))
     del found
-    y = np.asarray(labels, dtype=float)
-    in_docs = np.unique(doc[sentence].astype(np.int64) * FEATURES + feature)
-    held, held_toxic = (np.bincount(in_docs % FEATURES, w, minlength=FEATURES) for w in (None, y[in_docs // FEATURES]))
-    kept = np.flatnonzero(held >= max(LEAST_DOCS, LEAST_SHARE * n))
-    bad, good = held_toxic[kept] + 0.5, (held - held_toxic)[kept] + 0.5
-    odds = np.log(bad / (y.sum() + 1)) - np.log(good / (n - y.sum() + 1))
-    start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)  # the lower bound of a word's log odds ratio
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    del in_docs
-    use = place[feature] >= 0
-    sentence, feature = sentence[use], place[feature[use]]
+    feature = place[feature]
     theta = np.concatenate([start, [MOST_BIAS, np.log(0.02 / 0.98)]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
