@@ -612,3 +612,13 @@ def test_pipeline_near_duplicates_share_four_fifths_of_their_shingles(spark, sou
         least[root] = min(least.get(root, r.doc_id), r.doc_id)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, source).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(least.values())
+
+
+def test_pipeline_near_duplicates_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    table = [(1, one), (1, one), (1, one), (2, two), (2, one), (3, two), (None, two), (None, three), (None, three), (None, ""), (None, None), (4, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in table], SCHEMA).repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(1, one), (2, two), (None, three), (None, ""), (4, "alone")])
