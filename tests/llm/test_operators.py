@@ -541,6 +541,12 @@ def test_nearest_odd_rows(spark):
     assert {k: sorted(v) for k, v in by.items()} == {0: [(i, i, 0.0) for i in range(1, 11)], 100: [(i + 1, i, 0.5) for i in range(10)]}
 
 
+def test_nearest_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    table = [(i, [float(i == j) for j in range(120)]) for i in range(120)]
+    got = ann.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(q, n + 1, i) for q in (0, 100) for n, i in enumerate([i for i in range(11) if i != q][:10])]
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 

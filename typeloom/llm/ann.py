@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
             if batch.num_rows:
                 leaf = sent.value.place(_matrix(batch.column(1), dim))
                 take = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), *(batch.column(i).take(take) for i in range(2))], names=["leaf", "class", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), *(batch.column(i).take(take) for i in range(3))], names=["leaf", "class", "v", "least"])
 
     def search(batches):
         for batch in batches:
@@ -162,35 +162,45 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), *(batch.column(i).take(take) for i in range(2))], names=["leaf", "class", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    placed = written(classes.select("class", "v").mapInArrow(index, f"leaf long, class long, v {kind}"), "leaves")
+    placed = written(classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, f"leaf long, class long, v {kind}, least long"), "leaves")
     wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = written(wanted.select("vec_id", F.xxhash64("v").alias("class")).distinct(), "queries")
     queries = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v").repartition(max(1, spark.sparkContext.defaultParallelism))
     chosen = written(queries.mapInArrow(search, f"leaf long, class long, v {kind}"), "chosen")
     sizes = placed.groupBy("leaf").count()
     blocks = F.broadcast(sizes.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # a row a leaf: bounded by the sample
-    left = placed.join(blocks, "leaf").select("leaf", F.pmod("class", "blocks").alias("block"), "class", "v")
+    left = placed.join(blocks, "leaf").select("leaf", F.pmod("class", "blocks").alias("block"), "class", "v", "least")
     right = chosen.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"), "class", "v")
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "class": [], "least": [], "score": []}).astype({"query": "int64", "class": "int64", "least": "int64", "score": "float64"})
         a, names = np.stack(x["v"].to_numpy()).astype(np.float64), x["class"].to_numpy()
+        ids = x["least"].to_numpy()
         b, asks = np.stack(q["v"].to_numpy()).astype(np.float64), q["class"].to_numpy()
         keep, parts = min(len(a), k + 1 + 16), []
         for at in range(0, len(b), 512):
             part = b[at : at + 512]
-            rough = (a * a).sum(axis=1) - 2 * part @ a.T
+            norms = (a * a).sum(axis=1)
+            rough = norms - 2 * part @ a.T
             top = np.argpartition(rough, keep - 1, axis=1)[:, :keep] if keep < len(a) else np.tile(np.arange(len(a)), (len(part), 1))
             d = np.sqrt(((a[top] - part[:, None, :]) ** 2).sum(axis=2))
-            order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+            order = np.lexsort((ids[top], d))[:, : k + 1]
             n = order.shape[1]
-            parts.append(pd.DataFrame({"query": np.repeat(asks[at : at + 512], n), "class": names[np.take_along_axis(top, order, 1)].ravel(), "score": np.take_along_axis(d, order, 1).ravel()}))
+            top, d = np.take_along_axis(top, order, 1), np.take_along_axis(d, order, 1)
+            if keep < len(a):  # more rows than were kept may be as near as the last that counts: these queries are compared with all of them
+                bound = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (norms.max() + (part * part).sum(axis=1))
+                for i in np.flatnonzero((rough <= bound[:, None]).sum(axis=1) > keep):
+                    some = np.flatnonzero(rough[i] <= bound[i])
+                    far = np.sqrt(((a[some] - part[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[some], far))[:n]
+                    top[i], d[i] = some[best], far[best]
+            parts.append(pd.DataFrame({"query": np.repeat(asks[at : at + 512], n), "class": names[top].ravel(), "least": ids[top].ravel(), "score": d.ravel()}))
         return pd.concat(parts)
 
-    near = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(compare, "query long, class long, score double")
-    best = near.groupBy("query", "class").agg(F.min("score").alias("score"))
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "class"))).where(F.col("_n") <= k + 1)
+    near = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(compare, "query long, class long, least long, score double")
+    best = near.groupBy("query", "class").agg(F.min("score").alias("score"), F.min("least").alias("least"))
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))).where(F.col("_n") <= k + 1)
     best = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     answers = best.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("near"))
     own = asked.join(answers, asked["class"] == answers["query"]).select(F.col("vec_id").alias("query_id"), "near")
