@@ -9,11 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from typeloom.llm import ann, flac, jaccard, media, mixing, packing, queries, sharding, simhash, substrings, tokens, toxicity, urls
+from typeloom.llm.shared import utf8
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,11 +78,26 @@ def test_empty_tables_give_no_rows(spark, nothing, name):
     assert queries.QUERIES[name](spark, nothing).count() == 0
 
 
+def encoded(encoder, texts):
+    ids, cuts = encoder.encode(*utf8(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})))
+    return [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+
+
 def test_encoder_equals_plain_tokenizer(rows):
     encoder = tokens.Encoder(tokens.tokenizer_path())
     texts = [r[1] or "" for r in rows] * 2
-    for got, want in zip(encoder.encode(texts), plain_ids(texts), strict=True):
-        assert np.frombuffer(got, dtype="<u4").tolist() == want[:-1]
+    assert encoded(encoder, texts) == [x[:-1] for x in plain_ids(texts)]
+
+
+def test_encoder_equals_plain_tokenizer_on_odd_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_UNITS", 500)  # so that units are forgotten too
+    monkeypatch.setattr(tokens, "LOOKED_UP", 1000)
+    encoder, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(3)
+    pieces = ["a", "B", "\u00e9", "\u00ff", "\u00d7", "\u00f7", "\u0101", "\u017f", "\u0180", "1", "23", " ", "  ", "\n", "\n\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "\u0085", "\x1c", "\x00", "'", "'s", "'ll"]
+    pieces += ["don't", ".", ",", "!!", "$", "<|endoftext|>", "<|", "\u6f22\u5b57", "\u304b", "\U0001f600", "word", "the", "\u200b", " ", "\u201c", "\u201d", "x" * 40, "\u00aa", "\u00b2", "\u0661"]
+    for _ in range(5):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+        assert encoded(encoder, texts) == [x[:-1] for x in plain_ids(texts)]
 
 
 @pytest.mark.parametrize("source", ["hard", SF])

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ship, written
-from .tokens import END_ID, encoded, tokenizer_path
+from .tokens import END_ID, binaries, encoded, tokenizer_path
 
 CAPACITY = 1024
 
@@ -34,16 +35,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     fields = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches):
-        for (doc_id,), ids in encoded(batches, path, end_id, ["doc_id"]):
-            row, piece, start, length, cut = [], [], [], [], []
-            for i, x in enumerate(ids):
-                n = len(x) // 4
-                first = n - (-(-n // capacity) - 1) * capacity
-                bounds = [0, *range(first, n + 1, capacity)]
-                for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    row.append(i), piece.append(p), start.append(a), length.append(b - a), cut.append(x[4 * a : 4 * b])
+        for (doc_id,), ids, cuts in encoded(batches, path, end_id, ["doc_id"]):
+            n = np.diff(cuts)
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = n - (many - 1) * capacity
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
             yield pa.RecordBatch.from_arrays(
-                [doc_id.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(cut, pa.binary())],
+                [doc_id.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), binaries(ids, np.append(cuts[row] + start, len(ids)))],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
