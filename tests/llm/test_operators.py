@@ -520,6 +520,30 @@ def test_mixing(spark, tables, source):
     assert Counter(map(tuple, got)) == Counter(map(tuple, queries.source_mix(spark, folder).collect()))
 
 
+def test_mixing_splits_groups_of_equal_rows(spark):
+    rows = [(None, "a", 10)] * 1000 + [(i, "b", 10) for i in range(1000)] + [(7, "c", 3)] * 50 + [(8, "c", 5)] + [(None, None, 0)] * 9
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(7)
+    got = mixing.mix(table).collect()
+    assert Counter((r.doc_id, r.source, r["size"]) for r in got) == Counter(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.times <= 3 and r.taken == r.times * r["size"]
+    for source, most in (("a", 10), ("b", 10), ("c", 5), (None, 0)):
+        assert abs(taken[source] - target[source]) <= most / 2, source
+    assert Counter(got) == Counter(mixing.mix(table).collect())
+
+
+def test_mixing_refuses_clashing_columns(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(1, "a", 1, 2)], "doc_id long, source string, size long, taken long"))
+    with pytest.raises(ValueError):
+        mixing.sized(spark.createDataFrame([("x", 1)], "text string, size long"))
+    got = mixing.mix(spark.createDataFrame([(1, "a", 1, 2), (2, "b", 1, 3)], "doc_id long, source string, size long, extra long")).collect()
+    assert sorted((r.doc_id, r.extra) for r in got) == [(1, 2), (2, 3)]
+
+
 def test_mixing_caps_small_sources(spark):
     sizes = {"a": 10, "b": 1000, "c": 30, None: 5, "d": 0}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}

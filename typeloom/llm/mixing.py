@@ -3,7 +3,7 @@
 Every source gets its weight's share of the total, but at most `most` times its own size; what a capped source leaves
 is shared among the others by weight until none is above its cap. A source's documents are then taken as many whole
 times as fit, and the rest of the target is a seeded sample of whole documents: those that come first in the order of
-a seeded hash. The cut in that order is found from sums by source and hash bucket, and row by row in one bucket alone.
+a seeded hash. The cut in that order is found from sums by source and hash bucket, and key by key in one bucket alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN
+from .shared import WORD_PATTERN, written
 
 EPOCHS, SEED = 3, 42
 
@@ -23,7 +23,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with `size`, its number of words (null text: 0)."""
+    """docs with `size`, its number of words (null text: 0). docs must not have a column of that name."""
+    if "size" in docs.columns:
+        raise ValueError("docs already has ['size']")
     return docs.withColumn("size", F.coalesce(F.expr(f"regexp_count(text, r'{WORD_PATTERN}')"), F.lit(0)).cast("long"))
 
 
@@ -53,35 +55,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """rows with source_size, target, times (how often the mix takes the row) and taken (its words so taken).
 
-    Needs doc_id, source and size (not null, 0 or more). rows is read several times, so pass a written table. Rows equal
-    in source, doc_id and size share one decision. A source of size 0 has target 0 and its rows are taken 0 times. The
-    words taken from a source miss its target by at most half of one document, or of one group of such equal rows.
+    Needs doc_id, source and size (not null, 0 or more); rows must not have the columns that are added. What the cut needs
+    of all rows is written first, as a narrow table, so a pass over rows and one more give the result. Rows equal in
+    source, doc_id and size share a place in the order; where the cut falls among them, as many of them are taken as come
+    nearest to the target, whatever their number. A source of size 0 has target 0 and its rows are taken 0 times. The words
+    taken from a source miss its target by at most half of one document. No rows: no rows.
     """
     spark = rows.sparkSession
     own = rows.columns
-    keys = keyed(rows, seed).withColumn("_bucket", F.shiftright("_key", BUCKET_SHIFT))
-    buckets = keys.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
+    if clash := {"source_size", "target", "times", "taken", "_key", "_bucket", "_whole", "_last", "_more", "_many", "_part", "_rank"} & set(own):
+        raise ValueError(f"rows already has {sorted(clash)}")
+    keys = keyed(rows, seed)
+    narrow = written(keys.select("source", "size", "_key"), "keys").withColumn("_bucket", F.shiftright("_key", BUCKET_SHIFT))
+    buckets = narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
     sizes = buckets.groupBy("source").agg(F.sum("_n").alias("source_size"))
     goal = targets(sizes, weights, most).withColumn("_whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("int"))
-    goal = goal.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    table = [tuple(r) for r in goal.limit(BROADCAST_SOURCES + 1).collect()]
-    if len(table) <= BROADCAST_SOURCES:
-        goal = F.broadcast(spark.createDataFrame(table, goal.schema))
+    goal = written(goal.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size")), "goals")
+    sources = goal.count()
     same = F.col("k.source").eqNullSafe(F.col("g.source"))
     over = Window.partitionBy("k.source").orderBy("_bucket")
-    edge = buckets.alias("k").join(goal.alias("g"), same).withColumn("_before", F.sum("_n").over(over) - F.col("_n"))
-    edge = edge.where((F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("_n") >= F.col("_part"))).select(F.col("k.source"), "_bucket", "_before", "_part")
-    edge = _small(edge, len(table))
-    inside = keys.alias("k").join(edge.alias("g"), same & (F.col("k._bucket") == F.col("g._bucket"))).groupBy(F.col("k.source").alias("source"), "_key", "_before", "_part").agg(F.sum("size").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_key"))
-    inside = inside.withColumn("_in", F.col("_before") + upto - F.col("_n") / 2 <= F.col("_part")).where("_in").groupBy("source").agg(F.max("_key").alias("_last"))
-    inside, edge = _small(inside, len(table)), edge.select("source", "_bucket")
-    out = keys.alias("k").join(goal.alias("g"), same, "left").select(*(F.col(f"k.`{c}`") for c in [*own, "_key", "_bucket"]), "source_size", "target", "_whole")
-    out = out.alias("k").join(_small(edge, len(table)).alias("g"), same, "left").select("k.*", F.col("g._bucket").alias("_edge"))
-    out = out.alias("k").join(inside.alias("g"), same, "left").select("k.*", F.col("_last"))
-    more = F.col("_edge").isNotNull() & ((F.col("_bucket") < F.col("_edge")) | (F.col("_bucket") == F.col("_edge")) & (F.col("_key") <= F.coalesce("_last", F.lit(-1))))
-    out = out.withColumn("times", F.col("_whole") + more.cast("int"))
-    return out.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    within = (F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("_n") >= F.col("_part"))  # the cut falls here
+    edge = buckets.alias("k").join(_small(goal, sources).alias("g"), same).withColumn("_before", F.sum("_n").over(over) - F.col("_n"))
+    edge = edge.where(within).select(F.col("k.source"), "_bucket", "_before", "_part")
+    inside = narrow.alias("k").join(_small(edge, sources).alias("g"), same & (F.col("k._bucket") == F.col("g._bucket")))
+    inside = inside.groupBy(F.col("k.source").alias("source"), "_key", "_before", "_part").agg(F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_many"))
+    inside = inside.withColumn("_before", F.col("_before") + F.sum("_n").over(Window.partitionBy("source").orderBy("_key")) - F.col("_n")).where(within)
+    more = F.least(F.floor((F.col("_part") - F.col("_before")) / (F.col("_n") / F.col("_many")) + 0.5), F.col("_many")).cast("long")
+    cut = inside.select("source", F.col("_key").alias("_last"), more.alias("_more"), "_many")
+    plan = goal.alias("k").join(_small(cut, sources).alias("g"), same, "left").select("k.*", "_last", "_more", "_many").drop("_part")
+    plan = written(plan, "plan")
+    out = keys.alias("k").join(_small(plan, sources).alias("g"), same, "left").select("k.*", "source_size", "target", "_whole", "_last", "_more", "_many")
+    names = [F.col(f"`{c}`") for c in own]
+    result = [*names, "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken")]
+    whole = F.coalesce((F.col("_key") < F.col("_last")) | (F.col("_key") == F.col("_last")) & (F.col("_more") > 0), F.lit(False))
+    decided = out.withColumn("times", F.col("_whole") + whole.cast("int"))
+    if not plan.where("0 < _more and _more < _many").take(1):
+        return decided.select(*result)
+    split = F.coalesce((F.col("_key") == F.col("_last")) & (F.col("_more") > 0) & (F.col("_more") < F.col("_many")), F.lit(False))
+    # Of the rows that the cut falls among, those with the first ranks are taken: ranks within parts, after the parts before.
+    rest = written(out.where(split).withColumn("_part", F.spark_partition_id()), "cut")
+    parts = rest.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_part").orderBy("_key"))).alias("k")
+    ranked = ranked.join(parts.alias("g"), same & (F.col("k._part") == F.col("g._part"))).select("k.*", "_before")
+    taken = ranked.withColumn("times", F.col("_whole") + (F.col("_before") + F.col("_rank") <= F.col("_more")).cast("int"))
+    return decided.where(~split).select(*result).unionByName(taken.select(*result))
 
 
 def _small(df: DataFrame, sources: int) -> DataFrame:

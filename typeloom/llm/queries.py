@@ -144,13 +144,19 @@ ORACLE_SQL = {
         ), g AS (
             SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM t
         ), h AS (
-            SELECT source, key, sum(size) AS n FROM k GROUP BY source, key
+            SELECT source, key, sum(size) AS n, count(*) AS m FROM k GROUP BY source, key
         ), u AS (
-            SELECT h.source, h.key, sum(n) OVER (PARTITION BY h.source ORDER BY key) - n / 2 <= target - whole * source_size AND target - whole * source_size > 0 AS more
+            SELECT h.source, h.key, n, m, sum(n) OVER (PARTITION BY h.source ORDER BY key) - n AS before, target - whole * source_size AS part
             FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source
+        ), v AS (
+            SELECT source, key, CASE WHEN before + n < part THEN m WHEN before >= part THEN 0
+                                     ELSE least(floor((part - before) / (n / m) + 0.5), m) END AS more
+            FROM u
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id) AS i FROM k
         )
-        SELECT k.doc_id, k.size, g.source_size, g.target, (k.size * (g.whole + u.more::BIGINT))::BIGINT AS taken
-        FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source
-               JOIN u ON k.source IS NOT DISTINCT FROM u.source AND k.key = u.key
+        SELECT r.doc_id, r.size, g.source_size, g.target, (r.size * (g.whole + (i <= v.more)::BIGINT))::BIGINT AS taken
+        FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
+               JOIN v ON r.source IS NOT DISTINCT FROM v.source AND r.key = v.key
     """,
 }
