@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are grown on the driver over a bounded sample and sent to all tasks; every row is placed in a leaf of each tree.
-A query walks all trees through one priority queue, ordered by the smallest margin on the way, and takes leaves until
-they hold enough of the sample. Leaves are searched where their rows lie: a task compares the queries that chose a leaf
-with the leaf's rows, in blocks of bounded size, by exact distances, and passes on the nearest of them alone.
+A query walks all trees through one priority queue and takes leaves in the order of how unlikely the sides are that lead
+to them, until they hold a share of the sample. How large a share finds enough of the true neighbours is measured on the
+sample itself, so that vectors with more structure are compared with fewer rows. Leaves are searched where their rows lie:
+a task holds neighbouring leaves of one tree, compares the queries that chose a leaf with that leaf's rows, reranks the
+nearest by exact distances and passes these on alone.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,27 +21,36 @@ from pyspark.sql import functions as F
 from .shared import ship, written
 
 #: Distinct vectors that trees are grown over, at most (those that hash lowest); trees; sample rows of a leaf, at most.
-SAMPLE_ROWS, TREES, LEAF = 20_000, 20, 48
+SAMPLE_ROWS, TREES, LEAF = 20_000, 6, 12
 
-#: Leaves are taken until they hold this share of the sample, over all trees (repeats counted), but not below LEAST rows of it.
-SHARE, LEAST = 0.65, 4_000
+#: Leaves are taken until they hold so many sample rows that this share of true neighbours is found within the sample, as
+#: measured with so many of its rows, but never fewer than LEAST rows of it.
+RECALL, TRIED, LEAST = 0.95, 64, 2_000
 
-#: Rows of a leaf that are compared at a time; a larger leaf is dealt over several tasks.
+#: Rows that a task compares with queries at a time, as estimated from the sample; cells of a tree have fewer sample rows.
 BLOCK = 4096
 
+#: Queries and exact distances that a task handles at a time.
+ASKED, EXACT = 512, 1 << 15
+
 SEED = 42
 
+#: Slope by which a logistic curve comes closest to the normal one.
+SLOPE = 1.702
+
 
 @dataclass
 class Forest:
-    """Inner nodes of all trees: a normal, an offset and two children; a child below 0 is leaf -1 - child. Leaves count
-    through all trees, with the number of sample rows that each holds."""
+    """Inner nodes of all trees: a normal, an offset, the spread about it and two children; a child below 0 is leaf -1 - child.
+    Leaves count through all trees, with the number of sample rows that each holds, and cells are runs of leaves of one tree."""
 
     normals: np.ndarray
     offsets: np.ndarray
+    spreads: np.ndarray
     children: np.ndarray
     roots: list[int]
     held: np.ndarray
+    cell: np.ndarray
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """Each vector's leaf in each tree."""
@@ -55,58 +65,86 @@ class Forest:
         return out
 
     def search(self, q: np.ndarray, rows: int) -> list[int]:
-        """Leaves in the order of the shared queue, until they hold so many sample rows."""
-        queue, found, n = [(-np.inf, r) for r in self.roots], [], 0
+        """Leaves in the order of the shared queue, until they hold so many sample rows.
+
+        A node's cost is the sum, over the way to it, of minus the logarithm of how likely a near point lies on that side.
+        """
+        side = SLOPE * (self.normals @ q - self.offsets) / self.spreads if len(self.normals) else self.offsets
+        left, right = np.logaddexp(0, side).tolist(), np.logaddexp(0, -side).tolist()
+        children, held = self.children.tolist(), self.held.tolist()
+        queue, found, n = [(0.0, r) for r in self.roots], [], 0
         heapq.heapify(queue)
-        margins = self.normals @ q - self.offsets if len(self.normals) else self.offsets
         while queue and n < rows:
-            far, at = heapq.heappop(queue)
-            while at >= 0:
-                m = margins[at]
-                near, other = (1, 0) if m >= 0 else (0, 1)
-                heapq.heappush(queue, (max(far, abs(m)), int(self.children[at, other])))
-                at = int(self.children[at, near])
-            found.append(-1 - at)
-            n += self.held[-1 - at]
+            cost, at = heapq.heappop(queue)
+            if at < 0:
+                found.append(-1 - at)
+                n += held[-1 - at]
+            else:
+                a, b = children[at]
+                heapq.heappush(queue, (cost + left[at], a))
+                heapq.heappush(queue, (cost + right[at], b))
         return found
 
 
-def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Forest:
-    """Splits by the plane between two sample points, as long as that parts the rows; else by the median along a random line."""
+def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, cell: int = BLOCK, seed: int = SEED) -> Forest:
+    """Projects a node's points on a line between the half that is near a random one of them and the rest, and splits them there
+    by the median; by one along a random line where that does not part them. Subtrees of at most `cell` points are cells."""
     rng = np.random.default_rng(seed)
-    normals, offsets, children, roots, held = [], [], [], [], []
+    normals, offsets, spreads, children, roots, held, cells = [], [], [], [], [], [], []
+    count = 0
+
+    def split(x: np.ndarray):
+        near = x @ x[rng.integers(len(x))]
+        close = near >= np.median(near)
+        lines = [x[close].mean(axis=0) - x[~close].mean(axis=0)] if not close.all() else []
+        for normal in [*lines, rng.standard_normal(x.shape[1])]:
+            if (norm := np.linalg.norm(normal)) > 0:
+                normal = normal / norm
+                z = x @ normal
+                offset = float(np.median(z))
+                for side in (z >= offset, z > offset):
+                    if side.any() and not side.all():
+                        return normal, offset if side[z == offset].all() else float(np.nextafter(offset, np.inf)), z.std(), side
+        return None
 
-    def node(rows: np.ndarray) -> int:
-        if len(rows) <= leaf:
-            held.append(len(rows))
+    def node(rows: np.ndarray, own: int) -> int:
+        nonlocal count
+        if own < 0 and len(rows) <= cell:
+            own, count = count, count + 1
+        parted = split(sample[rows]) if len(rows) > leaf else None
+        if parted is None:
+            if own < 0:
+                own, count = count, count + 1
+            held.append(len(rows)), cells.append(own)
             return -len(held)
-        x = sample[rows]
-        a, b = x[rng.choice(len(x), 2, replace=False)]
-        normal = a - b
-        norm = np.linalg.norm(normal)
-        side = None
-        if norm > 0:
-            normal = normal / norm
-            offset = float(normal @ (a + b) / 2)
-            side = x @ normal >= offset
-        if side is None or not 0.1 < side.mean() < 0.9:
-            normal = rng.standard_normal(x.shape[1])
-            normal /= np.linalg.norm(normal)
-            z = x @ normal
-            offset = float(np.median(z))
-            side = z >= offset
-            if side.all() or not side.any():
-                held.append(len(rows))
-                return -len(held)
+        normal, offset, spread, side = parted
         at = len(normals)
-        normals.append(normal), offsets.append(offset), children.append([0, 0])
-        children[at] = [node(rows[~side]), node(rows[side])]
+        normals.append(normal), offsets.append(offset), spreads.append(max(spread, 1e-12)), children.append([0, 0])
+        children[at] = [node(rows[~side], own), node(rows[side], own)]
         return at
 
     for _ in range(trees):
-        roots.append(node(np.arange(len(sample))))
+        roots.append(node(np.arange(len(sample)), -1))
     dim = sample.shape[1]
-    return Forest(np.array(normals).reshape(-1, dim), np.array(offsets, dtype=float), np.array(children, dtype=np.int64).reshape(-1, 2), roots, np.array(held, dtype=np.int64))
+    return Forest(np.array(normals).reshape(-1, dim), *(np.array(x, dtype=float) for x in (offsets, spreads)), np.array(children, dtype=np.int64).reshape(-1, 2), roots, *(np.array(x, dtype=np.int64) for x in (held, cells)))
+
+
+def share(forest: Forest, sample: np.ndarray, k: int, recall: float = RECALL, tried: int = TRIED) -> int:
+    """Sample rows that leaves need to hold so that a search finds the share `recall` of the k nearest within the sample."""
+    n = len(sample)
+    if n <= k + 1:
+        return n * len(forest.roots)
+    of = np.linspace(0, n - 1, min(tried, n)).astype(int)
+    leaves, need = forest.place(sample), []
+    norms = (sample * sample).sum(axis=1)
+    for i in of:
+        d = norms - 2 * sample @ sample[i]
+        d[i] = np.inf
+        order = forest.search(sample[i], n * len(forest.roots))
+        upto = np.zeros(len(forest.held), dtype=np.int64)
+        upto[order] = np.cumsum(forest.held[order])
+        need.append(upto[leaves[np.argpartition(d, k - 1)[:k]]].min(axis=1))
+    return max(LEAST, int(np.quantile(np.concatenate(need), recall)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -114,6 +152,34 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def nearest_of(q: np.ndarray, chosen: list[np.ndarray], x: np.ndarray, leaf: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places among q and x, and exact distances, of the k rows of its chosen leaves that are nearest to each query, ties by ids.
+    Rows are sorted by leaf."""
+    names, start = np.unique(leaf, return_index=True)
+    end = np.append(start[1:], len(leaf))
+    norms = (x * x).sum(axis=1)
+    asks = np.repeat(np.arange(len(q)), [len(c) for c in chosen])
+    wanted = np.searchsorted(names, flat := np.concatenate(chosen))
+    some = np.flatnonzero((wanted < len(names)) & (names[np.minimum(wanted, len(names) - 1)] == flat))
+    some = some[np.argsort(wanted[some], kind="stable")]
+    asks, wanted = asks[some], wanted[some]
+    rough = np.full((len(q), len(x)), np.inf)
+    for a, b in zip(edge := np.flatnonzero(np.diff(wanted, prepend=-1)), np.append(edge[1:], len(wanted)), strict=True):
+        own, rows = asks[a:b], slice(start[wanted[a]], end[wanted[a]])
+        rough[own, rows] = norms[rows] - 2 * q[own] @ x[rows].T
+    if len(x) > k:
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        last = last + 1e-9 * (norms.max() + (q * q).sum(axis=1))  # what rounding may have put behind it
+        at, to = np.nonzero((rough <= last[:, None]) & (rough < np.inf))
+    else:
+        at, to = np.nonzero(rough < np.inf)
+    far = np.concatenate([np.zeros(0), *(np.sqrt(((x[to[i : i + EXACT]] - q[at[i : i + EXACT]]) ** 2).sum(axis=1)) for i in range(0, len(at), EXACT))])
+    order = np.lexsort((ids[to], far, at))
+    at, to, far = at[order], to[order], far[order]
+    ok = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[ok], to[ok], far[ok]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v of the rows that take part: an id, and a vector that is not null or zero, with no null or non-finite
     component and of the most frequent length (of equally frequent lengths the smallest)."""
@@ -123,82 +189,95 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.size("v") == (dims.dim if dims else -1))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of each query's k nearest found.
 
     Queries are the usable rows whose vec_id is divisible by `every`, candidates all usable rows but the query's own, ties go
     to the smaller vec_id. Equal vectors are searched once: a vector stands for its k + 1 smallest ids, which no result can go
-    beyond. Rows with one id are told apart only by their vectors. No usable rows: no rows.
+    beyond. Rows with one id are told apart only by their vectors. Other columns are not read. No usable rows: no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors)
+    out = "query_id long, rank int, vec_id long, score double"
     ranked = rows.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     distinct = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = written(distinct.select(F.xxhash64("v").alias("class"), "v", "ids"), "vectors")
-    head = classes.orderBy("class").limit(SAMPLE_ROWS).select("v").toArrow()
-    out = "query_id long, rank int, vec_id long, score double"
+    classes = written(distinct.select(F.monotonically_increasing_id().alias("class"), "v", "ids"), "vectors")
+    n = classes.count()
+    head = classes.orderBy(F.xxhash64("v"), "class").limit(SAMPLE_ROWS).select("v").toArrow()
     if not head.num_rows:
         return spark.createDataFrame([], out)
     first = head.column("v").combine_chunks()
     dim = len(first[0])
     sample = _matrix(first, dim)
-    forest = grow(sample, trees)
-    enough = int(max(LEAST, share * len(sample)))
-    sent = spark.sparkContext.broadcast(forest)
+    each = n / len(sample)
+    forest = grow(sample, trees, cell=max(LEAF, int(BLOCK / each)))
+    enough = share(forest, sample, min(k, max(1, len(sample) - 1)), recall)
+    blocks = np.maximum(1, np.ceil(np.bincount(forest.cell, forest.held) * each / BLOCK)).astype(np.int64)
+    sent = spark.sparkContext.broadcast((forest, blocks))
+    kind = classes.schema["v"].dataType.simpleString()
+    fields = f"cell long, block long, asks boolean, class long, v {kind}, least long, leaves array<int>"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def index(batches):
+        forest, blocks = sent.value
         for batch in batches:
             if batch.num_rows:
-                leaf = sent.value.place(_matrix(batch.column(1), dim))
-                take = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), *(batch.column(i).take(take) for i in range(3))], names=["leaf", "class", "v", "least"])
+                leaf = forest.place(_matrix(batch.column(1), dim)).ravel()
+                rows = np.repeat(np.arange(batch.num_rows), len(forest.roots))
+                cell = forest.cell[leaf]
+                block = batch.column(0).to_numpy()[rows] % blocks[cell]
+                take = pa.array(rows)
+                leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1), pa.int32()), pa.array(leaf, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), pa.array(np.zeros(len(leaf), dtype=bool)), *(batch.column(i).take(take) for i in range(3)), leaves], names=names)
 
     def search(batches):
+        forest, blocks = sent.value
         for batch in batches:
-            if batch.num_rows:
-                found = [sent.value.search(q, enough) for q in _matrix(batch.column(1), dim)]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), *(batch.column(i).take(take) for i in range(2))], names=["leaf", "class", "v"])
+            for i in range(batch.num_rows):
+                found = np.array(forest.search(_matrix(batch.column(1).slice(i, 1), dim)[0], enough), dtype=np.int64)
+                found = found[np.argsort(forest.cell[found], kind="stable")]
+                cell, at = np.unique(forest.cell[found], return_index=True)
+                many = blocks[cell]
+                cells, parts = np.repeat(cell, many), np.split(found, at[1:])
+                block = np.arange(len(cells)) - np.repeat(np.cumsum(many) - many, many)
+                leaves = pa.array([parts[j] for j in np.repeat(np.arange(len(cell)), many)], pa.list_(pa.int32()))
+                same = pa.array(np.full(len(cells), i))
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(block), pa.array(np.ones(len(cells), dtype=bool)), *(batch.column(j).take(same) for j in (0, 1, 0)), leaves], names=names)
 
-    kind = classes.schema["v"].dataType.simpleString()
-    placed = written(classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, f"leaf long, class long, v {kind}, least long"), "leaves")
-    wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = written(wanted.select("vec_id", F.xxhash64("v").alias("class")).distinct(), "queries")
-    queries = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v").repartition(max(1, spark.sparkContext.defaultParallelism))
-    chosen = written(queries.mapInArrow(search, f"leaf long, class long, v {kind}"), "chosen")
-    sizes = placed.groupBy("leaf").count()
-    blocks = F.broadcast(sizes.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))  # a row a leaf: bounded by the sample
-    left = placed.join(blocks, "leaf").select("leaf", F.pmod("class", "blocks").alias("block"), "class", "v", "least")
-    right = chosen.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"), "class", "v")
-
-    def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query": [], "class": [], "least": [], "score": []}).astype({"query": "int64", "class": "int64", "least": "int64", "score": "float64"})
-        a, names = np.stack(x["v"].to_numpy()).astype(np.float64), x["class"].to_numpy()
-        ids = x["least"].to_numpy()
-        b, asks = np.stack(q["v"].to_numpy()).astype(np.float64), q["class"].to_numpy()
-        keep, parts = min(len(a), k + 1 + 16), []
-        for at in range(0, len(b), 512):
-            part = b[at : at + 512]
-            norms = (a * a).sum(axis=1)
-            rough = norms - 2 * part @ a.T
-            top = np.argpartition(rough, keep - 1, axis=1)[:, :keep] if keep < len(a) else np.tile(np.arange(len(a)), (len(part), 1))
-            d = np.sqrt(((a[top] - part[:, None, :]) ** 2).sum(axis=2))
-            order = np.lexsort((ids[top], d))[:, : k + 1]
-            n = order.shape[1]
-            top, d = np.take_along_axis(top, order, 1), np.take_along_axis(d, order, 1)
-            if keep < len(a):  # more rows than were kept may be as near as the last that counts: these queries are compared with all of them
-                bound = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (norms.max() + (part * part).sum(axis=1))
-                for i in np.flatnonzero((rough <= bound[:, None]).sum(axis=1) > keep):
-                    some = np.flatnonzero(rough[i] <= bound[i])
-                    far = np.sqrt(((a[some] - part[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[some], far))[:n]
-                    top[i], d[i] = some[best], far[best]
-            parts.append(pd.DataFrame({"query": np.repeat(asks[at : at + 512], n), "class": names[top].ravel(), "least": ids[top].ravel(), "score": d.ravel()}))
-        return pd.concat(parts)
-
-    near = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(compare, "query long, class long, least long, score double")
+    wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    asked = written(wanted.join(classes.select("v", "class"), "v").select("vec_id", "class"), "queries")
+    queries = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v").repartition(spark.sparkContext.defaultParallelism)
+    placed = classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, fields)
+    both = placed.unionByName(queries.mapInArrow(search, fields)).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+
+    def compare(batches):
+        own, held, x = None, [], None
+        for batch in batches:
+            cell, block, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | np.diff(asks)) + 1
+            for a, b in zip([0, *edge], [*edge, len(cell)], strict=True):
+                if b == a:
+                    continue
+                if own != (key := (cell[a], block[a])):
+                    own, held, x = key, [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append((_matrix(part.column(4), dim), part.column(6).flatten().to_numpy(), part.column(3).to_numpy(), part.column(5).to_numpy()))
+                    continue
+                if not held:
+                    continue
+                if x is None:
+                    x, leaf, names_, ids = (np.concatenate(y) for y in zip(*held, strict=True))
+                    order = np.argsort(leaf, kind="stable")
+                    x, leaf, names_, ids = x[order], leaf[order], names_[order], ids[order]
+                for c in range(0, part.num_rows, ASKED):
+                    some = part.slice(c, ASKED)
+                    chosen = np.split(some.column(6).flatten().to_numpy(), np.cumsum(some.column(6).value_lengths().to_numpy())[:-1])
+                    at, to, far = nearest_of(_matrix(some.column(4), dim), chosen, x, leaf, ids, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(some.column(3).to_numpy()[at]), pa.array(names_[to]), pa.array(ids[to]), pa.array(far)], names=["query", "class", "least", "score"])
+
+    near = both.mapInArrow(compare, "query long, class long, least long, score double")
     best = near.groupBy("query", "class").agg(F.min("score").alias("score"), F.min("least").alias("least"))
     best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))).where(F.col("_n") <= k + 1)
     best = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
