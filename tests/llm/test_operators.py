@@ -352,27 +352,91 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
 
 
-def test_flac_query(spark, tables):
-    table = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
-    got = queries.flac_media(spark, tables).collect()
+def payload(text):
+    raw = (text or "").encode()
+    return raw + bytes(max(-(-len(raw) // 64), 1) * 64 - len(raw))
+
+
+def plain_feature(p):
+    x = [b - 128 for b in p]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    return f"samples={len(x)};sum={sum(x)};squares={sum(v * v for v in x)};crossings={crossings};min={min(x)};max={max(x)}"
+
+
+@pytest.mark.parametrize("source", ["hard", SF])
+def test_flac_query(spark, tables, source):
+    folder = tables if source == "hard" else source
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = queries.flac_media(spark, folder).collect()
     want = Counter()
     for d, t in table:
-        p = t + bytes(max(-(-len(t) // 64), 1) * 64 - len(t))
-        want[d, len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+        p = payload(t)
+        sha = hashlib.sha256(p).hexdigest()
+        want[d, len((t or "").encode()), len(p), sha, zlib.crc32(p[-64:]), len(p), sha, plain_feature(p)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == want
+    assert all(0 < r.flac_bytes < r.payload_bytes + 42 + 16 * (r.payload_bytes // 256 + 1) for r in got)
+
+
+def test_flac_blocks_are_seekable(spark, docs, tmp_path):
+    coded = media.write_blocks(media.to_flac(docs), str(tmp_path / "flac"))
+    kept = media.write_blocks(media.pcm_blocks(coded, samples=1000), str(tmp_path / "pcm"))
+    rows, by = kept.collect(), defaultdict(list)
+    for r in rows:
+        by[r.stream].append(r)
+    flacs = {r.stream: bytes(r.media) for r in coded.collect()}
+    texts = {k: flac.decode([x])[0][0] for k, x in flacs.items()}
+    assert Counter(texts.values()) == Counter(payload(r.text) for r in docs.collect()) and set(by) == set(texts)
+    for stream, own in by.items():
+        own.sort(key=lambda r: r.block)
+        whole = texts[stream]
+        assert [r.block for r in own] == list(range(own[0].n_blocks))
+        assert b"".join(r.pcm for r in own) == whole
+        for r in own:
+            assert r.pcm == whole[r.first_sample : r.first_sample + r.n_samples] and r.n_samples <= 1000 + 256
+            assert flacs[stream][r.flac_place : r.flac_place + 2] == b"\xff\xf8"
+    for r in media.samples(kept, 900, 2100).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("first_sample", "pcm"))).alias("x")).collect():
+        assert b"".join(x.pcm for x in r.x) == texts[r.stream][900:2100]
+    joined = {r.stream: r.pcm for r in media.streams(kept, "stream").collect()}
+    assert {k: bytes(v) for k, v in joined.items()} == texts
 
 
 def test_flac_blocks_can_be_read_alone(spark, docs):
-    r = media.from_flac(media.to_flac(docs)).orderBy(F.desc("n_bytes")).first()
-    info = r.media[:42]
-    b = r.blocks[3]
-    end = r.blocks[4].place
-    alone = bytearray(info + r.media[b.place : end])
+    coded = media.to_flac(docs)
+    r = coded.orderBy(F.desc("n_bytes"), "stream").first()
+    stream = bytes(r.media)
+    pcm, first, place = flac.decode([stream])[0]
+    alone = bytearray(stream[:42] + stream[place[3] : place[4]])
     alone[21:26] = (int.from_bytes(alone[21:26]) & ~((1 << 36) - 1)).to_bytes(5)  # unknown length
     alone[26:42] = bytes(16)
     with pytest.raises(flac.FlacError):
-        flac.decode([bytes(r.media[: b.place] + b"\0" + r.media[b.place + 1 :])])
-    assert r.pcm[b.sample : r.blocks[4].sample] == flac.decode([bytes(alone)])[0][0]
+        flac.decode([stream[: place[3]] + b"\0" + stream[place[3] + 1 :]])
+    assert pcm[first[3] : first[4]] == flac.decode([bytes(alone)])[0][0]
+
+
+def test_flac_encoder_writes_linear_predictors_and_long_streams(monkeypatch):
+    monkeypatch.setattr(flac, "GROUP", 7)  # so that streams span groups
+    t = np.arange(60_000)
+    wave = (np.sin(t / 1.1) * 60 + np.sin(t / 2.3) * 50 + 128).astype(np.uint8)
+    noise = np.random.default_rng(1).integers(0, 256, 999 * 64).astype(np.uint8)
+    raw, bounds = np.concatenate([wave, noise, np.full(640, 7, np.uint8)]), np.array([0, 60_000, 60_000 + len(noise), 60_640 + len(noise)])
+    streams = flac.encode(raw, bounds)
+    heads = [s[p + 6 if len(s) > p + 6 and n < 128 else p + 7] >> 1 & 63 for s, (_, _, place) in zip(streams[:1], flac.decode(streams[:1])) for n, p in enumerate(place.tolist()) if n < 128]
+    assert heads.count(32 + flac.LINEAR - 1) > 50
+    assert len(streams[0]) < 0.8 * 60_000
+    assert [x[0] for x in flac.decode(streams)] == [raw[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_flac_memory_of_a_long_text():
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words that go on and on, " * 150_000, dtype=np.uint8)
+    raw = raw[: len(raw) // 64 * 64]
+    tracemalloc.start()
+    stream = flac.encode(raw, np.array([0, len(raw)]))
+    assert flac.decode(stream)[0][0] == raw.tobytes()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6 + 12 * len(raw)
 
 
 class Writer:

@@ -1,7 +1,7 @@
 """FLAC in vectorised numpy: many frames are coded, checked and decoded in step with each other.
 
-The encoder writes mono 8-bit streams: per frame a constant, verbatim or fixed-predictor subframe, whichever is smallest,
-with Rice-coded residuals. The decoder reads constant, verbatim, fixed and linear-predictor subframes, both Rice codings
+The encoder writes mono 8-bit streams: per frame a constant, verbatim, fixed- or linear-predictor subframe, whichever is
+smallest, with Rice-coded residuals. Frames are handled in groups, which bounds the memory that a long stream needs. The decoder reads constant, verbatim, fixed and linear-predictor subframes, both Rice codings
 with partitions and escapes, wasted bits, and up to eight channels with stereo decorrelation, and verifies the CRC of every
 header and frame and the MD5 of the samples.
 """
@@ -52,45 +52,66 @@ def _crc(data: np.ndarray, start: np.ndarray, length: np.ndarray, table: np.ndar
     return out
 
 
-def encode(raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Each row of bytes (not empty) as a FLAC stream of unsigned 8-bit samples."""
-    size = np.diff(bounds)
-    per = -(-size // BLOCK)
-    row = np.repeat(np.arange(len(size)), per)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    n = np.minimum(size[row] - number * BLOCK, BLOCK)
-    at = bounds[:-1][row] + number * BLOCK
-    inside = np.arange(BLOCK) < n[:, None]
-    x = np.where(inside, raw[np.minimum(at[:, None] + np.arange(BLOCK), len(raw) - 1)].astype(np.int32) - 128, 0)
+#: Frames that are coded or decoded at a time.
+GROUP = 2048
+
+#: Order, bits of a coefficient and greatest shift of the linear predictors that are written.
+LINEAR, PRECISION, SHIFT = 4, 9, 8
+
 
+def _predicted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients and shift of each frame's linear predictor by its autocorrelation, and what is left of the frame.
+    The shift is -1 where the coefficients do not fit."""
+    real = x.astype(np.float64)
+    r = np.stack([np.einsum("ij,ij->i", real[:, : x.shape[1] - lag], real[:, lag:]) for lag in range(LINEAR + 1)], axis=1)
+    lags = np.abs(np.subtract.outer(np.arange(LINEAR), np.arange(LINEAR)))
+    a = np.linalg.solve(r[:, lags] + np.eye(LINEAR) * (1e-6 * r[:, :1, None] + 1e-3), r[:, 1:, None])[:, :, 0]
+    top = np.abs(a).max(axis=1)
+    shift = np.select([top < 0.99, top < 1.98, top < 3.96], [SHIFT, SHIFT - 1, SHIFT - 2], -1)
+    q = np.where(shift[:, None] >= 0, np.rint(a * np.exp2(np.maximum(shift, 0))[:, None]), 0).astype(np.int32)
+    guess = np.zeros_like(x)
+    for j in range(LINEAR):
+        guess[:, j + 1 :] += q[:, j, None] * x[:, : x.shape[1] - 1 - j]
+    return q, shift, x - (guess >> np.maximum(shift, 0)[:, None])
+
+
+def _frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of samples x (a row a frame, n of them, at that number in their streams), end to end, and their sizes."""
+    inside = np.arange(BLOCK) < n[:, None]
     best, order, rice, codes = 8 * n + 8, np.full(len(n), -1), np.zeros(len(n), dtype=np.int64), (x & 0xFF)
+    linear = np.zeros(len(n), dtype=bool)
+    q, shift, left = _predicted(x)
     residual = x
-    for o in range(3):
-        if o:
+    for o, kind in ((0, "fixed"), (1, "fixed"), (2, "fixed"), (LINEAR, "linear")):
+        if kind == "linear":
+            residual = left
+        elif o:
             residual = np.diff(residual, axis=1, prepend=np.int32(0))
         u = np.where(inside & (np.arange(BLOCK) >= o), (residual << 1) ^ (residual >> 31), 0)
+        fits = (n > o) & ((kind == "fixed") | (shift >= 0))
         for k in range(2, 8):
-            cost = 18 + 8 * o + (n - o) * (k + 1) + (u >> k).sum(axis=1)
-            win = (cost < best) & (n > o)
+            cost = 18 + 8 * o + (9 + PRECISION * LINEAR) * (kind == "linear") + (n - o) * (k + 1) + (u >> k).sum(axis=1)
+            win = (cost < best) & fits
             if win.any():
-                best, order, rice = np.where(win, cost, best), np.where(win, o, order), np.where(win, k, rice)
+                best, order, rice, linear = np.where(win, cost, best), np.where(win, o, order), np.where(win, k, rice), np.where(win, kind == "linear", linear)
                 codes = np.where(win[:, None], u, codes)
     constant = (np.where(inside, x, x[:, :1]) == x[:, :1]).all(axis=1)
-    order, best = np.where(constant, -2, order), np.where(constant, 16, best)
-    fixed = order >= 0
+    order, best, linear = np.where(constant, -2, order), np.where(constant, 16, best), linear & ~constant
+    coded = order >= 0
 
-    width = np.where(fixed, rice + 1, 8)[:, None]
-    held = np.where(fixed[:, None], (codes & ((1 << rice) - 1)[:, None]) | (1 << rice)[:, None], x & 0xFF)
-    skip = np.where(fixed[:, None], codes >> rice[:, None], 0)
+    width = np.where(coded, rice + 1, 8)[:, None]
+    held = np.where(coded[:, None], (codes & ((1 << rice) - 1)[:, None]) | (1 << rice)[:, None], x & 0xFF)
+    skip = np.where(coded[:, None], codes >> rice[:, None], 0)
     warm = np.arange(BLOCK) < np.maximum(order, 0)[:, None]
     held, skip, width = np.where(warm, x & 0xFF, held), np.where(warm, 0, skip), np.where(warm, 8, width)
     used = inside & (~constant[:, None] | (np.arange(BLOCK) == 0))
     length = np.where(used, skip + width, 0)
     length[:, 0] += 8  # the subframe's header
-    extra = np.where(fixed, 10, 0)  # method, partition order and Rice parameter stand after the warm-up samples
+    model = np.where(linear, 9 + PRECISION * LINEAR, 0)  # after the warm-up samples: the predictor,
+    extra = np.where(coded, 10, 0) + model  # and the coding's method, partition order and Rice parameter
     end = np.cumsum(length, axis=1) + np.where(warm, 0, extra[:, None])
 
-    long = np.select([number < 0x80, number < 0x800, number < 0x10000], [1, 2, 3], 4)
+    long = np.select([number < 0x80, number < 0x800, number < 0x10000, number < 0x200000], [1, 2, 3, 4], 5)
     short = n != BLOCK
     header = 4 + long + short + 1
     body = -(-(end[:, -1]) // 8)
@@ -98,34 +119,53 @@ def encode(raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     start = np.cumsum(total) - total
     out = np.zeros(int(total.sum()) + 8, dtype=np.uint8)
     out[start], out[start + 1], out[start + 2], out[start + 3] = 0xFF, 0xF8, np.where(short, 6, 8) << 4 | 4, 0x02
-    out[start + 4] = np.select([long == 1, long == 2, long == 3], [number, 0xC0 | number >> 6, 0xE0 | number >> 12], 0xF0 | number >> 18)
-    for j in range(1, 4):
+    out[start + 4] = np.select([long == 1, long == 2, long == 3, long == 4], [number, 0xC0 | number >> 6, 0xE0 | number >> 12, 0xF0 | number >> 18], 0xF8 | number >> 24)
+    for j in range(1, 5):
         f = np.flatnonzero(long > j)
         out[start[f] + 4 + j] = 0x80 | (number[f] >> (6 * (long[f] - 1 - j))) & 0x3F
     out[(start + header - 2)[short]] = (n - 1)[short]
     out[start + header - 1] = _crc(out, start, header - 1, CRC8, 8)
 
     first = (start + header) * 8
-    out[start + header] = np.where(constant, 0, np.where(fixed, 8 + np.maximum(order, 0), 1)) << 1
-    place = (first[:, None] + end - width)[used]
-    value = (held << (16 - width))[used].astype(np.int64)
-    param = np.flatnonzero(fixed)
-    place = np.append(place, first[param] + 8 + 8 * order[param])
-    value = np.append(value, rice[param] << 6)
-    value >>= place & 7
+    out[start + header] = np.select([constant, linear, coded], [0, 32 + LINEAR - 1, 8 + np.maximum(order, 0)], 1) << 1
+    param, lin = np.flatnonzero(coded), np.flatnonzero(linear)
+    at = first[lin] + 8 + 8 * LINEAR
+    pieces = [((first[:, None] + end - width)[used], held[used], width[used]), (first[param] + 14 + 8 * order[param] + model[param], rice[param], 4), (at, (PRECISION - 1) << 5 | shift[lin], 9)]
+    pieces += [(at + 9 + PRECISION * j, q[lin, j] & ((1 << PRECISION) - 1), PRECISION) for j in range(LINEAR)]
+    place = np.concatenate([p for p, _, _ in pieces])
+    value = np.concatenate([v.astype(np.int64) << (16 - w) for _, v, w in pieces]) >> (place & 7)  # at most 9 bits, moved by at most 7
     byte = place >> 3
     add = np.bincount(byte, value >> 8, minlength=len(out)) + np.bincount(byte + 1, value & 0xFF, minlength=len(out))
     out += add.astype(np.uint8)
     check = _crc(out, start, total - 2, CRC16, 16)
     out[start + total - 2], out[start + total - 1] = check >> 8, check & 0xFF
+    return out[: int(total.sum())], total
 
-    signed = raw ^ np.uint8(0x80)
+
+def encode(raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Each row of bytes (not empty) as a FLAC stream of unsigned 8-bit samples."""
+    size = np.diff(bounds)
+    per = -(-size // BLOCK)
+    row = np.repeat(np.arange(len(size)), per)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    n = np.minimum(size[row] - number * BLOCK, BLOCK)
+    at = bounds[:-1][row] + number * BLOCK
+    parts, totals = [], [np.zeros(0, dtype=np.int64)]
+    for a in range(0, len(row), GROUP):
+        some = slice(a, a + GROUP)
+        places = np.minimum(at[some, None] + np.arange(BLOCK), len(raw) - 1)
+        x = np.where(np.arange(BLOCK) < n[some, None], raw[places].astype(np.int32) - 128, 0)
+        out, total = _frames(x, n[some], number[some])
+        parts.append(out), totals.append(total)
+    out, total = np.concatenate([np.zeros(0, dtype=np.uint8), *parts]), np.concatenate(totals)
+    del parts
+    stop = np.cumsum(total)
     streams, last = [], np.cumsum(per) - 1
     for i in range(len(size)):
         a, b = last[i] - per[i] + 1, last[i]
         packed = (BLOCK).to_bytes(2) * 2 + int(total[a : b + 1].min()).to_bytes(3) + int(total[a : b + 1].max()).to_bytes(3) + (RATE << 44 | 0 << 41 | 7 << 36 | int(size[i])).to_bytes(8)
-        digest = hashlib.md5(signed[bounds[i] : bounds[i + 1]].tobytes()).digest()
-        streams.append(b"fLaC" + b"\x80\x00\x00\x22" + packed + digest + out[start[a] : start[b] + total[b]].tobytes())
+        digest = hashlib.md5((raw[bounds[i] : bounds[i + 1]] ^ np.uint8(0x80)).tobytes()).digest()
+        streams.append(b"fLaC" + b"\x80\x00\x00\x22" + packed + digest + out[stop[a] - total[a] : stop[b]].tobytes())
     return streams
 
 
@@ -286,6 +326,12 @@ def _headers(data: np.ndarray, at: np.ndarray):
     return ok, number, get(1) & 1, n, channels, np.array(SAMPLE_BITS)[depth], length + 1
 
 
+def sample_bytes(stream: bytes) -> int:
+    """Bytes of a sample of all channels in what decode() gives for a stream, whose first block is the required STREAMINFO."""
+    packed = int.from_bytes(stream[18:26])
+    return ((packed >> 41 & 7) + 1) * -(-((packed >> 36 & 31) + 1) // 8)
+
+
 def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
     """For each FLAC stream its PCM bytes (as in WAV: 8-bit unsigned, else little-endian signed; channels interleaved), each
     frame's first sample and its place in the stream. Raises FlacError where a check fails."""
@@ -324,13 +370,40 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
         ends.append(np.append(own[1:], base[i + 1])[: len(own)])
         who.append(np.full(len(own), i))
     start, end, who = np.concatenate(starts), np.concatenate(ends), np.concatenate(who)
+    who_cut = np.searchsorted(who, np.arange(len(streams) + 1))
+    _, _, _, n, channels, depth, length = _headers(data, start)
+    channel_bits = np.array([b for _, b, _, _ in infos])[who] if len(who) else np.zeros(0, dtype=np.int64)
+    depth = np.where(depth == 0, channel_bits, depth)
+    wave: list[list[bytes]] = [[] for _ in streams]
+    for a in range(0, len(start), GROUP):
+        some = slice(a, a + GROUP)
+        low, high = start[some][0], end[some][-1]
+        part = np.concatenate([data[low:high], np.zeros(32, dtype=np.uint8)])
+        parts = _decoded(part, start[some] - low, end[some] - low, n[some], channels[some], depth[some], length[some], who[some])
+        for i in range(who[some][0], who[some][-1] + 1):
+            own = slice(max(who_cut[i], a) - a, min(who_cut[i + 1], a + GROUP) - a)
+            inside = np.arange(parts[0].shape[1]) < n[some][own, None]
+            samples = np.stack([p[own][inside] for p in parts[: infos[i][0]]], axis=1)
+            wave[i].append(samples.astype("<i8").reshape(-1, 1).view(np.uint8)[:, : -(-infos[i][1] // 8)].tobytes())
+    out = []
+    for i, (wide_, deep, total, digest) in enumerate(infos):
+        little, a, b = b"".join(wave[i]), who_cut[i], who_cut[i + 1]
+        wave[i] = []
+        if total and len(little) != total * wide_ * -(-deep // 8):
+            raise FlacError(f"stream {i} has {len(little) // (wide_ * -(-deep // 8))} samples of {total}")
+        if any(digest) and hashlib.md5(little).digest() != digest:
+            raise FlacError(f"the MD5 of stream {i}'s samples is wrong")
+        pcm = (np.frombuffer(little, dtype=np.uint8) ^ np.uint8(0x80)).tobytes() if deep == 8 else little
+        out.append((pcm, np.cumsum(n[a:b]) - n[a:b], start[a:b] - base[i]))
+    return out
+
+
+def _decoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, channels: np.ndarray, depth: np.ndarray, length: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
+    """Samples (frame, time) of each channel of the frames, whose check sums are verified."""
     check = _crc(data, start, end - start - 2, CRC16, 16)
     wrong = check != (data[end - 2].astype(np.uint32) << 8 | data[end - 1])
     if wrong.any():
         raise FlacError(f"the CRC of a frame of stream {who[wrong][0]} is wrong")
-    _, _, _, n, channels, depth, length = _headers(data, start)
-    channel_bits = np.array([b for _, b, _, _ in infos])[who] if len(who) else np.zeros(0, dtype=np.int64)
-    depth = np.where(depth == 0, channel_bits, depth)
     bits, pos = _Bits(data), (start + length) * 8
     count = np.where(channels < 8, channels + 1, 2)
     parts: list[np.ndarray] = []
@@ -341,7 +414,7 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
         x = np.zeros((len(n), int(n.max())), dtype=np.int64)
         x[f, : got.shape[1]] = got
         parts.append(x)
-    if len(n) and (-(-pos // 8) + 2 != end).any():
+    if (-(-pos // 8) + 2 != end).any():
         raise FlacError("a frame does not end where its samples do")
     if len(parts) > 1:
         a, b = parts[0], parts[1]
@@ -350,21 +423,7 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
         left = np.select([is_(9), is_(10)], [a + b, (mid + b) >> 1], a)
         right = np.select([is_(8), is_(10)], [a - b, (mid - b) >> 1], b)
         parts[:2] = left, right
-    out = []
-    cuts = np.searchsorted(who, np.arange(len(streams) + 1))
-    for i, (wide, deep, total, digest) in enumerate(infos):
-        a, b = cuts[i], cuts[i + 1]
-        inside = np.arange(parts[0].shape[1] if parts else 0) < n[a:b, None]
-        samples = np.stack([p[a:b][inside] for p in parts[:wide]], axis=1) if b > a else np.zeros((0, wide), dtype=np.int64)
-        if total and len(samples) != total:
-            raise FlacError(f"stream {i} has {len(samples)} samples of {total}")
-        size = -(-deep // 8)
-        little = samples.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :size]
-        if any(digest) and hashlib.md5(little.tobytes()).digest() != digest:
-            raise FlacError(f"the MD5 of stream {i}'s samples is wrong")
-        pcm = (little ^ 0x80 if deep == 8 else little).tobytes()
-        out.append((pcm, np.cumsum(n[a:b]) - n[a:b], start[a:b] - base[i]))
-    return out
+    return parts
 
 
 def _chain(data: np.ndarray, at: np.ndarray, number: np.ndarray, first: int, end: int) -> np.ndarray:

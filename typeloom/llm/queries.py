@@ -58,17 +58,24 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.from_flac(media.to_flac(_table(spark, sf_dir, "documents")))
+    coded = media.to_flac(_table(spark, sf_dir, "documents"))
+    coded = coded.withColumns({"flac_bytes": F.octet_length("media").cast("long"), "flac_crc32": F.crc32("media")})
+    kept = media.write_blocks(media.pcm_blocks(coded), scratch_path(spark, "pcm"))
+    size, digest = F.octet_length("pcm").cast("long"), F.sha2("pcm", 256)
+    out = media.streams(kept, "stream")
+    # What is stored is the blocks of 8-bit samples, so the stored form's size and digest are theirs.
     return out.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("pcm").cast("long").alias("payload_bytes"),
-        F.sha2("pcm", 256).alias("payload_sha256"),
+        size.alias("payload_bytes"),
+        digest.alias("payload_sha256"),
         F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
+        size.alias("media_bytes"),
+        digest.alias("media_sha256"),
         "feature",
-        F.size("blocks").alias("n_blocks"),
+        "n_blocks",
+        "flac_bytes",
+        "flac_crc32",
     )
 
 
