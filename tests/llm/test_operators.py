@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from typeloom.llm import ann, flac, jaccard, media, mixing, packing, queries, sharding, simhash, substrings, tokens, toxicity, urls
-from typeloom.llm.shared import utf8
+from typeloom.llm.shared import BYTE_CODES, BYTE_POWERS, mixed, runs_hashed, utf8
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,6 +232,64 @@ def test_urls(spark):
     assert {r.verdict for r in none.collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_urls_against_a_long_list(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(urls, "BROADCAST_RULES", 0)
+        monkeypatch.setattr(urls.bloom, "BROADCAST_BLOCKS", 0)
+    rules = [(f"h{i}.example", f"/{i % 7}/", "block" if i % 2 else "allow") for i in range(3000)]
+    table = [(i, f"https://www.h{i * 3}.example/{i % 7}/x", ["kept"]) for i in range(1500)]
+    got = urls.judge(spark.createDataFrame(table, "page_id long, url string, tags array<string>"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    by = {(h, p): v for h, p, v in rules}
+    want = Counter()
+    for i, _, _ in table:
+        key = (f"h{i * 3}.example", f"/{i % 7}/")
+        want[i, "".join(key) if key in by else None, by.get(key, "allow")] += 1
+    assert Counter((r.page_id, r.rule, r.verdict) for r in got) == want and all(r.tags == ["kept"] for r in got)
+
+
+def test_filter_tables_grow_and_lose_nothing(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    blocks = urls.bloom.blocks_for(5000)
+    listed = urls.bloom.table(keys, "k", blocks)
+    assert blocks == 2048 and listed.count() <= blocks
+    asked = spark.range(20000).select("id", F.xxhash64("id").alias("k")).unionByName(spark.createDataFrame([(-1, None)], "id long, k long"))
+    got = {r.id: r.may for r in urls.bloom.marked(asked, "k", listed, blocks, "may").collect()}
+    assert len(got) == 20001 and all(got[i] for i in range(5000)) and not got[-1]
+    assert sum(got[i] for i in range(5000, 20000)) < 0.05 * 15000
+    array = urls.bloom.build(keys, "k")
+    assert urls.bloom.passes_array(array, np.array([r.k for r in keys.collect()], dtype=np.int64)).all()
+
+
+def test_clashing_columns_are_refused_and_others_pass(spark):
+    page = spark.createDataFrame([(1, "http://a.com/", 5)], "page_id long, url string, rule long")
+    with pytest.raises(ValueError):
+        urls.judge(page, spark.createDataFrame(queries.RULES, "host string, path string, verdict string"))
+    with pytest.raises(ValueError):
+        sharding.shard_rows(spark.createDataFrame([(1, 2)], "doc_id long, slot long"))
+    with pytest.raises(ValueError):
+        toxicity.score(spark.createDataFrame([(1, "x", 2.0)], "doc_id long, text string, score double"), toxicity.fit([], []))
+    with pytest.raises(ValueError):
+        media.pcm_blocks(spark.createDataFrame([(1, b"", 2)], "doc_id long, media binary, block int"))
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 3, 4)], "doc_id long, length long, sequence_id long"))
+    with pytest.raises(ValueError):
+        substrings.deduplicated(spark.createDataFrame([(1, "x", 4)], "doc_id long, text string, n_words long"), keep=["n_words"])
+    odd = spark.createDataFrame([(1, "some words", 7, "k")], "doc_id long, text string, vec_id long, kind string")
+    assert sharding.shard_rows(odd).select("vec_id", "kind").collect() == [(7, "k")]
+    assert tokens.with_ids(odd).count() == simhash.near_duplicates(odd).count() == media.to_flac(odd).count() == 1
+    assert substrings.deduplicated(odd, keep=["vec_id"]).select("vec_id").collect() == [(7,)]
+
+
+def test_sharding_of_equal_rows(spark):
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")).repartition(6)
+    got = sharding.shard_rows(rows, shards=4).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [750] * 4 and all(sorted(x) == list(range(750)) for x in by.values())
+
+
 def brute_repeats(table, size=50):
     first = {}
     found = {}
@@ -513,6 +571,49 @@ def test_flac_linear_predictors_partitions_escapes_and_stereo():
     assert flac.decode([stream, stream])[1][0] == pcm
 
 
+def plain_toxicity(model, text):
+    """Score and offending sentences of a text, sentence by sentence and word by word."""
+    raw, scores = (text or "").encode(), []
+    at = 0
+    for part in re.findall(rb"[^.!?\n]*[.!?\n]|[^.!?\n]+", raw):
+        held = set()
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", part):
+            low = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+            for n in (0, *toxicity.STARTS):
+                if len(low) >= n:
+                    piece = np.frombuffer(low[:n] if n else low, dtype=np.uint8)
+                    h = runs_hashed(BYTE_CODES[piece], BYTE_POWERS, np.array([0]), np.array([len(piece)]))
+                    held.add(int(mixed(h, n)[0]) >> (64 - toxicity.FEATURE_BITS))
+        z = model.bias + sum(float(np.float32(model.weights[f])) for f in held)
+        scores.append((at, at + len(part), 1 / (1 + np.exp(-z))))
+        at += len(part)
+    clean = 1 - model.leak
+    for *_, p in scores:
+        clean *= 1 - p
+    return 1 - clean, [x for x in scores if x[2] >= 0.5]
+
+
+def test_toxicity_scores_are_noisy_or_of_sentences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    odd = [(-1, None), (-2, ""), (-3, "no end"), (-4, "...!\n\n? x"), (-5, "\u00c9T\u00c9 9a9b! Zz")]
+    got = toxicity.score(docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")), model).collect()
+    for r in got:
+        score, bad = plain_toxicity(model, r.text)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert [(s.start, s.end) for s in r.offending] == [x[:2] for x in bad]
+    assert sum(r.predicted for r in got) > 0
+
+
+def test_toxicity_trains_on_a_bounded_sample(spark):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "calm ") * (20 + 300_000 * (i == 7))) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels, most=400).weights) == toxicity.FEATURES
+    assert toxicity.train(docs, labels, rows=0).leak == pytest.approx(0.25)
+    out = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(out[i] == i % 2 for i in out)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.toxicity_scores(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()

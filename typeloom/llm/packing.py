@@ -85,10 +85,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
     """pieces with sequence_id and offset: a gapless packing into sequences of at most `capacity`.
 
     Needs a column `length` from 1 to capacity; rows whose length is null or outside are an error of the caller and raise.
-    All other columns pass unchanged. Equal rows each get a place. No rows: no rows.
+    All other columns pass unchanged; they must not have the names of the added ones, nor one of those used on the way. Equal
+    rows each get a place. No rows: no rows.
     """
     spark = pieces.sparkSession
     own = pieces.columns
+    if clash := {"sequence_id", "offset", "_part", "_n", "_before", "_row", "_rank", "_from", "_to", "_first", "_offset"} & set(own):
+        raise ValueError(f"pieces already has {sorted(clash)}")
     table = written(pieces.withColumn("_part", F.spark_partition_id()), "pieces")
     if table.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).take(1):
         raise ValueError(f"a piece's length is not between 1 and {capacity}")

@@ -90,6 +90,14 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def ring_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law fixes of op4's result: how many rows each shard holds and their slots, and that all rows are there."""
+    placed = written(ring_sharding(spark, sf_dir), "placed")
+    whole = placed.agg(F.sum("size").alias("all_bytes"), F.countDistinct("doc_id").alias("all_docs")).first()
+    by = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return by.withColumns({"all_bytes": F.lit(whole.all_bytes), "all_docs": F.lit(whole.all_docs)})
+
+
 QUERIES = {
     "op1_token_files": token_files,
     "op2_nearest_neighbours": nearest_neighbours,
@@ -101,9 +109,18 @@ QUERIES = {
     "op8_flac_media": flac_media,
     "op9_toxicity": toxicity_scores,
     "op10_source_mix": source_mix,
+    "ring_sharding_loads": ring_loads,
 }
 
 ORACLE_SQL = {
+    # Which shard a row goes to is the ring's choice; what the law fixes is compared: sizes, texts, and how many rows shards hold.
+    "ring_sharding_loads": """
+        WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+        n AS (SELECT count(*) AS n FROM d), s AS (SELECT unnest(range(8)) AS shard)
+        SELECT shard::INT AS shard, (n // 8 + (shard < n % 8)::INT)::BIGINT AS docs, 0::BIGINT AS first_slot, (n // 8 + (shard < n % 8)::INT - 1)::BIGINT AS last_slot,
+               (SELECT sum(size) FROM d)::BIGINT AS all_bytes, (SELECT count(DISTINCT doc_id) FROM d)::BIGINT AS all_docs
+        FROM s, n
+    """,
     "op5_url_filter": r"""
         WITH p AS (
             SELECT page_id,

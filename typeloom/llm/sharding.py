@@ -17,8 +17,8 @@ from .shared import written
 
 SHARDS, NODES = 8, 128
 
-#: The ring is cut into cells for finding a hash's arc, and more finely for counting ranks.
-CELL_BITS, RANK_BITS, SALTS = 12, 16, 16
+#: The ring is cut into so many cells (as a power of 2) for finding a hash's arc.
+CELL_BITS = 12
 
 #: Rows of the small tables (arcs and runs, bounded by shards * nodes) that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -65,12 +65,12 @@ def shard_rows(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes
     """rows with `shard` and `slot` (gapless from 0 within the shard).
 
     A shard's capacity is its even share of the rows, to within one, times 1 + slack; with no slack, counts differ by at
-    most one. Keys may be null or repeat (null is a key like any other); rows with one key are told apart by their other
-    columns, and equal rows each get a slot. No rows: no rows. Clashing names are not overwritten silently: rows must
-    not have the columns shard and slot.
+    most one. Keys may be null or repeat (null is a key like any other); rows with one key each get a place and a slot. Ranks
+    in an arc follow the parts of the table that the hashed rows are written to, so no task holds all rows of one key. No
+    rows: no rows. rows must not have the columns shard and slot, nor one of the names that are used on the way.
     """
     spark = rows.sparkSession
-    if clash := {"shard", "slot"} & set(rows.columns):
+    if clash := {"shard", "slot", "_place", "_cell", "_low", "_high", "_arc", "_part", "_n", "_before", "_row", "_rank", "_from", "_to", "_first"} & set(rows.columns):
         raise ValueError(f"rows already has {sorted(clash)}")
     points = ring(spark, shards, nodes)
     places = [p for p, _ in points]
@@ -85,19 +85,18 @@ def shard_rows(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, nodes
             low = end + 1
     arcs = _small(spark.createDataFrame(arcs, "_cell long, _low long, _high long, _arc int"), len(arcs))
     own = rows.columns
-    others = [F.coalesce(F.xxhash64(*[F.col(f"`{c}`") for c in own]), F.lit(0))]
-    hashed = rows.withColumns({"_place": F.xxhash64(F.lit("key"), F.col(f"`{key}`").cast("string")), "_tie": others[0]})
-    hashed = hashed.withColumns({"_cell": F.shiftrightunsigned("_place", width), "_sub": F.shiftrightunsigned("_place", 64 - RANK_BITS), "_salt": F.pmod("_tie", F.lit(SALTS))})
+    hashed = rows.withColumn("_place", F.xxhash64(F.lit("key"), F.col(f"`{key}`").cast("string")))
+    hashed = hashed.withColumn("_cell", F.shiftrightunsigned("_place", width))
     found = hashed.join(arcs, (hashed["_cell"] == arcs["_cell"]) & (F.col("_place") >= F.col("_low")) & (F.col("_place") <= F.col("_high")))
-    table = written(found.select(*(F.col(f"`{c}`") for c in own), "_place", "_tie", "_sub", "_salt", "_arc"), "ring")
-    parts = ["_arc", "_sub", "_salt"]
+    table = written(found.select(*(F.col(f"`{c}`") for c in own), "_place", "_arc", F.spark_partition_id().alias("_part")), "ring")
+    parts = ["_arc", "_part"]
     counts = table.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     by_arc = {r["_arc"]: r.n for r in counts.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     total = sum(by_arc.values())
     caps = [-int(-(total // shards + (s < total % shards)) * (1 + slack) // 1) for s in range(shards)]
     runs = flow(by_arc, [s for _, s in points], caps)
     runs = _small(spark.createDataFrame(runs, "_arc int, _from long, _to long, shard int, _first long"), len(runs))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_sub", "_salt")) - F.col("_n")).drop("_n")
-    ranked = table.withColumn("_row", F.row_number().over(Window.partitionBy(*parts).orderBy("_place", "_tie"))).join(before, parts)
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = table.withColumn("_row", F.row_number().over(Window.partitionBy(*parts).orderBy("_place"))).join(before, parts)
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).alias("k").join(runs.alias("r"), (F.col("k._arc") == F.col("r._arc")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return ranked.select(*(F.col(f"k.`{c}`") for c in own), "shard", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("slot"))

@@ -177,21 +177,28 @@ def links(distinct: DataFrame, most: int = BITS) -> DataFrame:
     sorted_ = done.select("key", "fp").repartition("key").sortWithinPartitions("key", F.expr(gray_rank("fp")))
 
     def run(batches):
-        key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        held, many = [], 0
 
         def edges(k, f):
             parent = linked(f, k, most)
             low = np.flatnonzero(parent != np.arange(len(f)))
             return pa.RecordBatch.from_pydict({"a": f[parent[low]].view(np.int64), "b": f[low].view(np.int64)})
 
+        def joined():
+            return (np.concatenate([h[i] for h in held]) for i in range(2))
+
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(key) >= 100_000 and (whole := np.searchsorted(key, key[-1])):
-                yield edges(key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
-        if len(key):
-            yield edges(key, fp)
+            key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if many >= 100_000 and len(key) and (key[0] != held[-1][0][-1] or key[-1] != key[0]):
+                whole = np.searchsorted(key, held[-1][0][-1], side="right")  # the last key's rows end in this batch
+                held.append((key[:whole], fp[:whole]))
+                yield edges(*joined())
+                held, many, key, fp = [], 0, key[whole:], fp[whole:]
+            if len(key):
+                held.append((key, fp))
+                many += len(key)
+        if held:
+            yield edges(*joined())
 
     return sorted_.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -206,10 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Minima are written before they are joined: the other side is then a plain exchange, whose hot keys Spark can split.
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "stars")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(small, "u")
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(edges, "edges")
@@ -230,6 +238,6 @@ def near_duplicates(docs: DataFrame, most: int = BITS, shingle: int = SHINGLE) -
     roots = components(links(distinct.select("fp"), most))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     members = named.join(ids, "root").select("fp", "component_id")
     return table.join(members, "fp").select("doc_id", "fp", "component_id")

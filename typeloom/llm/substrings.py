@@ -143,9 +143,10 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, keep: list[str] | None = N
     is unchanged; null counts as empty. Every row gives a row. A row whose doc_id is null loses nothing and takes nothing
     from others; of rows with one doc_id, none takes from another.
     """
-    spark = docs.sparkSession
     marks = written(repeated(docs, size), "marks")
     keep = keep or []
+    if clash := {"doc_id", "text", "n_words", "n_removed", "removed", "kept_text", "kept_words", "positions", "_tie"} & set(keep):
+        raise ValueError(f"{sorted(clash)} can't be kept beside the columns of the result")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("_tie", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
     listed = bloom.build(marks.select(F.xxhash64("doc_id", "tie").alias("k")), "k", 1 << 16)

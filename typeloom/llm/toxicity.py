@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import BYTE_CODES, BYTE_POWERS, mixed, runs_hashed, ship, slices, utf8
 
-#: Labelled documents that the model is fitted to, at most: those whose id hashes lowest.
-TRAIN_ROWS = 6000
+#: Labelled documents that the model is fitted to, at most: those whose id hashes lowest, up to so many bytes of whole texts
+#: together. Longer texts than TRAIN_TEXT bytes do not train.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 6000, 48 << 20, 1 << 20
 
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
@@ -145,8 +146,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` labelled documents that are not held out.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
+    """A model from at most `rows` labelled documents that are not held out, of at most `most` bytes together.
 
     Labels that are null or neither 0 nor 1, and null ids, are left out; of several labels of one id 1 wins. Of several
     documents with one id, each trains, within the same bound.
@@ -155,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "toxic").collect()
+    texts = texts.withColumn("size", F.octet_length("text")).where(F.col("size") <= TRAIN_TEXT)
+    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
+    sizes = np.cumsum([r["size"] for r in texts.orderBy(*order).limit(rows).select("size").collect()])
+    texts = texts.orderBy(*order).limit(int(np.searchsorted(sizes, most, side="right"))).select("text", "toxic").collect()
     return fit([r.text for r in texts], [r.toxic for r in texts])
 
 

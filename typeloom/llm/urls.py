@@ -2,8 +2,8 @@
 
 A rule fits its host and every subdomain, for paths that start with the rule's; the longest fitting rule wins. For
 each shape of rule (labels of the host, characters of the path) a URL has one canonical key that such a rule would
-need to equal. A blocked Bloom filter of the listed keys passes the few that may be listed on to an exact hash join,
-which removes false positives.
+need to equal. A blocked Bloom filter of the listed keys, a table that grows with the list, passes those that may be
+listed on to an exact hash join, which removes false positives.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from . import bloom
 #: Rules that are broadcast to the exact join; a longer list is joined by a shuffled hash join.
 BROADCAST_RULES = 200_000
 
-#: Keys of the list up to which the filter is worth sending to all tasks (8 bits a key or more).
-FILTERED_RULES = bloom.MOST_BLOCKS * 8
-
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,29 +34,31 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     rules: host, path, verdict. A rule with a null fits nothing; of rules with one host and path the greatest verdict
     holds (block over allow). Of two fitting rules of one length the longer host wins. A URL that no rule fits, a null
-    URL and one without `://` have a null rule and the default verdict. Repeated pages each keep their row; the
-    other columns pass unchanged and must not be named host, path, rule or verdict.
+    URL and one without `://` have a null rule and the default verdict. Repeated pages each keep their row. Other
+    columns pass unchanged and must not have the names of the added ones, nor one of those used on the way. A page's keys
+    are brought together again within its own task before they are shuffled.
     """
-    spark = pages.sparkSession
     own = [c for c in pages.columns if c != url]
-    if clash := {"host", "path", "rule", "verdict"} & set(own):
+    if clash := {"host", "path", "rule", "verdict", "_row", "_key", "_h", "_block", "_bits", "_may", "_best", "_rule_host", "_rule_path", "_rule_verdict"} & set(own):
         raise ValueError(f"pages already has {sorted(clash)}")
     rules = rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.select(F.col("host").alias("_rule_host"), F.col("path").alias("_rule_path"), F.col("verdict").alias("_rule_verdict"))
     n = rules.count()
+    blocks = bloom.blocks_for(n)
     shapes = rules.select((F.size(F.split("_rule_host", "\\.")).cast("int")).alias("labels"), F.length("_rule_path").alias("chars")).distinct().collect()
     shapes = sorted((r.labels, r.chars) for r in shapes)
     parsed = pages.select(*(F.col(f"`{c}`") for c in own), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.monotonically_increasing_id().alias("_row"))
     if not shapes:
         return parsed.select(*(F.col(f"`{c}`") for c in own), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = "array(" + ", ".join(f"struct(substring_index(host, '.', -{labels}) as h, substring(path, 1, {chars}) as p)" for labels, chars in shapes) + ")"
-    if n <= FILTERED_RULES:
-        listed = bloom.build(rules.select(F.xxhash64("_rule_host", "_rule_path").alias("k")), "k")
-        keys = f"filter(array_distinct({keys}), x -> {bloom.passes(listed, 'xxhash64(x.h, x.p)')})"
-    probes = parsed.withColumn("_key", F.explode_outer(F.expr(keys))).withColumns({"_h": F.col("_key.h"), "_p": F.col("_key.p")}).drop("_key")
+    probes = parsed.withColumn("_key", F.explode(F.array_distinct(F.expr(keys)))).withColumn("_h", F.xxhash64("_key.h", "_key.p"))
+    listed = bloom.table(rules.select(F.xxhash64("_rule_host", "_rule_path").alias("k")), "k", blocks)
+    probes = bloom.marked(probes, "_h", listed, blocks, "_may")
     rules = F.broadcast(rules) if n <= BROADCAST_RULES else rules.hint("shuffle_hash")
-    hits = probes.join(rules, (F.col("_h") == F.col("_rule_host")) & (F.col("_p") == F.col("_rule_path")), "left")
+    key = F.when(F.col("_may"), F.col("_key"))  # what the filter refuses finds no rule
+    hits = probes.join(rules, (key["h"] == F.col("_rule_host")) & (key["p"] == F.col("_rule_path")), "left")
     rule = F.concat("_rule_host", "_rule_path")
     best = F.max(F.when(F.col("_rule_host").isNotNull(), F.struct(F.length(rule).alias("a"), F.length("_rule_host").alias("b"), rule.alias("rule"), F.col("_rule_verdict").alias("verdict"))))
-    out = hits.groupBy("_row", *(F.col(f"`{c}`") for c in own), "host", "path").agg(best.alias("_best"))
+    kept = [F.first(F.col(f"`{c}`")).alias(c) for c in [*own, "host", "path"]]
+    out = hits.groupBy("_row").agg(*kept, best.alias("_best"))
     return out.select(*(F.col(f"`{c}`") for c in own), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
