@@ -65,7 +65,9 @@ def test_describe(spark):
     cut = pd.cut(x.dropna(), 10)
     assert [b["frequency"] for b in d["n"]["histogram"]] == cut.value_counts().sort_index().tolist()
     assert d["i"]["top_values"] == [{"value": 1, "count": 3}, {"value": 2, "count": 2}, {"value": 5, "count": 2}, {"value": 3, "count": 0}, {"value": 4, "count": 0}]
-    assert set(d["text"]) == {"physical_type", "logical_type", "semantic_tags", "count", "nan_count"} and d["u"]["nunique"] == 4
+    assert set(d["text"]) == {"physical_type", "logical_type", "semantic_tags", "count", "nan_count", "mode"} and d["text"]["mode"] == "a b" and d["u"]["nunique"] == 4
+    assert [b["bins"] for b in d["n"]["histogram"]] == [[c.left, c.right] for c in cut.cat.categories]
+    assert [a[:4] for a in seen] == [(1, i + 1, 7, "calculations") for i in range(7)] and all(a[4] > 0 for a in seen)
     table = t.describe(["numeric", "flag"]).collect()
     assert [r.column for r in table] == ["flag", "n", "i"] and table[0].num_true == "4"
     with pytest.raises(ValueError):
@@ -185,20 +187,60 @@ def test_large_categories_are_left_out(spark):
         assert {(r.column_1, r.column_2) for r in t.mutual_information().collect()} == {("b", "c")}
 
 
+def test_histogram_edges_are_shown_as_pandas_shows_them(spark):
+    for values, bins in (([0.0001, 0.00015, 0.0002], 7), ([1.0, 1.0], 3), ([-5.0, 1234.5678], 4), ([1e-9, 2.5], 10), ([100.0001, 100.0002], 10), ([0.0, 0.0], 2)):
+        got = counts.histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v", bins).orderBy("bin").collect()
+        cut = pd.cut(pd.Series(values), bins)
+        assert [(r.low, r.high) for r in got] == [(c.left, c.right) for c in cut.cat.categories]
+        assert [r.frequency for r in got] == cut.value_counts().sort_index().tolist()
+
+
+def test_spearman_with_nulls_on_both_sides(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"a": rng.integers(0, 6, 400).astype(float), "b": rng.normal(size=400), "c": rng.integers(0, 50, 400).astype(float), "d": rng.normal(size=400)})
+    frame.loc[rng.random(400) < 0.2, "b"] = np.nan
+    frame.loc[rng.random(400) < 0.3, "c"] = np.nan
+    want = frame.corr("spearman")
+    for few in (100_000, 10):
+        with config.with_options(broadcast_rows=few):
+            got = TypedTable.init(spark.createDataFrame(frame), logical_types=dict.fromkeys("abcd", "Double"), validate=False).spearman_correlation()
+        for r in got.collect():
+            both, either = frame[[r.column_1, r.column_2]].notna().all(axis=1).sum(), frame[[r.column_1, r.column_2]].notna().any(axis=1).sum()
+            assert r.spearman == pytest.approx(want.loc[r.column_1, r.column_2] * both / either, abs=1e-9)
+
+
+def test_dependence_leaves_out_indexes_by_default(spark):
+    t = typed(spark, {"k": range(40), "t": [dt.datetime(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)], "x": range(40), "y": range(40)}, {"k": ("long", "Integer"), "t": ("timestamp_ntz", "Datetime"), "x": ("long", "Integer"), "y": ("long", "Integer")}, index="k", time_index="t")
+    assert [(r.column_1, r.column_2) for r in t.pearson_correlation().collect()] == [("x", "y")]
+    assert len(t.pearson_correlation(include_index=True, include_time_index=True).collect()) == 6
+    assert dependence.valid_mi_columns(t) == ["x", "y"] and dependence.valid_mi_columns(t, True, True) == ["k", "t", "x", "y"]
+    first = t.pearson_correlation(nrows=20, min_shared=5).collect()
+    assert first == TypedTable(t.df.repartition(7), t.schema).pearson_correlation(nrows=20, min_shared=5).collect()
+
+
 def day(text):
     return dt.datetime.fromisoformat(text)
 
 
-@pytest.mark.parametrize("alias", ["D", "3D", "W-SUN", "2W-SUN", "H", "6H", "T", "S", "L", "U", "M", "MS", "3M", "BM", "BMS", "QS-OCT", "A-DEC", "AS-JAN", "B", "SM-15"])
-def test_frequency_aliases(alias):
-    first = {"W-SUN": "2005-01-02", "2W-SUN": "2005-01-02", "M": "2005-01-31", "3M": "2005-01-31", "BM": "2005-01-31", "BMS": "2005-01-03", "QS-OCT": "2005-01-01", "A-DEC": "2005-12-31", "B": "2005-01-03", "SM-15": "2005-01-15"}.get(alias, "2005-01-01")
-    unit = {"H": 300, "6H": 300, "T": 1, "S": 1, "L": 1, "U": 1}.get(alias.lstrip("0123456789"))
-    last = day(first) + (dt.timedelta(days=9000) if unit is None else dt.timedelta(hours=100) if alias.endswith("H") else dt.timedelta(minutes=30) if alias == "T" else dt.timedelta(seconds=30) if alias == "S" else dt.timedelta(milliseconds=30) if alias == "L" else dt.timedelta(microseconds=30))
-    made = frequency.series(alias, day(first), last)
-    want = {"3M": "Q-OCT"}.get(alias, alias)
-    assert len(made) > 15 and frequency.alias_of(made) == want
-    assert frequency.alias_of([*made[:-2], made[-1]]) in (None, alias) or len(made) < 4
-    assert frequency.alias_of(made[:2]) is None
+#: Our aliases, those of pandas, first dates and how many timestamps.
+ALIASES = [("3D", "3D", "2005-01-01"), ("2W-SUN", "2W-SUN", "2005-01-02"), ("6H", "6h", "2005-01-01"), ("T", "min", "2005-01-01"), ("U", "us", "2005-01-01"), ("M", "ME", "2005-01-31"), ("5M", "5ME", "2005-01-31"), ("BM", "BME", "2005-01-31"), ("BMS", "BMS", "2005-01-03"), ("QS-OCT", "QS-OCT", "2005-01-01"), ("A-DEC", "YE-DEC", "2005-12-31"), ("B", "B", "2005-01-03"), ("SM-15", "SME-15", "2005-01-15")]
+
+
+@pytest.mark.parametrize("alias,other,first", ALIASES)
+def test_frequency_aliases(spark, alias, other, first):
+    stamps = pd.date_range(first, periods=40, freq=other) + pd.Timedelta("07:30:01")
+    made = frequency.series(spark, alias, stamps[0].to_pydatetime(), stamps[-1].to_pydatetime())
+    assert [(r.pos, r.ts) for r in made.orderBy("pos").collect()] == list(enumerate(t.to_pydatetime() for t in stamps))
+    rows = made.withColumn("other", F.when(F.col("pos") != 20, F.col("ts")))
+    assert frequency.infer_frequency(rows, "ts") == alias
+    assert frequency.infer_frequency(rows.where("other is not null"), "other") != alias
+    assert frequency.infer_frequency(rows.where("pos < 2"), "ts") is None
+    found = {r.alias: r["count"] for r in frequency.candidates(rows.where("other is not null").select("pos", "ts"), 15).collect()}
+    assert found[alias] == 11 and sum(found.values()) == 25  # of 25 windows of 15 among 39 timestamps those without the gap
+
+
+def days(first, last):
+    return [t.to_pydatetime() for t in pd.date_range(first, last, freq="D")]
 
 
 def debugged(spark, stamps):
@@ -208,9 +250,9 @@ def debugged(spark, stamps):
 
 
 def test_frequency_errors_are_found(spark):
-    clean = frequency.series("D", day("2005-01-01"), day("2005-12-31"))
+    clean = days("2005-01-01", "2005-12-31")
     alias, d = debugged(spark, clean)
-    assert alias == "D" and d["estimated_freq"] == "D" and not d["missing_values"]
+    assert alias == "D" and d["estimated_freq"] is None and not d["missing_values"]
     noisy = clean[:100] + clean[103:200] + [clean[199]] * 2 + clean[200:250] + [clean[249] + dt.timedelta(hours=5)] + clean[250:300] + [None] + clean[300:]
     alias, d = debugged(spark, noisy)
     assert alias is None and d["estimated_freq"] == "D"
@@ -221,12 +263,12 @@ def test_frequency_errors_are_found(spark):
 
 
 def test_frequency_gives_up(spark):
-    assert "short" in debugged(spark, [day("2005-01-01"), day("2005-01-03"), day("2005-01-04")])[1]["message"]
-    assert "empty" in debugged(spark, [None, None])[1]["message"]
-    assert "increasing" in debugged(spark, [day("2005-02-01")] + frequency.series("D", day("2005-01-01"), day("2005-01-20")))[1]["message"]
+    assert "datetime_series_is_not_long_enough" == debugged(spark, [day("2005-01-01"), day("2005-01-03"), day("2005-01-04")])[1]["message"]
+    assert "datetime_series_is_empty" == debugged(spark, [None, None])[1]["message"]
+    assert "datetime_series_is_not_monotonic" == debugged(spark, [day("2005-02-01")] + days("2005-01-01", "2005-01-20"))[1]["message"]
     rng = np.random.default_rng(1)
     mess = [day("2005-01-01") + dt.timedelta(hours=int(h)) for h in np.cumsum(rng.integers(1, 50, 60))]
-    assert "No frequency" in debugged(spark, mess)[1]["message"]
+    assert "datetime_series_freq_cannot_be_estimated" == debugged(spark, mess)[1]["message"]
     df = spark.createDataFrame([(1, "x")], "k long, s string")
     t = TypedTable.init(df)
     with pytest.raises(TypeError):

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typeloom import errors
-from typeloom.config import Config, DEFAULTS, config
+from typeloom.config import OPTIONS, Config, config
 from typeloom.functions import datetimes
 from typeloom.functions import logical_types as L
 from typeloom.operators.catalog import list_logical_types, list_semantic_tags
-from typeloom.operators.table import TypedTable, concat_columns, init_series, invalid_schema_message, is_schema_valid
+from typeloom.operators.table import TypedTable, concat_columns, init_series, invalid_schema_message, is_schema_valid, typed_series
 from typeloom.plans import inference
 from typeloom.plans.registry import TypeSystem
 from typeloom.plans.schema import ColumnSchema, TableSchema
@@ -170,6 +170,12 @@ def test_columns(table):
     assert table.iloc(2).id == 2 and [r.id for r in table.iloc(slice(1, 3), ["id"]).df.collect()] == [1, 2]
     with pytest.raises(IndexError):
         table.iloc(100)
+    ids = lambda places: sorted(r.id for r in table.iloc(places).df.collect())
+    for places in (slice(None), slice(-2, None), slice(None, None, 2), slice(5, 0, -2), slice(4, 100), slice(3, 1)):
+        assert ids(places) == sorted(list(range(6))[places])
+    assert ids([0, -1, 2]) == [0, 2, 5] and table.iloc(-1).id == 5
+    assert table["age"].iloc(0) == 30 and table["age"].loc([1, 3]).df.count() == 2 and table["age"].iloc(slice(0, 2)).name == "age"
+    assert table["age"].transform(lambda d: d.filter("age > 31")).logical_type == table["age"].logical_type
     assert isinstance(table.transform(lambda d: d.filter("age > 31")), TypedTable)
     with pytest.warns(errors.TypingInfoMismatchWarning):
         assert not isinstance(table.transform(lambda d: d.drop("age")), TypedTable)
@@ -254,6 +260,9 @@ def test_set_types(table):
     assert str(t.logical_types["full_name"]) == "Unknown"
     assert table["age"].set_logical_type("Categorical").semantic_tags["age"] == {"category"}
     assert table.set_types({"id": "Double"}).semantic_tags["id"] == {"index"}
+    assert typed_series(table.df, "age", "IntegerNullable").semantic_tags == {"numeric"}
+    with pytest.raises(errors.TypeValidationError):
+        typed_series(table.df, "age", "Double")
     c = init_series(table.df, "age", "Double", "extra")
     assert c.semantic_tags == {"numeric", "extra"} and c.nullable
 
@@ -309,7 +318,7 @@ def test_catalogues(spark):
 
 
 def test_config():
-    c = Config(DEFAULTS)
+    c = Config(OPTIONS)
     with c.with_options(categorical_threshold=0.5):
         assert c.get_option("categorical_threshold") == 0.5
     assert c.get_option("categorical_threshold") == 0.2
@@ -318,6 +327,38 @@ def test_config():
     assert c.get_option("categorical_threshold") == 0.2
     with pytest.raises(KeyError):
         c.get_option("none")
+    with pytest.raises(KeyError):
+        c.set_option("none", 1)
+    for name, value in (("categorical_threshold", 2), ("inference_sample_rows", 0), ("null_strings", "NA"), ("url_inference_regex", 5)):
+        with pytest.raises(ValueError):
+            c.set_option(name, value)
+    with c.with_options(null_strings=["-"]):
+        c.get_option("null_strings").append("x")
+        c.set_option("null_strings", ["--"])
+        with c.with_options(categorical_threshold=None):
+            assert c.get_option("null_strings") == ["--"] and c.get_option("categorical_threshold") is None
+    assert "NA" in c.get_option("null_strings")
+    with pytest.raises(RuntimeError), c.with_options(categorical_threshold=0.9):
+        raise RuntimeError
+    assert c.get_option("categorical_threshold") == 0.2
+
+
+def test_ipv6_addresses():
+    import ipaddress
+    import random
+    import re
+
+    rng, pattern = random.Random(1), re.compile(config.get_option("ipv6_inference_regex"))
+    texts = ["::", "fe80::1%eth0", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5::1.2.3.4", "1:2:3:4:5:6::1.2.3.4", "1::2::3", "::12345", "g::1", "1.2.3.4", ":1", "1:", "::1.2.3.256", "::%", ""]
+    for _ in range(20000):
+        parts = [rng.choice(["", "1", "ab", "ffff"]) if rng.random() < 0.35 else rng.choice(["1", "abcd", "0"]) for _ in range(rng.randint(1, 9))]
+        texts.append(":".join(parts) + (rng.choice([":1.2.3.4", ".1"]) if rng.random() < 0.2 else ""))
+    for t in texts:
+        try:
+            valid = bool(ipaddress.IPv6Address(t))
+        except ValueError:
+            valid = False
+        assert bool(pattern.match(t)) == valid, t
 
 
 def test_odd_names_and_empty_tables(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,31 @@ def range_counts(df: DataFrame, name: str, low: int, high: int) -> DataFrame:
 
 
 def edges_of(low: float, high: float, bins: int) -> list[float]:
-    """Edges of bins of equal width over [low, high]; a constant is widened a little to both sides."""
-    if low == high:
-        pad = 0.001 * abs(low) if low else 0.001
-        low, high = low - pad, high + pad
-    return [low + i * (high - low) / bins for i in range(bins)] + [high]
+    """Edges of bins of equal width over [low, high]. The first is a thousandth of the range lower, as bins are open on the left;
+    a constant is widened by a thousandth of itself to both sides."""
+    pad = (0.001 * abs(low) if low else 0.001) if low == high else 0.0
+    low, high = low - pad, high + pad
+    out = [low + i * (high - low) / bins for i in range(bins)] + [high]
+    if not pad:
+        out[0] -= 0.001 * (high - low)
+    return out
+
+
+def _shortened(x: float, digits: int) -> float:
+    """x to so many digits after the point, or, below 1, to so many that are not leading zeros."""
+    if x == 0 or not math.isfinite(x):
+        return x
+    return round(x, digits if abs(x) >= 1 else digits - 1 - math.floor(math.log10(abs(x))))
+
+
+def shown_edges(edges: list[float]) -> list[float]:
+    """Edges to three digits, or as many more as keep them apart."""
+    short = edges
+    for digits in range(3, 20):
+        short = [_shortened(e, digits) for e in edges]
+        if len(set(short)) == len(set(edges)):
+            break
+    return short
 
 
 def bin_of(value, edges: list[float]):
@@ -57,7 +79,8 @@ def bin_of(value, edges: list[float]):
 
 
 def histogram(df: DataFrame, name: str, bins: int = 10, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """bin, low, high, frequency of bins of equal width between the least and greatest value; no rows without values."""
+    """bin, low, high, frequency of bins of equal width between the least and greatest value; no rows without values.
+    low and high are rounded, the bins are not."""
     value = _c(name).cast("double")
     value = F.when(~F.isnan(value), value)
     if bounds is None:
@@ -68,7 +91,8 @@ def histogram(df: DataFrame, name: str, bins: int = 10, bounds: tuple[float, flo
         return spark.createDataFrame([], "bin int, low double, high double, frequency long")
     edges = edges_of(*bounds, bins)
     counts = df.where(value.isNotNull()).groupBy(bin_of(value, edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = spark.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(bins)], "bin int, low double, high double")
+    shown = shown_edges(edges)
+    every = spark.createDataFrame([(i, shown[i], shown[i + 1]) for i in range(bins)], "bin int, low double, high double")
     return every.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("frequency"))
 
 

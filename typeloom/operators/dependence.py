@@ -19,6 +19,7 @@ from ..errors import SparseDataWarning
 from ..functions import logical_types as L
 from ..plans.registry import warn
 from . import counts
+from .progress import Progress
 from .catalog import valid_mi_types, valid_pearson_types, valid_spearman_types
 
 MEASURES = ["pearson", "spearman", "mutual_info"]
@@ -100,19 +101,29 @@ def _information(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     return out
 
 
-def ranked(df: DataFrame, name: str, out: str) -> DataFrame:
-    """df with the average rank of a column's non-null values, from counts by value.
+def ranked(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """df with each column's values replaced by their average ranks, nulls left out, from counts by value of all columns at once;
+    and what may be unpersisted when it has been used.
 
-    The running count over distinct values is ordered within ranges of values and stitched by the ranges' totals.
+    Counts are running sums within ranges of (column, value), stitched by the ranges' totals. Ranks of few values are
+    broadcast; those of many, as checked, are joined by shuffle.
     """
-    by = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    spread = by.repartitionByRange(F.col("_v")).withColumn("_part", F.spark_partition_id())
-    totals = spread.groupBy("_part").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_before", F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).select("_part", "_before")
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
-    ranks = spread.withColumn("_upto", inside).join(F.broadcast(before), "_part")
-    ranks = ranks.select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(name) == F.col("_v"), "left").drop("_v")
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.col(n).alias("v")) for i, n in enumerate(names)))
+    by = df.select(F.explode(each).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).persist()
+    sizes = {r.i: r.k for r in by.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    few = config.get_option("broadcast_rows")
+    spread = by.repartitionByRange("i", "v").withColumn("_part", F.spark_partition_id())
+    totals = spread.groupBy("i", "_part").agg(F.sum("n").alias("_t"))
+    before = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy("i").orderBy("_part")) - F.col("_t")).select("i", "_part", "_before")
+    inside = F.sum("n").over(Window.partitionBy("i", "_part").orderBy("v"))
+    ranks = spread.withColumn("_upto", inside).join(F.broadcast(before), ["i", "_part"])
+    ranks = ranks.select("i", "v", (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2).alias("r")).persist()
+    out = df
+    for i, n in enumerate(names):
+        own = ranks.where(F.col("i") == i).select(F.col("v").alias("_v"), F.col("r").alias("_r"))
+        own = F.broadcast(own) if sizes.get(i, 0) <= few else own
+        out = out.join(own, F.col(n) == F.col("_v"), "left").select(*(F.col("_r").alias(n) if c == n else F.col(c) for c in out.columns))
+    return out, [by, ranks]
 
 
 def _moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
@@ -130,7 +141,7 @@ def _moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str
     return out
 
 
-def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = None, include_index: bool = False, include_time_index: bool = True, callback=None, extra_stats: bool = False, min_shared: int = 25, random_seed: int = 0, max_nunique: int = 6000, target_col: str | None = None) -> DataFrame:
+def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = None, include_index: bool = False, include_time_index: bool = False, callback=None, extra_stats: bool = False, min_shared: int = 25, random_seed: int = 0, max_nunique: int = 6000, target_col: str | None = None) -> DataFrame:
     """column_1, column_2 and each measure (null where too sparse or undefined), by falling size of the first of them.
 
     A score is scaled by the share of the rows where both columns have values among those where either has. With nrows a
@@ -150,8 +161,8 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
     columns = [c for c in schemas if any(c in f for f in fits.values())]
     place = {c: f"c{i}" for i, c in enumerate(columns)}
     data = df.select(*(F.col(f"`{c}`").alias(place[c]) for c in columns))
-    if nrows is not None and nrows < data.count():
-        data = data.orderBy(F.rand(random_seed)).limit(nrows)
+    if nrows is not None and nrows < data.count():  # by a hash of the row, so that the sample does not depend on how rows lie
+        data = data.orderBy(F.xxhash64(F.lit(random_seed), *data.columns), *data.columns).limit(nrows)
     if columns:
         row = data.agg(*(F.count(place[c]).alias(place[c]) for c in columns)).first()
         columns = [c for c in columns if row[place[c]]]
@@ -177,7 +188,7 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
                 binned.append(c)
             else:
                 exprs.append(x.alias(codes[c]))
-    data = data.select(*exprs)
+    base = data = data.select(*exprs).persist()  # read by every aggregation below; what is lost with an executor is made again
     if binned:
         extremes = data.agg(*(e for i, c in enumerate(binned) for e in (F.min(numbers[c]).alias(f"a{i}"), F.max(numbers[c]).alias(f"b{i}")))).first()
         more = data.agg(*(F.count_if((F.col(numbers[c]) != extremes[f"a{i}"]) & (F.col(numbers[c]) != extremes[f"b{i}"])).alias(f"o{i}") for i, c in enumerate(binned))).first()
@@ -210,7 +221,7 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
     dense = {p for p in every if shared[p][0] >= min_shared}
     if len(dense) < len(every):
         warn("some pairs of columns share too few rows to be measured", SparseDataWarning)
-    total, done = sum(len(pairs_of(m)) for m in calculated) + 1, 0
+    progress = Progress(callback, sum(len(pairs_of(m)) for m in calculated))
     scores: dict[str, dict] = {}
     for m in calculated:
         todo = [p for p in pairs_of(m) if p in dense]
@@ -223,9 +234,8 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
             got = _information(data, [(codes[a], codes[b]) for a, b in todo])
             scores[m] = {(a, b): got.get((codes[a], codes[b])) for a, b in todo}
         scores[m] = {p: None if v is None else v * shared[p][0] / shared[p][1] for p, v in scores[m].items()}
-        done += len(pairs_of(m))
-        if callback is not None:
-            callback(len(pairs_of(m)), done, total, "calculations", None)
+        progress.step(len(pairs_of(m)))
+    base.unpersist()
     rows = []
     for p in every:
         own = {m: scores[m].get(p) for m in calculated}
@@ -244,28 +254,31 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
 def _spearman(data: DataFrame, pairs: list[tuple[str, str]], numbers: dict[str, str]) -> dict:
     """Correlations of average ranks among the rows where both have values.
 
-    Where neither column has nulls their ranks do not depend on the pair, and are made once a column.
+    A column is ranked once for each set of rows that a partner's nulls leave of it: once for all partners without nulls.
     """
     names = sorted({numbers[c] for p in pairs for c in p})
     if not names:
         return {}
     row = data.agg(*(F.count_if(F.col(n).isNull()).alias(n) for n in names)).first()
-    whole = [n for n in names if not row[n]]
-    out = {}
-    both_whole = [p for p in pairs if numbers[p[0]] in whole and numbers[p[1]] in whole]
-    if both_whole:
-        base = data.select(*whole)
-        for n in sorted({numbers[c] for p in both_whole for c in p}):
-            base = ranked(base, n, f"r{n}")
-        got = _moments(base, [(f"r{numbers[a]}", f"r{numbers[b]}") for a, b in both_whole])
-        out |= {(a, b): got[f"r{numbers[a]}", f"r{numbers[b]}"] for a, b in both_whole}
-    for a, b in pairs:
-        if (a, b) not in out:
-            x, y = numbers[a], numbers[b]
-            base = data.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-            base = ranked(ranked(base, x, "rx"), y, "ry")
-            out[a, b] = _moments(base, [("rx", "ry")])["rx", "ry"]
-    return out
+    holey = {n for n in names if row[n]}
+    views: dict[tuple[str, str | None], str] = {}
+
+    def view(own: str, other: str) -> str:
+        return views.setdefault((own, other if other in holey else None), f"v{len(views)}")
+
+    used = [(view(numbers[a], numbers[b]), view(numbers[b], numbers[a])) for a, b in pairs]
+    held = data.select(*(F.col(own).alias(v) if other is None else F.when(F.col(other).isNotNull(), F.col(own)).alias(v) for (own, other), v in views.items()))
+    ranks, kept = ranked(held, list(views.values()))
+    got = _moments(ranks, used)
+    for x in kept:
+        x.unpersist()
+    return {p: got[u] for p, u in zip(pairs, used, strict=True)}
+
+
+def valid_mi_columns(table, include_index: bool = False, include_time_index: bool = False) -> list[str]:
+    """Columns whose types mutual information can be measured of."""
+    skip = {None} | ({table.index} if not include_index else set()) | ({table.time_index} if not include_time_index else set())
+    return [c for c, s in table.schema.columns.items() if c not in skip and isinstance(s.logical_type, tuple(valid_mi_types()))]
 
 
 def _without_large(data: DataFrame, columns: list[str], schemas, place: dict, most: int) -> list[str]:

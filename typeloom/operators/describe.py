@@ -7,6 +7,7 @@ exact quantiles of all numeric columns together.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import date, datetime
 from decimal import Decimal
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import logical_types as L
 from . import counts
+from .progress import Progress
 from .quantiles import quantiles
 
 ROWS = ["physical_type", "logical_type", "semantic_tags", "count", "nunique", "nan_count", "mean", "mode", "std", "min", "first_quartile", "second_quartile", "third_quartile", "max", "num_true", "num_false"]
@@ -28,7 +30,9 @@ def distinct_and_mode(df: DataFrame, columns: list[str], with_mode: list[str]) -
     branches = []
     for i, c in enumerate(columns):
         by = df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        mode = F.min(F.struct(-F.col("n"), "v"))["v"].cast("string") if c in with_mode else F.lit(None).cast("string")
+        most = F.min(F.struct(-F.col("n"), "v"))["v"]
+        text = F.to_json(most, {"ignoreNullFields": "false"}) if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType)) else most.cast("string")
+        mode = text if c in with_mode else F.lit(None).cast("string")
         branches.append(by.agg(F.count(F.lit(1)).alias("distinct"), mode.alias("mode")).select(F.lit(i).alias("i"), "distinct", "mode"))
     if not branches:
         return {}
@@ -41,6 +45,10 @@ def _value(text: str | None, kind: T.DataType):
         return text
     if isinstance(kind, L.WHOLE):
         return int(text)
+    if isinstance(kind, T.StructType):
+        return tuple(json.loads(text).values())
+    if isinstance(kind, T.ArrayType):
+        return json.loads(text)
     if isinstance(kind, T.BooleanType):
         return text == "true"
     if isinstance(kind, T.DecimalType):
@@ -62,7 +70,7 @@ def describe_dict(table, include=None, callback: Callable | None = None, results
     booleans = [c for c in names if schemas[c].is_boolean]
     categories = [c for c in names if schemas[c].is_categorical]
     unknown = [c for c in names if isinstance(schemas[c].logical_type, L.Unknown) and not isinstance(df.schema[c].dataType, (T.MapType,))]
-    modal = [c for c in names if c in numeric or c in dates or c in booleans or c in categories]
+    modal = [c for c in names if not isinstance(df.schema[c].dataType, (T.MapType, T.BinaryType))]
     exprs, keys = [], []
 
     def want(c, stat, e):
@@ -88,10 +96,11 @@ def describe_dict(table, include=None, callback: Callable | None = None, results
     for (c, stat), v in zip(keys, df.agg(*exprs).first(), strict=True):
         got.setdefault(c, {})[stat] = v
     total = got.pop(None)["n"]
-    distinct = distinct_and_mode(df, [c for c in names if c in numeric or c in dates or c in categories or c in unknown or c in booleans], modal)
+    progress = Progress(callback, len(names))
+    distinct = distinct_and_mode(df, modal, modal)
     quart = quantiles(df, numeric, [0.25, 0.5, 0.75])
     out: dict[str, dict] = {}
-    for done, c in enumerate(names):
+    for c in names:
         own = got.get(c, {})
         stats = {"physical_type": table.physical_types[c], "logical_type": schemas[c].logical_type, "semantic_tags": schemas[c].semantic_tags, "count": total - own["nan_count"], "nan_count": own["nan_count"]}
         if c in numeric or c in dates or c in categories or c in unknown:
@@ -104,8 +113,7 @@ def describe_dict(table, include=None, callback: Callable | None = None, results
         if extra_stats:
             stats |= _extra(table, c, stats, bins, top_x, recent_x)
         out[c] = stats
-        if callback is not None:
-            callback(1, done + 1, len(names), "calculations", None)
+        progress.step()
         if results_callback is not None:
             results_callback(out, {c: stats})
     return out

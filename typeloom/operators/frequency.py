@@ -10,111 +10,66 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
+from enum import Enum
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import config
 from ..functions import logical_types as L
+from .places import numbered
 
 NO_FREQ = "NO_FREQ"
 
-#: Consecutive timestamps whose windows one group of rows holds.
-BLOCK = 50_000
+#: Consecutive timestamps whose windows one group of rows holds; timestamps that a task makes.
+BLOCK, STEPS_A_TASK = 50_000, 1_000_000
 MICROS = [("D", 86_400_000_000), ("H", 3_600_000_000), ("T", 60_000_000), ("S", 1_000_000), ("L", 1_000), ("U", 1)]
 DAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
-def _fixed(step: int, weekday: int) -> str:
-    """The alias of a constant difference in microseconds."""
-    week = 7 * MICROS[0][1]
-    if step % week == 0:
-        return f"{step // week if step > week else ''}W-{DAYS[weekday]}"
-    name, unit = next((n, u) for n, u in MICROS if step % u == 0)
-    return f"{step // unit if step > unit else ''}{name}"
+def series(spark: SparkSession, alias: str, first: datetime, last: datetime) -> DataFrame:
+    """pos (from 0) and ts of every timestamp from first to last at an alias; first must be one. Made by tasks, not by the driver."""
+    digits = len(alias) - len(alias.lstrip("0123456789"))
+    k, base = int(alias[:digits] or 1), alias[digits:].split("-")[0]
+    unit = dict(MICROS) | {"W": 7 * MICROS[0][1]}
+    start = F.lit(first).cast("timestamp_ntz")
+    micros = int((last - first) / timedelta(microseconds=1))
+    steps = lambda n: spark.range(0, max(0, n), numPartitions=max(1, min(4096, n // STEPS_A_TASK + 1)))
+    if base in unit:
+        return steps(micros // (unit[base] * k) + 1).select(F.col("id").alias("pos"), F.timestamp_add("MICROSECOND", F.col("id") * (unit[base] * k), start).alias("ts"))
+    if base == "B":
+        days = steps(micros // MICROS[0][1] + 1).select(F.timestamp_add("DAY", F.col("id"), start).alias("ts")).where(F.weekday("ts") < 5)
+        return numbered(days, ["ts"], "pos").select("pos", "ts")
+    each = {"A": 12, "AS": 12, "BA": 12, "BAS": 12, "Q": 3, "QS": 3, "BQ": 3, "BQS": 3}.get(base, 1) * k
+    many = (last.year * 12 + last.month - first.year * 12 - first.month) // (1 if base == "SM" else each) + 1
+    month = F.add_months(F.trunc(start, "month"), (F.col("id") * (1 if base == "SM" else each)).cast("int"))
+    early, late = (first_weekday(month), last_weekday(month)) if base.startswith("B") else (month, F.last_day(month))
+    days = [F.date_add(month, 14), F.last_day(month)] if base == "SM" else [early if base.endswith("S") else late]
+    clock = F.timestamp_diff("MICROSECOND", F.date_trunc("day", start), start)
+    made = steps(many).select(F.explode(F.array(*days)).alias("d")).select(F.timestamp_add("MICROSECOND", clock, F.col("d").cast("timestamp_ntz")).alias("ts"))
+    return numbered(made.where((F.col("ts") >= start) & (F.col("ts") <= F.lit(last).cast("timestamp_ntz"))), ["ts"], "pos").select("pos", "ts")
 
 
-def _last_day(t: datetime) -> int:
-    return ((t.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)).day
+def last_weekday(day):
+    """The last weekday of a day's month."""
+    last = F.last_day(day)
+    return F.date_sub(last, F.greatest(F.lit(0), F.weekday(last) - 4))
 
 
-def _business(t: datetime, last: bool) -> int:
-    """The day of the month's last or first weekday."""
-    d = t.replace(day=_last_day(t)) if last else t.replace(day=1)
-    while d.weekday() > 4:
-        d += timedelta(days=-1 if last else 1)
-    return d.day
+def first_weekday(day):
+    first = F.trunc(day, "month")
+    return F.date_add(first, F.when(F.weekday(first) > 4, 7 - F.weekday(first)).otherwise(0))
 
 
-def alias_of(stamps: list[datetime]) -> str | None:
-    """The alias of a strictly increasing series of three or more timestamps; None if none fits."""
-    if len(stamps) < 3:
-        return None
-    deltas = {int((b - a) / timedelta(microseconds=1)) for a, b in zip(stamps, stamps[1:], strict=False)}
-    if min(deltas) <= 0:
-        return None
-    if len(deltas) == 1:
-        return _fixed(deltas.pop(), stamps[0].weekday())
-    if len({(t.hour, t.minute, t.second, t.microsecond) for t in stamps}) > 1:
-        return None
-    months = [t.year * 12 + t.month for t in stamps]
-    steps = {b - a for a, b in zip(months, months[1:], strict=False)}
-    kinds = {
-        "M": all(t.day == _last_day(t) for t in stamps),
-        "MS": all(t.day == 1 for t in stamps),
-        "BM": all(t.day == _business(t, True) for t in stamps),
-        "BMS": all(t.day == _business(t, False) for t in stamps),
-    }
-    if len(steps) == 1 and (step := steps.pop()) > 0:
-        kind = next((k for k, ok in kinds.items() if ok), None)
-        if kind is None:
-            return None
-        return _calendar(kind, step, stamps[0].month)
-    day = MICROS[0][1]
-    if deltas <= {day, 3 * day} and all(t.weekday() < 5 for t in stamps):
-        if all((b - a).days == (3 if a.weekday() == 4 else 1) for a, b in zip(stamps, stamps[1:], strict=False)):
-            return "B"
-    if all(t.day == 15 or t.day == _last_day(t) for t in stamps) and all((a.day == 15) != (b.day == 15) and m - n in (0, 1) for a, b, n, m in zip(stamps, stamps[1:], months, months[1:], strict=False)):
-        return "SM-15"
-    return None
-
-
-def series(alias: str, first: datetime, last: datetime) -> list[datetime]:
-    """Every timestamp from first to last at an alias; first must be one."""
-    digits = len(alias) - len(alias.lstrip("0123456789"))
-    k, base = int(alias[:digits] or 1), alias[digits:].split("-")[0]
-    unit = dict(MICROS) | {"W": 7 * MICROS[0][1]}
-    out, t = [], first
-    if base in unit:
-        step = timedelta(microseconds=unit[base] * k)
-        while t <= last:
-            out.append(t)
-            t += step
-        return out
-    if base == "B":
-        while t <= last:
-            if t.weekday() < 5:
-                out.append(t)
-            t += timedelta(days=1)
-        return out
-    months = {"A": 12, "AS": 12, "BA": 12, "BAS": 12, "Q": 3, "QS": 3, "BQ": 3, "BQS": 3}.get(base, 1) * k
-    start, business = base.endswith("S"), base.startswith("B")
-    n = first.year * 12 + first.month - 1
-    while True:
-        d = first.replace(year=n // 12, month=n % 12 + 1, day=1)
-        ends = [15, _last_day(d)] if base == "SM" else [1 if start else _last_day(d)]
-        if business:
-            ends = [_business(d, not start)]
-        for e in ends:
-            t = d.replace(day=e)
-            if t > last:
-                return out
-            if t >= first:
-                out.append(t)
-        n += 1 if base == "SM" else months
+class Message(Enum):
+    """Why no frequency is estimated. Results must equal them."""
+
+    EMPTY = "datetime_series_is_empty"
+    UNORDERED = "datetime_series_is_not_monotonic"
+    SHORT = "datetime_series_is_not_long_enough"
+    UNFIT = "datetime_series_freq_cannot_be_estimated"
 
 
 @dataclass
@@ -139,19 +94,13 @@ class Debug:
 
 
 def positioned(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """pos (from 0) and ts of a column, by ranges of the order and the ranges' totals, so that no task orders all rows."""
-    keys = [F.col(f"`{c}`") for c in order]
-    spread = df.select(F.col(f"`{name}`").alias("ts"), *(k.alias(f"o{i}") for i, k in enumerate(keys))).repartitionByRange(*(F.col(f"o{i}").asc_nulls_last() for i in range(len(keys)))).withColumn("_part", F.spark_partition_id())
-    totals = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_t"))
-    before = totals.withColumn("_before", F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).select("_part", "_before")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*(F.col(f"o{i}").asc_nulls_last() for i in range(len(keys)))))
-    return spread.withColumn("_row", inside).join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_row") - 1).alias("pos"), "ts")
+    """pos (from 0) and ts of a column."""
+    return numbered(df.select(F.col(f"`{name}`").alias("ts"), *(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order))), [f"o{i}" for i in range(len(order))], "pos").select("pos", "ts")
 
 
 def runs(rows: DataFrame, pos: str = "pos", ts: str = "ts") -> DataFrame:
     """dt (the first timestamp), idx and range of each run of consecutive places."""
-    w = Window.orderBy(pos)
-    keyed = rows.withColumn("_g", F.col(pos) - F.row_number().over(w))
+    keyed = numbered(rows, [pos], "_k").withColumn("_g", F.col(pos) - F.col("_k"))
     return keyed.groupBy("_g").agg(F.min_by(ts, pos).alias("dt"), F.min(pos).alias("idx"), F.count(F.lit(1)).alias("range")).drop("_g")
 
 
@@ -170,18 +119,54 @@ def candidates(rows: DataFrame, window: int | None = None) -> DataFrame:
     """alias, count, min_dt and max_dt over every window of consecutive timestamps: rows is (pos, ts), without nulls and repeats."""
     window = window or config.get_option("frequency_window_length")
 
-    @F.pandas_udf(T.StringType())
-    def alias(windows: pd.Series) -> pd.Series:
-        return windows.map(lambda x: alias_of([pd.Timestamp(t).to_pydatetime() for t in x]) or NO_FREQ)
-
     # Blocks of consecutive places, each with the first rows of the next, so that every window lies within one block.
     dense = positioned(rows, "ts", ["pos"])
     home = F.floor(F.col("pos") / BLOCK)
     shared = F.when(F.col("pos") % BLOCK < window - 1, F.array(home - 1, home)).otherwise(F.array(home))
     blocks = dense.withColumn("_home", home).withColumn("_block", F.explode(shared))
-    w = Window.partitionBy("_block").orderBy("pos").rowsBetween(0, window - 1)
-    full = blocks.select("_home", "_block", F.collect_list("ts").over(w).alias("x")).where((F.col("_home") == F.col("_block")) & (F.size("x") == window))
-    return full.select(alias("x").alias("alias"), F.col("x")[0].alias("a"), F.col("x")[window - 1].alias("b")).groupBy("alias").agg(F.count(F.lit(1)).alias("count"), F.min("a").alias("min_dt"), F.max("b").alias("max_dt"))
+    order = Window.partitionBy("_block").orderBy("pos")
+    near = blocks.withColumn("b", F.lag("ts").over(order))
+    whole, moves = order.rowsBetween(0, window - 1), order.rowsBetween(1, window - 1)
+    facts = {k: f.over(moves if of_moves else whole) for k, (f, of_moves) in _facts().items()}
+    full = near.select("_home", "_block", "ts", F.lead("ts", window - 1).over(order).alias("end"), F.count(F.lit(1)).over(whole).alias("many"), *(f.alias(k) for k, f in facts.items()))
+    full = full.where((F.col("_home") == F.col("_block")) & (F.col("many") == window))
+    return full.select(F.coalesce(_alias(), F.lit(NO_FREQ)).alias("alias"), "ts", "end").groupBy("alias").agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("min_dt"), F.max("end").alias("max_dt"))
+
+
+def _micros(c) -> Column:
+    return F.unix_micros(F.to_utc_timestamp(c, "UTC").cast("timestamp"))
+
+
+def _facts() -> dict[str, tuple[Column, bool]]:
+    """Aggregates over consecutive timestamps ts, b being the one before, that settle their alias; and which of them are about the
+    moves from b to ts. False is 0 and true 1."""
+    day, months = F.to_date("ts"), F.year("ts") * 12 + F.month("ts")
+    move, step = _micros("ts") - _micros("b"), months - (F.year("b") * 12 + F.month("b"))
+    weekdays = (F.weekday("ts") < 5) & (F.weekday("b") < 5) & (F.datediff("ts", "b") == F.when(F.weekday("b") == 4, 3).otherwise(1))
+    half = ((F.dayofmonth("ts") == 15) != (F.dayofmonth("b") == 15)) & step.isin(0, 1) & ((F.dayofmonth("ts") == 15) | (day == F.last_day("ts"))) & ((F.dayofmonth("b") == 15) | (F.to_date("b") == F.last_day("b")))
+    clock = F.date_format("ts", "HHmmssSSSSSS")
+    every = lambda x: F.min(x.cast("int"))
+    return {
+        "low": (F.min(move), True), "high": (F.max(move), True), "mlow": (F.min(step), True), "mhigh": (F.max(step), True), "weekdays": (every(weekdays), True), "half": (every(half), True),
+        "clock1": (F.min(clock), False), "clock2": (F.max(clock), False), "first": (F.min("ts"), False),
+        "M": (every(day == F.last_day("ts")), False), "MS": (every(day == F.trunc("ts", "month")), False), "BM": (every(day == last_weekday("ts")), False), "BMS": (every(day == first_weekday("ts")), False),
+    }
+
+
+def _alias() -> Column:
+    """The alias that the facts settle; null if none fits. Calendar aliases need one time of day."""
+    step, week = F.col("low"), 7 * MICROS[0][1]
+    times = lambda k: F.when(k > 1, k.cast("bigint").cast("string")).otherwise("")
+    fixed = F.when(step % week == 0, F.concat(times(step / week), F.lit("W-"), F.array(*map(F.lit, DAYS))[F.weekday("first")]))
+    for name, unit in MICROS:
+        fixed = fixed.when(step % unit == 0, F.concat(times(step / unit), F.lit(name)))
+    kind = F.when(F.col("M") == 1, "M").when(F.col("MS") == 1, "MS").when(F.col("BM") == 1, "BM").when(F.col("BMS") == 1, "BMS")
+    long = lambda n, letter, anchor: F.concat(times(F.col("mlow") / n), F.when(kind.startswith("B"), "B").otherwise(""), F.lit(letter), F.when(kind.endswith("S"), "S").otherwise(""), F.lit("-"), F.array(*map(F.lit, MONTHS))[anchor])
+    month = F.month("first") - 1
+    calendar = F.when(F.col("mlow") % 12 == 0, long(12, "A", month)).when(F.col("mlow") % 3 == 0, long(3, "Q", month % 3 + 9)).otherwise(F.concat(times(F.col("mlow")), kind))
+    months = (F.col("mlow") == F.col("mhigh")) & (F.col("mlow") > 0) & kind.isNotNull()
+    out = F.when(F.col("low") <= 0, F.lit(None).cast("string")).when(F.col("low") == F.col("high"), fixed).when(F.col("clock1") != F.col("clock2"), F.lit(None).cast("string"))
+    return out.when(months, calendar).when(F.col("weekdays") == 1, "B").when(F.col("half") == 1, "SM-15")
 
 
 def steps(rows: DataFrame) -> DataFrame:
@@ -201,43 +186,45 @@ def infer_frequency(df: DataFrame, name: str, order: list[str] | None = None, de
         df = df.withColumn(name, F.expr("timestamp_ntz'1970-01-01'") + stamp)
     else:
         df = df.withColumn(name, stamp.cast("timestamp_ntz"))
-    rows = positioned(df, name, order or [name])
+    rows = positioned(df, name, order or [name]).persist()
+    try:
+        return _inferred(rows, window, threshold, debug)
+    finally:
+        rows.unpersist()
+
+
+def _inferred(rows: DataFrame, window: int, threshold: float, debug: bool):
     exact = None if _nulls(rows) else _exact(rows)
     if not debug:
         return exact
     out = Debug()
-    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("ts").alias("n")).first()
-    if span.a is not None:
-        out.actual_range_start, out.actual_range_end = span.a.isoformat(), span.b.isoformat()
     if exact is not None:
-        out.estimated_freq, out.estimated_range_start, out.estimated_range_end = exact, out.actual_range_start, out.actual_range_end
         return exact, asdict(out)
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("ts").alias("n")).first()
     if not span.n:
-        out.message = "Series cannot be empty"
+        out.message = Message.EMPTY.value
         return None, asdict(out)
-    out.nan_values = [Range(None, r.idx, r["range"]) for r in runs(rows.where(F.col("ts").isNull())).orderBy("idx").collect()]
-    repeats = duplicates(rows)
-    out.duplicate_values = [Range(r.dt.isoformat(), r.idx, r["range"]) for r in runs(repeats).orderBy("idx").collect()]
-    clean = rows.where(F.col("ts").isNotNull()).groupBy("ts").agg(F.min("pos").alias("pos"))
+    out.actual_range_start, out.actual_range_end = span.a.isoformat(), span.b.isoformat()
+    ranges = lambda found: [Range(r.dt and r.dt.isoformat(), r.idx, r["range"]) for r in runs(found).orderBy("idx").collect()]
+    out.nan_values = ranges(rows.where(F.col("ts").isNull()))
+    out.duplicate_values = ranges(duplicates(rows))
+    clean = rows.where(F.col("ts").isNotNull()).groupBy("ts").agg(F.min("pos").alias("pos")).persist()
     if clean.count() < window:
-        out.message = f"Series too short: {window} or more distinct timestamps are needed"
+        out.message = Message.SHORT.value
         return None, asdict(out)
-    back = steps(positioned(clean, "ts", ["pos"])).where("ts < b")
-    if back.take(1):
-        out.message = "Series is not increasing"
+    if steps(positioned(clean, "ts", ["pos"])).where("ts < b").take(1):
+        out.message = Message.UNORDERED.value
         return None, asdict(out)
     found = candidates(clean, window).collect()
     total = sum(r["count"] for r in found)
     best = max(found, key=lambda r: (r["count"], r["alias"]))
     if best["alias"] == NO_FREQ or best["count"] / total < threshold:
-        out.message = "No frequency fits enough of the series"
+        out.message = Message.UNFIT.value
         return None, asdict(out)
     out.estimated_freq, out.estimated_range_start, out.estimated_range_end = best["alias"], best.min_dt.isoformat(), best.max_dt.isoformat()
-    spark = df.sparkSession
-    expected = series(best["alias"], best.min_dt, best.max_dt)
-    estimated = spark.createDataFrame(list(enumerate(expected)), "pos long, ts timestamp_ntz")
-    out.missing_values = [Range(r.dt.isoformat(), r.idx, r["range"]) for r in runs(missing(estimated, clean)).orderBy("idx").collect()]
-    out.extra_values = [Range(r.dt.isoformat(), r.idx, r["range"]) for r in runs(missing(clean, estimated)).orderBy("idx").collect()]
+    estimated = series(rows.sparkSession, best["alias"], best.min_dt, best.max_dt)
+    out.missing_values, out.extra_values = ranges(missing(estimated, clean)), ranges(missing(clean, estimated))
+    clean.unpersist()
     return None, asdict(out)
 
 
@@ -246,41 +233,15 @@ def _nulls(rows: DataFrame) -> bool:
 
 
 def _exact(rows: DataFrame) -> str | None:
-    """The alias of the whole series, from its distinct steps and, where these differ, from aggregates over its calendar."""
-    moves = steps(rows)
-    micros = lambda c: F.unix_micros(F.to_utc_timestamp(c, "UTC").cast("timestamp"))
-    last = F.last_day("ts")
-    weekday_last = F.date_sub(last, F.greatest(F.lit(0), F.weekday(last) - 4))
-    first = F.trunc("ts", "month")
-    weekday_first = F.date_add(first, F.when(F.weekday(first) > 4, 7 - F.weekday(first)).otherwise(0))
-    day = F.to_date("ts")
-    months = F.year("ts") * 12 + F.month("ts")
-    month_step = months - (F.year("b") * 12 + F.month("b"))
-    s = moves.agg(F.count(F.lit(1)).alias("n"), F.min(micros("ts") - micros("b")).alias("low"), F.max(micros("ts") - micros("b")).alias("high"), F.min(month_step).alias("mlow"), F.max(month_step).alias("mhigh"), F.every((F.weekday("ts") < 5) & (F.weekday("b") < 5) & (F.datediff("ts", "b") == F.when(F.weekday("b") == 4, 3).otherwise(1))).alias("b")).first()
-    if not s.n or s.n < 2 or s.low <= 0:
-        return None
-    a = rows.agg(F.min("ts").alias("first"), F.min(F.date_format("ts", "HHmmssSSSSSS")).alias("t1"), F.max(F.date_format("ts", "HHmmssSSSSSS")).alias("t2"), F.every(day == last).alias("M"), F.every(day == first).alias("MS"), F.every(day == weekday_last).alias("BM"), F.every(day == weekday_first).alias("BMS")).first()
-    if s.low == s.high:
-        return _fixed(s.low, a["first"].weekday())
-    if a.t1 != a.t2:
+    """The alias of the whole series, from one aggregation over its moves and one over its timestamps."""
+    made = _facts()
+    moves = steps(rows).agg(F.count(F.lit(1)).alias("n"), *(f.alias(k) for k, (f, of_moves) in made.items() if of_moves))
+    stamps = rows.agg(*(f.alias(k) for k, (f, of_moves) in made.items() if not of_moves))
+    held = {**moves.first().asDict(), **stamps.first().asDict()}
+    if held["n"] < 2:
         return None
-    kind = next((k for k in ("M", "MS", "BM", "BMS") if a[k]), None)
-    if s.mlow == s.mhigh and s.mlow > 0 and kind:
-        return _calendar(kind, s.mlow, a["first"].month)
-    if s.b:
-        return "B"
-    half = moves.agg(F.every(((F.dayofmonth("ts") == 15) != (F.dayofmonth("b") == 15)) & month_step.isin(0, 1) & ((F.dayofmonth("ts") == 15) | (day == last))).alias("ok")).first().ok
-    return "SM-15" if half else None
-
-
-def _calendar(kind: str, step: int, month: int) -> str:
-    start, b = kind.endswith("S"), "B" if kind.startswith("B") else ""
-    for size, letter in ((12, "A"), (3, "Q")):
-        if step % size == 0:
-            k = step // size
-            anchor = month - 1 if size == 12 else (month - 1) % 3 + 9
-            return f"{k if k > 1 else ''}{b}{letter}{'S' if start else ''}-{MONTHS[anchor]}"
-    return f"{step if step > 1 else ''}{kind}"
+    schema = T.StructType([*moves.schema.fields, *stamps.schema.fields])
+    return rows.sparkSession.createDataFrame([tuple(held[f.name] for f in schema)], schema).select(_alias().alias("alias")).first().alias
 
 
 def infer_temporal_frequencies(table, temporal_columns: list[str] | None = None, debug: bool = False) -> dict:

@@ -89,11 +89,12 @@ def _bounded(table, name: str, bounds, method: str, q, include: bool, ignore_zer
     low, high = (round(b, 5) for b in bounds)
     out = {"method": method, "low_bound": low, "high_bound": high, "quantiles": dict(zip(QUARTILES, q, strict=True)), **more}
     if include:
-        for side, rows in (("low", outlier_rows(table, name, low, high, ignore_zeros).where("side = 'low'")), ("high", outlier_rows(table, name, low, high, ignore_zeros).where("side = 'high'"))):
-            found = rows.orderBy(*rows.columns[:1]).collect()
-            out[f"{side}_values"] = [r.value for r in found]
+        rows = outlier_rows(table, name, low, high, ignore_zeros)
+        found = rows.orderBy(*rows.columns[:1]).collect()
+        for side in ("low", "high"):
+            out[f"{side}_values"] = [r.value for r in found if r.side == side]
             if "index" in rows.columns:
-                out[f"{side}_indices"] = [r["index"] for r in found]
+                out[f"{side}_indices"] = [r["index"] for r in found if r.side == side]
     return out
 
 
@@ -128,7 +129,7 @@ def sampled_medcouple(table, name: str, ignore_zeros: bool = False) -> float | N
     if n == 0:
         return None
     if n > most:
-        values = values.select("value", F.xxhash64("value", F.lit(42)).alias("h"), F.rand(42).alias("r")).orderBy("r", "h").limit(most)
+        values = values.orderBy(F.xxhash64(F.lit(42), *values.columns), *values.columns).limit(most)  # however the rows lie
     return round(medcouple(values.select("value").toPandas()["value"].to_numpy(dtype=float)), 3)
 
 

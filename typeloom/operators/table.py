@@ -12,6 +12,7 @@ from ..functions import logical_types as L
 from ..plans import inference
 from ..plans.registry import type_system, warn
 from ..plans.schema import INDEX, TIME_INDEX, ColumnSchema, TableSchema
+from .places import numbered
 
 
 def col(name: str) -> Column:
@@ -94,6 +95,20 @@ class TypedColumn:
     def validate_logical_type(self, return_invalid_values: bool = False):
         return self.table[[self.name]].validate_logical_types(return_invalid_values)
 
+    def iloc(self, places):
+        """The value at a place, or the column at the places of a slice or list, in the order of the table's indexes."""
+        found = self.table.iloc(places, [self.name])
+        return found[0] if isinstance(found, Row) else found[self.name]
+
+    def loc(self, keys) -> TypedColumn:
+        """The column where the index has these values, or where a condition holds."""
+        return self.table.loc(keys, [self.name])[self.name]
+
+    def transform(self, change) -> TypedColumn | DataFrame:
+        """change(df) of the column alone, typed as before if it still fits; else the bare DataFrame, with a warning."""
+        out = self.table[[self.name]].transform(change)
+        return out[self.name] if isinstance(out, TypedTable) else out
+
     def box_plot_dict(self, **kw) -> dict:
         from .outliers import box_plot
 
@@ -328,20 +343,26 @@ class TypedTable:
         return TypedTable(self.df.filter(col(self.index).isin(*keys)).select(*map(col, table.columns)), table.schema)
 
     def iloc(self, places, columns=None) -> TypedTable | Row:
-        """Rows by place, from 0, in the order of time index and index. A single place gives a Row; a slice a table."""
+        """Rows by place in the order of time index and index, from 0, or from -1 backwards. A single place gives a Row; a slice,
+        with any step but 0, or a list of places gives a table, whose rows keep the order of the index."""
         order = [c for c in (self.time_index, self.index) if c is not None]
         if not order:
             raise ValueError("rows have places only with an index or time index")
         names = self.columns if columns is None else [self.columns[i] if isinstance(i, int) else i for i in columns]
-        start, stop = (places, places + 1) if isinstance(places, int) else (places.start or 0, places.stop)
-        if start < 0 or stop is None or stop < 0 or isinstance(places, slice) and places.step not in (None, 1):
-            raise ValueError("places count from 0, up to a stop")
-        found = self.df.orderBy(*(col(c).asc_nulls_last() for c in order)).offset(start).limit(max(stop - start, 0)).select(*map(col, names))
-        if isinstance(places, int):
-            if (row := found.first()) is None:
-                raise IndexError(f"there is no row at {places}")
-            return row
-        return TypedTable(found, self.schema.subset(names))
+        place = numbered(self.df, order, "_place")
+        n = self.df.count()
+        if isinstance(places, slice):
+            wanted = range(n)[places]
+            step = abs(wanted.step)
+            low, high = (min(wanted[0], wanted[-1]), max(wanted[0], wanted[-1])) if len(wanted) else (0, -1)
+            fits = F.col("_place").between(low, high) & ((F.col("_place") - low) % step == 0)
+        else:
+            listed = [places] if isinstance(places, int) else list(places)
+            if beyond := [p for p in listed if not -n <= p < n]:
+                raise IndexError(f"there is no row at {beyond[0]}")
+            fits = F.col("_place").isin([p % n for p in listed])
+        found = place.where(fits).select(*map(col, names))
+        return found.first() if isinstance(places, int) else TypedTable(found, self.schema.subset(names))
 
     # -- types and tags ----------------------------------------------------------------------------------------------
 
@@ -530,6 +551,16 @@ def init_series(df: DataFrame, name: str, logical_type=None, semantic_tags=None,
     return table[name]
 
 
+def typed_series(df: DataFrame, name: str, logical_type, **kw) -> TypedColumn:
+    """A column as it is, typed without being coerced: a type that its values are not stored as is an error."""
+    kind = type_system.instance(logical_type)
+    held = df.schema[name].dataType
+    if not kind.fits(held):
+        raise TypeValidationError(f"'{name}' is {held.simpleString()}, which is not {kind}; init_series converts it")
+    columns = {name: ColumnSchema(kind, kw.pop("semantic_tags", None), kw.pop("use_standard_tags", True), kw.pop("description", None), kw.pop("origin", None), kw.pop("metadata", None))}
+    return TypedTable(df.select(col(name)), TableSchema(columns, None, None))[name]
+
+
 def concat_columns(objects: list[TypedTable | TypedColumn], validate: bool = True) -> TypedTable:
     """Tables side by side, by a full outer join on their indexes, or on a common column set where only one of them is the
     index. A whole-number or boolean column that gets nulls becomes its nullable type."""

@@ -1,8 +1,9 @@
 """Inference of logical types from data.
 
-What the rules need to know of all columns is gathered in one aggregation over one scan, of a sample where the table is
-large; a second, over string columns that look like datetimes alone, tries formats. The walk over the type graph then
-runs on the driver over that single row.
+What the rules need to know of all columns is gathered in aggregations over a sample where the table is large. A look at a
+few rows first refutes most of what has to hold for every value; one pass over the sample settles what is left, and another
+counts frequent words in columns that no rule fits, or tries formats on strings that look like datetimes. The walk over the
+type graph then runs on the driver.
 """
 
 from __future__ import annotations
@@ -30,22 +31,32 @@ def sampled(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df if n <= rows else df.sample(False, rows / n, SEED)
 
 
+#: Rows that the first look is at; distinct values, at most, among which a pair of words for true and false is looked for.
+HEAD_ROWS, FEW = 1000, 64
+
+
+def frequent_words(c: Column) -> Column:
+    """How many of a text's words are frequent ones, on average."""
+    words = F.array(*(F.lit(w) for w in sorted(config.get_option("common_words") or COMMON)))
+    return F.avg(F.size(F.filter(F.split(F.lower(c), _SPLIT), lambda w: F.array_contains(words, w))))
+
+
 def facts(c: Column, kind: T.DataType) -> dict[str, Column]:
     """Aggregates about a column that the rules use."""
     value = L.clean(c, kind)
     out = {"n": F.count(F.lit(1)), "some": F.count(value)}
     every = lambda test: F.every(F.coalesce(test, value.isNull()))
-    distinct = F.collect_set(value) if isinstance(kind, (T.StringType, *L.NUMBERS, T.BooleanType, *L.STAMPS)) else None
+    distinct = F.collect_set(value) if isinstance(kind, L.NUMBERS) else None
     if isinstance(kind, T.StringType):
+        distinct = F.collect_set(F.when(value.isNotNull(), F.xxhash64(value)))
         number = F.regexp_replace(F.trim(value), "_", "").try_cast("double")
         out |= {
             "distinct": F.size(distinct),
-            "few": F.when(F.size(distinct) <= 64, F.array_sort(F.array_distinct(F.transform(distinct, F.lower)))),
+            "few": F.array_sort(F.collect_set(F.when(F.length(value) <= FEW, F.lower(value)))),
             "int": every(value.rlike(_INT)),
             "float": every(value.rlike(_FLOAT)),
             "fraction": F.some(F.coalesce(value.rlike(_FLOAT) & ~(number == F.floor(number)) | F.isnan(number) | (F.abs(number) == float("inf")), F.lit(False))),
             "date": every(value.rlike(datetimes.SHAPE)),
-            "words": F.avg(F.size(F.filter(F.split(F.lower(c), _SPLIT), lambda w: w.isin(*sorted(COMMON))))),
         }
         for name in ("email", "phone", "postal_code", "url", "ipv4", "ipv6"):
             out[name] = every(L.matches(value, f"{name}_inference_regex"))
@@ -108,7 +119,7 @@ class Found:
         return isinstance(self.kind, T.DayTimeIntervalType)
 
     def NaturalLanguage(self) -> bool:
-        return self.string and (self.got["words"] or 0) > config.get_option("natural_language_threshold")
+        return self.string and (self.got.get("words") or 0) > config.get_option("natural_language_threshold")
 
     def EmailAddress(self) -> bool:
         return self.string and bool(self.got["email"])
@@ -177,28 +188,48 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
         for k, e in own.items():
             exprs.append(e.alias(f"a{len(names)}"))
             names.append((c, k))
-    row = sample.agg(*exprs).first()
+    head = sample.limit(HEAD_ROWS).agg(*exprs).first()
     got: dict[str, dict] = {c: {} for c in columns}
-    for (c, k), v in zip(names, row, strict=True):
+    open_ = []
+    for (c, k), e, v in zip(names, exprs, head, strict=True):
+        if k in _EVERY and v is False or k == "few" and len(v) > FEW:
+            got[c][k] = v if k != "few" else None  # what fails on some rows fails on more
+        else:
+            open_.append(((c, k), e))
+    row = sample.agg(*(e.alias(f"a{i}") for i, (_, e) in enumerate(open_))).first()
+    for ((c, k), _), v in zip(open_, row, strict=True):
         got[c][k] = v
+    for c in columns:
+        if got[c].get("few") is not None and len(got[c]["few"]) > FEW:
+            got[c]["few"] = None
     dated = [c for c in columns if isinstance(kinds[c], T.StringType) and got[c]["some"] and got[c]["date"]]
     dates = _dates(sample, {c: f"c{columns.index(c)}" for c in dated})
-    out = {}
-    for c in columns:
+
+    def walked(c: str) -> type[L.LogicalType]:
         found = Found(kinds[c], got[c], dates.get(c, False))
         if not found.got["some"]:
-            out[c] = system.default_type()
-            continue
+            return system.default_type
 
-        def rule(t, found=found):
+        def rule(t):
             r = system.rules.get(t)
             if r is None:
                 return None
             return bool(found.got[f"custom{list(custom).index(t)}"]) if callable(r) else getattr(found, r)()
 
-        kind = walk(rule, system)
-        out[c] = kind()
-    return out
+        return walk(rule, system)
+
+    out = {c: walked(c) for c in columns}
+    texts = [c for c in columns if isinstance(kinds[c], T.StringType) and out[c] is system.default_type and got[c]["some"]]
+    if texts:
+        row = sample.agg(*(frequent_words(F.col(f"c{columns.index(c)}")).alias(f"w{i}") for i, c in enumerate(texts))).first()
+        for i, c in enumerate(texts):
+            got[c]["words"] = row[i]
+            out[c] = walked(c)
+    return {c: out[c]() for c in columns}
+
+
+#: Facts that hold for every value or not at all.
+_EVERY = {"int", "float", "date", "email", "phone", "postal_code", "url", "ipv4", "ipv6", "few_ints"}
 
 
 def _dates(sample: DataFrame, columns: dict[str, str], rows: int = 100) -> dict[str, bool]:

@@ -77,9 +77,14 @@ class TypeSystem:
         if parent is not None:
             self.update_relationship(kind, parent)
 
-    def remove_type(self, kind) -> None:
-        """Unregisters a type; its children go to its parent."""
-        kind = self.str_to_logical_type(kind) if isinstance(kind, str) else kind
+    def remove_type(self, kind, treatment: str | None = None) -> None:
+        """Unregisters a type; its children go to its parent. With treatment "ignore" a type that is not registered is no error."""
+        if treatment not in (None, "ignore"):
+            raise ValueError("treatment must be 'ignore' or None")
+        named = self.str_to_logical_type(kind, raise_error=treatment is None) if isinstance(kind, str) else kind
+        if treatment == "ignore" and named not in self.types:
+            return
+        kind = named
         self._known(kind)
         if kind is self.default_type:
             raise ValueError("the default type cannot be removed")

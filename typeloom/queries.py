@@ -266,9 +266,10 @@ def dependence_target(spark, sf_dir):
     return out.select("column_1", "column_2", F.round(F.when(F.abs("pearson") >= F.abs("spearman"), F.col("pearson")).otherwise(F.col("spearman")), 6).alias("max"))
 
 
-@query(None)
+@query(f"SELECT column_1, column_2, mutual_info AS max, NULL::DOUBLE AS pearson, NULL::DOUBLE AS spearman, mutual_info, (SELECT count(*) FROM orders) AS shared_rows, 'mutual_info' AS measure_used FROM ({_ami_sql([('o_orderstatus', 'o_orderpriority'), ('o_orderstatus', 'o_totalprice'), ('o_orderpriority', 'o_totalprice')])})")
 def dependence_max(spark, sf_dir):
-    return _typed(spark, sf_dir, "orders", CODED).dependence("all", extra_stats=True)
+    found = _typed(spark, sf_dir, "orders", CODED).dependence("all", extra_stats=True)
+    return found.withColumns({c: F.round(c, 5) for c in ("max", "pearson", "spearman", "mutual_info")})
 
 
 INFERRED = {
@@ -343,8 +344,7 @@ def datetime_parse(spark, sf_dir):
 
 @query("SELECT round(avg(len(list_filter(string_split_regex(lower(text), '[- \\[\\].,!\\?;\\n]'), lambda x: list_contains([" + ", ".join(f"'{w}'" for w in sorted(COMMON)) + "], x)))), 6) AS common_words FROM documents".replace("\\\\", "\\"))
 def natural_language_mean(spark, sf_dir):
-    c = F.col("text")
-    return _table(spark, sf_dir, "documents").agg(F.round(inference.facts(c, L.T.StringType())["words"], 6).alias("common_words"))
+    return _table(spark, sf_dir, "documents").agg(F.round(inference.frequent_words(F.col("text")), 6).alias("common_words"))
 
 
 @query("SELECT name, freq FROM (VALUES ('hours', 'H'), ('days', '3D'), ('weeks', 'W-SUN'), ('month_ends', 'M'), ('month_starts', 'MS'), ('quarters', 'QS-OCT'), ('years', 'A-DEC'), ('weekdays', 'B'), ('none', NULL)) v(name, freq)")
@@ -396,11 +396,6 @@ def frequency_duplicates(spark, sf_dir):
     return frequency.runs(frequency.duplicates(rows)).select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), "idx", "range")
 
 
-@query(None)
-def frequency_candidates(spark, sf_dir):
-    return frequency.candidates(_slots(spark, sf_dir, 60))
-
-
 @query("SELECT count(*) = count(DISTINCT o_orderkey) AND count(*) = count(o_orderkey) AS valid_index, count(DISTINCT o_custkey) = count(*) AS valid_customer FROM orders")
 def index_check(spark, sf_dir):
     t = _typed(spark, sf_dir, "orders", {"o_orderkey": "Integer", "o_custkey": "Integer"})

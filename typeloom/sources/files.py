@@ -52,17 +52,22 @@ def _arrow_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema)
 
 
+def _quoted_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a csv file has quoted line breaks: then some line holds an odd number of quotes. Files without are read in parts."""
+    return bool(spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).take(1))
+
+
 def read_file(spark: SparkSession, path: str, content_type: str | None = None, name: str | None = None, index: str | None = None, time_index: str | None = None, semantic_tags=None, logical_types=None, use_standard_tags=True, column_origins=None, replace_nan: bool = False, validate: bool = True, **options) -> TypedTable:
     """A typed table from csv, parquet, orc or arrow files. Options go to Spark's reader.
 
-    csv is read as strings, which inference types. replace_nan makes strings that stand for null null, in all columns.
+    csv is read as strings, which inference types; a file is split among tasks unless it has quoted line breaks. replace_nan makes strings that stand for null null, in all columns.
     """
     kind = _format(path, content_type)
     if kind == "arrow":
         df = _arrow_files(spark, path)
     else:
         if kind == "csv":
-            options = {"header": True, "multiLine": True, "escape": '"', **options}
+            options = {"header": True, "multiLine": _quoted_lines(spark, path), "escape": '"', **options}
         df = spark.read.options(**options).format(kind).load(path)
     if replace_nan:
         df = df.select(*(L.clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
@@ -183,7 +188,7 @@ def read_table(spark: SparkSession, path: str, filename: str | None = None, data
     want = {c["name"]: c["physical_type"]["type"] for c in info["column_typing_info"]}
     if kind == "csv":
         fields = T.StructType([T.StructField(c, T.StringType()) for c in want])
-        df = spark.read.schema(fields).options(header=True, multiLine=True, escape='"', emptyValue="").csv(data)
+        df = spark.read.schema(fields).options(header=True, multiLine=_quoted_lines(spark, data), escape='"', emptyValue="").csv(data)
         df = df.select(*(_from_text(c, k).alias(c) for c, k in want.items()))
     elif kind == "arrow":
         df = _arrow_files(spark, data)
