@@ -834,3 +834,31 @@ def test_pipeline_near_duplicates_keep_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in table], SCHEMA).repartition(3)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(1, one), (2, two), (None, three), (None, ""), (4, "alone")])
+
+
+@pytest.mark.parametrize("filtered", [10**6, 0])
+def test_levels_of_doubling(spark, tables, monkeypatch, filtered):
+    """With filters sent to tasks, and with all levels joined by shuffle."""
+    monkeypatch.setattr(substrings, "FILTERED_KEYS", filtered)
+    assert substrings.lengths(50) == [7, 13, 25] and substrings.lengths(7) == [7] and substrings.lengths(8) == [4]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    table = [(r.doc_id, r.text) for r in docs.collect()]
+    for size in (50, 9):
+        out = substrings.deduplicated(docs, size).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256)).collect()
+        assert Counter(tuple(r) for r in out) == brute_repeats(table, size)
+    none = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(80))) for i in range(5)], "doc_id long, text string")
+    assert substrings.repeated(none).count() == 0
+
+
+def test_anchors_of_equal_windows_are_equal():
+    rng = random.Random(3)
+    passage = [rng.choice(["a", "b", "cc"]) for _ in range(80)]
+    texts = [" ".join(passage), " ".join(["x"] * 7 + passage + ["y"] * 5)]
+    w = substrings.Windows(*utf8(pa.RecordBatch.from_pydict({"text": pa.array(texts)})), 50)
+    for length in (7, 13, 25):
+        if length > w.level:
+            w.extend(length)
+        keys, offset = w.keys(w.place), w.place - w.first
+        assert ((offset >= 0) & (offset + length <= 50)).all()
+        one, two = keys[w.row == 0], keys[w.row == 1][7 : 7 + 31]
+        assert (one == two).all() and (offset[w.row == 0] == offset[w.row == 1][7 : 7 + 31]).all()

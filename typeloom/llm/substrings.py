@@ -1,10 +1,14 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level 1 looks at windows of half the wanted length, and of these only at each full window's minimizer: the one of its
-half windows that hashes least. Equal full windows have equal minimizers, so a full window can repeat only if its
-minimizer repeats between documents. Level 2 extends those that do to the full length and groups them exactly. Longer
-repeats are found by further doubling: a window of twice the length is a candidate only if both of its halves repeat, and
-its identity is that of the pair of halves, so that texts are not read again; this ends when no candidates survive.
+Every full window of 50 words has an anchor: the one of its windows of 7 words that hashes least. Equal windows have equal
+anchors at equal places, so a full window can repeat between documents only if its anchor does. Those that do are extended
+within the full window, to the right where that fits and else to the left, to twice their length, 13, 25 and 50 words, less
+one word where that is enough; at each length only what repeats is extended further, until no candidates survive or the full
+length is reached, at which windows are grouped exactly. What repeats at a length is sent to all tasks as a filter up to a
+checked number of keys; beyond that it is joined by shuffle with the windows.
+
+Longer repeats are found by further doubling: a window of twice the length is a candidate only if both of its halves repeat,
+and its identity is that of the pair of halves, so that texts are not read again.
 """
 
 from __future__ import annotations
@@ -20,6 +24,24 @@ from .shared import CHECK_POWERS, WORD_POWERS, mixed, runs_hashed, ship, slices,
 
 WINDOW = 50
 
+#: Words of an anchor, at least; each level's windows are at most twice as long as those of the one before.
+ANCHOR = 7
+
+#: Repeated keys of a level that are sent to all tasks as a filter; more are joined by shuffle.
+FILTERED_KEYS = bloom.MOST_BLOCKS * bloom.KEYS_A_BLOCK
+
+#: Bits of a word's place, beside which a hash's upper bits order anchors.
+_PLACE_BITS = np.uint64(30)
+
+
+def lengths(size: int) -> list[int]:
+    """Lengths of the levels below the full one, ascending: each is half of the next, rounded up."""
+    out = []
+    while size > ANCHOR:
+        size = -(-size // 2)
+        out.append(size)
+    return out[::-1] or [size]
+
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values."""
@@ -29,65 +51,117 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if w > n else x
 
 
-def windows(raw: np.ndarray, bounds: np.ndarray, size: int):
-    """Each full window's row, place in it, minimizer's hash and two hashes of its own; a row's words count from 0."""
-    starts, ends, at = words(raw, bounds)
-    n, half = len(starts), max(1, size // 2)
-    if n < size:
-        return None
-    h = word_hashes(raw, starts, ends)
-    place = np.arange(n - half + 1)
-    short = mixed(runs_hashed(h, WORD_POWERS, place, place + half), 1)
-    least = _least(short, size - half + 1)
-    place = np.arange(n - size + 1)
-    row = np.searchsorted(at, place, side="right") - 1
-    ok = at[row + 1] >= place + size
-    place, row, least = place[ok], row[ok], least[ok]
-    return row, place - at[row], least, place, h
+class Windows:
+    """The full windows of the texts in `raw`: their rows, first words (counted through all texts), and their anchors' places."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, size: int):
+        starts, ends, self.at = words(raw, bounds)
+        self.size, self.level = size, lengths(size)[0]
+        n = len(starts)
+        if n < size:
+            self.row = self.first = self.place = np.zeros(0, dtype=np.int64)
+            return
+        self.hashes = word_hashes(raw, starts, ends)
+        each = np.arange(n - self.level + 1)
+        low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+        order = (self.keys(each) & ~low) | each.astype(np.uint64)
+        self.place = (_least(order, size - self.level + 1) & low).astype(np.int64)
+        self.first = np.arange(n - size + 1)
+        self.row = np.searchsorted(self.at, self.first, side="right") - 1
+        self.keep(self.at[self.row + 1] >= self.first + size)
+
+    def keep(self, ok: np.ndarray) -> None:
+        self.row, self.first, self.place = self.row[ok], self.first[ok], self.place[ok]
+
+    def keys(self, place: np.ndarray, length: int | None = None) -> np.ndarray:
+        length = length or self.level
+        return mixed(runs_hashed(self.hashes, WORD_POWERS, place, place + length), length)
+
+    def extend(self, length: int) -> None:
+        """Anchors become longer, to the right where they still end within their window, else to the left."""
+        right = self.place - self.first + length <= self.size
+        self.place = np.where(right, self.place, self.place - (length - self.level))
+        self.level = length
+
+    def runs(self) -> np.ndarray:
+        """Which windows have another anchor than the window before."""
+        new = np.ones(len(self.row), dtype=bool)
+        new[1:] = (self.row[1:] != self.row[:-1]) | (self.place[1:] != self.place[:-1])
+        return new
+
+
+def _sliced(batches, size: int, filters: list[tuple[int, np.ndarray]], held: bool):
+    """Each slice's batch, and its windows that pass the filters of the levels so far; of a batch with the column `held`, only
+    those that it lists by their first words."""
+    for batch in slices(batches):
+        w = Windows(*utf8(batch), size)
+        if held and len(w.row):
+            listed = batch.column(batch.schema.get_field_index("held"))
+            own = w.at[np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy(zero_copy_only=False))] + listed.flatten().to_numpy()
+            w.keep(np.isin(w.first, own))
+        for length, bits in filters:
+            if length > w.level:
+                w.extend(length)
+            if len(w.row) and bits is not None:
+                new = w.runs()
+                ok = bloom.passes_array(bits, w.keys(w.place[new]).view(np.int64))
+                w.keep(ok[np.cumsum(new) - 1])
+        yield batch, w
 
 
 def occurrences(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """k1, k2 (together a window's hash), doc_id and place of windows of `size` words that may repeat between documents.
 
-    All windows that do repeat are among them; a fixed-size filter lets some others pass. place holds a hash of the text in
-    its upper 31 bits, which tells rows with one doc_id apart, and the first word's place in its lower 32. Rows without a
-    doc_id are left out.
+    All windows that do repeat are among them; filters let some others pass. place holds a hash of the text in its upper 31
+    bits, which tells rows with one doc_id apart, and the first word's place in its lower 32. Rows without a doc_id are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
-    def short(batches):
-        for batch in slices(batches):
-            if (w := windows(*utf8(batch), size)) is None:
-                continue
-            row, _, least, _, _ = w
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64), pa.int64()), batch.column(0).take(pa.array(row[new]))], names=["h", "doc_id"])
-
-    level = source.mapInArrow(short, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    level = written(level, "level")
-    sent = spark.sparkContext.broadcast(bloom.build(level, "h"))
+    source = source.withColumn("tie", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
+    filters: list = []
+    held = False
+
+    for length in lengths(size):
+        so_far, listed = list(filters), held
+
+        def anchors(batches, so_far=so_far, listed=listed, length=length):
+            for batch, w in _sliced(batches, size, [(n, b and b.value) for n, b in so_far], listed):
+                if length > w.level:
+                    w.extend(length)
+                if len(w.row):
+                    new = w.runs()
+                    end = np.append(np.flatnonzero(new)[1:], len(w.row)) - 1
+                    row, first = w.row[new], w.first[new] - w.at[w.row[new]]
+                    key = w.keys(w.place[new]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(first), pa.array(w.first[end] - w.at[w.row[end]])], names=["h", "doc_id", "tie", "low", "high"])
+
+        found = source.mapInArrow(anchors, "h long, doc_id long, tie long, low long, high long")
+        again = written(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "level")
+        many = again.count()
+        if many <= FILTERED_KEYS:
+            filters.append((length, spark.sparkContext.broadcast(bloom.build(again, "h"))))
+            if not many:
+                break
+            continue
+        places = F.expr("flatten(collect_list(sequence(cast(low as int), cast(high as int))))")
+        alive = written(found.join(again, "h").groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(places)).alias("held")), "alive")
+        source = source.select("doc_id", "text", "tie").join(alive, ["doc_id", "tie"]).select("doc_id", "text", "tie", "held")
+        filters, held = [(length, None)], True
 
     def full(batches):
-        for batch in slices(batches):
-            if (w := windows(*utf8(batch), size)) is None:
-                continue
-            row, place, least, at, h = w
-            ok = np.flatnonzero(bloom.passes_array(sent.value, least.view(np.int64)))
-            if not len(ok):
+        for batch, w in _sliced(batches, size, [(n, b and b.value) for n, b in filters], held):
+            if not len(w.row):
                 continue
-            row, place, at = row[ok], place[ok], at[ok]
-            k1 = mixed(runs_hashed(h, WORD_POWERS, at, at + size), 2)
-            k2 = mixed(runs_hashed(h, CHECK_POWERS, at, at + size), 3)
-            tie = np.asarray(batch.column(2))[row] & 0x7FFFFFFF
+            k1 = mixed(runs_hashed(w.hashes, WORD_POWERS, w.first, w.first + size), 2)
+            k2 = mixed(runs_hashed(w.hashes, CHECK_POWERS, w.first, w.first + size), 3)
+            tie = np.asarray(batch.column(2))[w.row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1.view(np.int64), pa.int64()), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()), batch.column(0).take(pa.array(row)), pa.array(tie << 32 | place, pa.int64())],
+                [pa.array(k1.view(np.int64), pa.int64()), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()), batch.column(0).take(pa.array(w.row)), pa.array(tie << 32 | (w.first - w.at[w.row]), pa.int64())],
                 names=["k1", "k2", "doc_id", "place"],
             )
 
-    return source.withColumn("tie", F.xxhash64("text")).mapInArrow(full, "k1 long, k2 int, doc_id long, place long")
+    return source.mapInArrow(full, "k1 long, k2 int, doc_id long, place long")
 
 
 def _repeating(found: DataFrame) -> DataFrame:
@@ -145,14 +219,17 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, keep: list[str] | None = N
     """
     marks = written(repeated(docs, size), "marks")
     keep = keep or []
-    if clash := {"doc_id", "text", "n_words", "n_removed", "removed", "kept_text", "kept_words", "positions", "_tie"} & set(keep):
+    if clash := {"doc_id", "text", "n_words", "n_removed", "removed", "kept_text", "kept_words", "positions", "_tie", "_key", "_may", "_block", "_bits"} & set(keep):
         raise ValueError(f"{sorted(clash)} can't be kept beside the columns of the result")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("_tie", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
-    listed = bloom.build(marks.select(F.xxhash64("doc_id", "tie").alias("k")), "k", 1 << 16)
-    may = F.expr(f"doc_id is not null and {bloom.passes(listed, 'xxhash64(doc_id, _tie)')}")
-    marked = source.where(may).join(marks.withColumnRenamed("tie", "_tie"), ["doc_id", "_tie"], "left").select(*source.columns, "positions")
-    source = marked.unionByName(source.where(~may).withColumn("positions", F.lit(None).cast("array<int>"))).drop("_tie")
+    # Texts without marks pass a filter and stay where they are; the others meet their marks by a join.
+    blocks = bloom.blocks_for(marks.count())
+    listed = bloom.table(marks.select(F.xxhash64("doc_id", "tie").alias("k")), "k", blocks)
+    source = bloom.marked(source.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "_tie"))), "_key", listed, blocks, "_may").drop("_key")
+    marked = source.where("_may").drop("_may").join(marks.withColumnRenamed("tie", "_tie"), ["doc_id", "_tie"], "left")
+    marked = marked.select(*(F.col(f"`{c}`") for c in source.columns if c != "_may"), "positions")
+    source = marked.unionByName(source.where("not _may").drop("_may").withColumn("positions", F.lit(None).cast("array<int>"))).drop("_tie")
     names = ["doc_id", *keep]
     schema = source.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("removed"), F.lit("").alias("kept_text"), F.lit("").alias("kept_words")).schema
     for f in schema:
