@@ -770,6 +770,54 @@ def test_pipeline_stages_chain(spark):
     assert corpus_pipeline.run(spark, sf).count() == len(got)
 
 
+def test_pipeline_on_empty_tables(spark, nothing):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+    docs = spark.read.parquet(f"{nothing}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, nothing).count() == 0
+
+
+def test_pipeline_stages_equal_brute_force_on_hard_rows(spark, tables, tmp_path):
+    """Each stage against a plain version of it, on what the stage before it kept of the hard rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+
+    def after(name, rows):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    model = toxicity.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    clean = after("toxicity", corpus_pipeline.drop_toxic(spark, docs, tables))
+    assert Counter(clean.collect()) == Counter(r for r in docs.collect() if plain_toxicity(model, r.text)[0] < 0.5)
+    table = clean.collect()
+    first = {}
+    for r, root in zip(table, brute_jaccard_components([r.text for r in table]), strict=True):
+        first[root] = min(first.get(root, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    single = after("near_duplicates", corpus_pipeline.drop_near_duplicates(spark, clean, tables))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in single.collect()) == Counter(first.values())
+    cut = after("substring_dedup", corpus_pipeline.cut_repeats(spark, single, tables))
+    want = Counter((d, n - gone, sha) for (d, n, gone, sha), k in brute_repeats([(r.doc_id, r.text) for r in single.collect()]).items() for _ in range(k) if not (n and gone == n))
+    got = Counter((r.doc_id, len(w), hashlib.sha256(" ".join(w).encode()).hexdigest()) for r in cut.collect() for w in [WORD.findall(r.text or "")])
+    assert got == want and all(r.n_chars == len(r.text or "") for r in cut.collect() if r.text != "")
+    mixed_ = after("source_mix", corpus_pipeline.mix_sources(spark, cut, tables))
+    times = Counter(mixed_.collect())
+    assert max(times.values()) <= 3 and set(times) <= set(cut.collect())
+    sizes, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in cut.collect():
+        n = len(WORD.findall(r.text or ""))
+        sizes[r.source] += n
+        taken[r.source] += n * times[r]
+        most[r.source] = max(most[r.source], n)
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken[source] - target) <= most[source] / 2 + 1e-6
+    packed = corpus_pipeline.pack_sequences(spark, mixed_, tables).collect()
+    table = [(r.doc_id, r.text) for r in mixed_.collect()]
+    check_packing(packed, list(zip([d for d, _ in table], plain_ids([t for _, t in table]))))
+
+
 def brute_sets(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     held = [[w.translate(low) for w in WORD.findall(t or "")] for t in texts]
