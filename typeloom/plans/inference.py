@@ -37,8 +37,8 @@ HEAD_ROWS, FEW = 1000, 64
 
 def frequent_words(c: Column) -> Column:
     """How many of a text's words are frequent ones, on average."""
-    words = F.array(*(F.lit(w) for w in sorted(config.get_option("common_words") or COMMON)))
-    return F.avg(F.size(F.filter(F.split(F.lower(c), _SPLIT), lambda w: F.array_contains(words, w))))
+    words = sorted(config.get_option("common_words") or COMMON)
+    return F.avg(F.size(F.filter(F.split(F.lower(c), _SPLIT), lambda w: w.isin(*words))))
 
 
 def facts(c: Column, kind: T.DataType) -> dict[str, Column]:
