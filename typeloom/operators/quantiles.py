@@ -23,7 +23,7 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     """
     if not columns:
         return {}
-    most = config.get_option("exact_values_in_a_task")
+    most = max(1000, config.get_option("exact_values_in_a_task") // max(1, len(columns)))
     value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
     row = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(value.values()))).first()
     sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
@@ -34,8 +34,10 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
         spans = sorted({(c, *b) for (c, _), b in todo.items()}, key=str)
         exprs = []
         for i, (c, low, high, below, n) in enumerate(spans):
-            if n <= most:
-                exprs.append(F.array_sort(F.collect_list(_inside(value[c], low, high))).alias(f"x{i}"))
+            if n <= most:  # sorted once; only the values at the wanted places leave the task
+                wanted = _wanted(todo, spans[i])
+                listed = F.array(F.struct(F.array_sort(F.collect_list(_inside(value[c], low, high))).alias("s")))
+                exprs.append(F.transform(listed, _places(wanted))[0].alias(f"x{i}"))
             else:
                 near = {min(1.0, max(0.0, (k - below) / n + d)) for (a, k), b in todo.items() if (a, *b) == spans[i] for d in (-2 / ACCURACY, 2 / ACCURACY)}
                 exprs.append(F.percentile_approx(_inside(value[c], low, high), F.array(*map(F.lit, sorted(near))), F.lit(ACCURACY)).alias(f"x{i}"))
@@ -43,7 +45,8 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
         edges: dict[str, set] = {}
         for i, (c, low, high, below, n) in enumerate(spans):
             if n <= most:
-                found |= {(a, k): seen[i][k - below] for (a, k), b in todo.items() if (a, *b) == spans[i]}
+                at = dict(zip(_wanted(todo, spans[i]), seen[i], strict=True))
+                found |= {(a, k): at[k - below] for (a, k), b in todo.items() if (a, *b) == spans[i]}
             else:
                 edges.setdefault(c, set()).update(seen[i])
         if edges:
@@ -58,6 +61,15 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     return out
 
 
+def _wanted(todo: dict, span: tuple) -> list[int]:
+    """Places within a bracket, from 0, of the values that are looked for."""
+    return sorted({k - b[2] for (a, k), b in todo.items() if (a, *b) == span})
+
+
+def _places(wanted: list[int]):
+    return lambda x: F.array(*(F.get(x["s"], F.lit(k)) for k in wanted))
+
+
 def _inside(v, low, high):
     """v where it lies between the two values, themselves left out; None bounds nothing."""
     ok = F.lit(True)

@@ -32,24 +32,34 @@ def _format(path: str, content_type: str | None) -> str:
 
 
 def _arrow_files(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files by tasks of their own: a row of bytes for each file, opened where it is read."""
+    """Arrow IPC files, batch by batch, in tasks that open them by their places. The schema comes from the first file's footer.
+    Files of stores that only Spark reaches are handed to the tasks whole."""
     import pyarrow as pa
+    from pyarrow import fs
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    files = spark.read.format("binaryFile").load(path if not os.path.isdir(path) else f"{path}/*.arrow")
-    head = files.select("content").first()
-    if head is None:
+    files = spark.read.format("binaryFile").load(path)
+    places = sorted(r.path for r in files.select("path").collect())
+    if not places:
         raise FileNotFoundError(path)
-    schema = from_arrow_schema(pa.ipc.open_file(head.content).schema)
 
-    def run(batches):
-        for batch in batches:
-            for x in batch.column(0):
-                reader = pa.ipc.open_file(x.as_py())
-                for i in range(reader.num_record_batches):
-                    yield reader.get_batch(i)
+    def opened(place):
+        store, own = fs.FileSystem.from_uri(place)
+        return pa.ipc.open_file(store.open_input_file(own))
+
+    def batches_of(reader):
+        for i in range(reader.num_record_batches):
+            yield reader.get_batch(i)
 
-    return files.select("content").mapInArrow(run, schema)
+    try:
+        schema = from_arrow_schema(opened(places[0]).schema)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        if "scheme" not in str(e).lower() and "protocol" not in str(e).lower() and "hdfs" not in str(e).lower():
+            raise
+        schema = from_arrow_schema(pa.ipc.open_file(files.where(F.col("path") == places[0]).first().content).schema)
+        return files.select("content").mapInArrow(lambda batches: (x for batch in batches for c in batch.column(0) for x in batches_of(pa.ipc.open_file(c.as_py()))), schema)
+    listed = spark.createDataFrame([(p,) for p in places], "place string").repartition(len(places))
+    return listed.mapInArrow(lambda batches: (x for batch in batches for p in batch.column(0).to_pylist() for x in batches_of(opened(p))), schema)
 
 
 def _quoted_lines(spark: SparkSession, path: str) -> bool:

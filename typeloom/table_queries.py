@@ -221,6 +221,65 @@ def fractional_ages(spark, sf_dir):
     return t.df.select("c_custkey", (~bad).alias("valid"))
 
 
+_GUARDS = {
+    "negative ages": ("customer", "min(c_acctbal) < 0"),
+    "repeated index": ("orders", "count(*) > count(DISTINCT o_custkey)"),
+    "unique index": ("orders", "count(*) > count(DISTINCT o_orderkey)"),
+    "beyond the order": ("orders", "count_if(o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) > 0"),
+    "within the order": ("orders", "count_if(o_orderstatus NOT IN ('F', 'O', 'P')) > 0"),
+    "no booleans": ("customer", "count_if(c_mktsegment NOT IN ('yes', 'no')) > 0"),
+    "nulls in whole numbers": ("lineitem", "count_if(l_discount = 0) > 0"),
+    "parts of whole numbers": ("lineitem", "count_if(l_tax <> floor(l_tax)) > 0"),
+    "no coordinates": ("supplier", "count_if(s_name NOT LIKE '(%') > 0"),
+    "no email": ("supplier", "count_if(s_name NOT LIKE '%@%') > 0"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS guard, {e} AS raised FROM {t}" for k, (t, e) in _GUARDS.items()))
+def guards(spark, sf_dir):
+    """Which changes are refused: each raises exactly where the data has what it forbids."""
+    from pyspark.errors import PySparkException
+
+    from .errors import TypeConversionError, TypeValidationError
+
+    read = lambda t, *c: _table(spark, sf_dir, t).select(*c)
+    typed = lambda df, k: TypedTable.init(df, logical_types={df.columns[0]: k}).df.write.format("noop").mode("overwrite").save()
+    orders = TypedTable.init(read("orders", "o_orderkey", "o_custkey"), logical_types={"o_orderkey": "Integer", "o_custkey": "Integer"})
+    tried = {
+        "negative ages": lambda: typed(read("customer", "c_acctbal"), "AgeFractional"),
+        "repeated index": lambda: orders.set_index("o_custkey"),
+        "unique index": lambda: orders.set_index("o_orderkey"),
+        "beyond the order": lambda: typed(read("orders", "o_orderpriority"), L.Ordinal(["1-URGENT", "2-HIGH", "3-MEDIUM"])),
+        "within the order": lambda: typed(read("orders", "o_orderstatus"), L.Ordinal(["F", "O", "P"])),
+        "no booleans": lambda: typed(read("customer", "c_mktsegment"), "Boolean"),
+        "nulls in whole numbers": lambda: typed(read("lineitem", F.nullif("l_discount", F.lit(0.0)).alias("x")).select((F.col("x") * 100).cast("int").alias("x")), "Integer"),
+        "parts of whole numbers": lambda: typed(read("lineitem", "l_tax"), "IntegerNullable"),
+        "no coordinates": lambda: typed(read("supplier", "s_name"), "LatLong"),
+        "no email": lambda: typed(read("supplier", "s_name"), "EmailAddress"),
+    }
+    rows = []
+    for name, do in tried.items():
+        try:
+            do()
+            rows.append((name, False))
+        except (PySparkException, TypeConversionError, TypeValidationError, IndexError):
+            rows.append((name, True))
+    return _rows(spark, rows, "guard string, raised boolean")
+
+
+@query("SELECT column_name AS \"column\", CASE WHEN column_type IN ('BIGINT', 'DOUBLE') THEN true ELSE false END AS is_numeric, column_name IN ('o_orderstatus', 'o_orderpriority') AS is_categorical, column_type = 'TIMESTAMP' AS is_datetime, column_name = 'o_orderkey' AS is_index FROM (DESCRIBE orders)")
+def column_kinds(spark, sf_dir):
+    t = _typed(spark, sf_dir, "orders", INFERRED["orders"], index="o_orderkey")
+    return _rows(spark, [(c, s.is_numeric or c == t.index, s.is_categorical, s.is_datetime, c == t.index) for c, s in t.schema.columns.items()], "column string, is_numeric boolean, is_categorical boolean, is_datetime boolean, is_index boolean")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) GROUP BY ALL")
+def typed_rows_by_sql(spark, sf_dir):
+    """A typed table's rows are a DataFrame like any other."""
+    _typed(spark, sf_dir, "customer", {"c_nationkey": "Integer", "c_mktsegment": "Categorical", "c_acctbal": "Double"}).filter("c_acctbal > 0").df.createOrReplaceTempView("typed_customers")
+    return spark.sql("SELECT cast(c_nationkey AS int) AS c_nationkey, c_mktsegment, count(*) AS n FROM typed_customers GROUP BY ALL")
+
+
 # -- statistics --------------------------------------------------------------------------------------------------------
 
 
