@@ -56,15 +56,8 @@ def build(keys: DataFrame, column: str, most: int = MOST_BLOCKS) -> np.ndarray:
     return out
 
 
-def passes(filter_: np.ndarray, h: str) -> str:
-    """SQL condition: the filter may hold the hash that the SQL expression `h` gives."""
-    listed = ",".join(map(str, filter_.tolist()))
-    mask = _mask(h)
-    return f"(element_at(cast(split('{listed}', ',') as array<bigint>), cast(({h} & {len(filter_) - 1}L) as int) + 1) & {mask}) = {mask}"
-
-
 def passes_array(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The same test on an array of hashes."""
+    """Which of an array of hashes the filter may hold."""
     h = h.view(np.uint64)
     mask = np.zeros(len(h), dtype=np.uint64)
     for s in _SHIFTS:
