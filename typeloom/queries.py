@@ -10,6 +10,7 @@ from .operators import catalog, counts, describe, frequency, outliers
 from .operators.table import TypedTable, concat_columns
 from .plans import inference
 from .plans.words import COMMON
+from .scratch import fresh_path
 from .sources import files
 
 QUERIES: dict = {}
@@ -448,15 +449,10 @@ def tag_catalog(spark, sf_dir):
 
 @query("SELECT format, count(*) AS count, round(sum(o_totalprice), 2) AS total, true AS same_schema FROM orders, (VALUES ('csv'), ('parquet'), ('orc'), ('arrow')) f(format) GROUP BY format")
 def file_round_trip(spark, sf_dir):
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='files-')}"
     t = _typed(spark, sf_dir, "orders", {k: v for k, v in INFERRED["orders"].items()}, index="o_orderkey")
     out = None
-    import uuid
-
     for kind in ("csv", "parquet", "orc", "arrow"):
-        path = f"{folder}/{kind}-{uuid.uuid4().hex}"
+        path = fresh_path(spark, kind)
         t.to_disk(path, format=kind)
         back = files.read_table(spark, path)
         row = back.df.agg(F.lit(kind).alias("format"), F.count(F.lit(1)).alias("count"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(back.schema == t.schema).alias("same_schema"))
@@ -472,12 +468,9 @@ def set_types(spark, sf_dir):
 
 @query("SELECT 'value' AS \"column\", count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, max(value) AS max FROM events")
 def stream_profile(spark, sf_dir):
-    import tempfile
-    import uuid
-
     from .streaming import profile
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='stream-')}/profile-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "profile")
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(source + "*").select("value")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +15,10 @@ from .operators.table import TypedTable, init_series, is_schema_valid, typed_ser
 from .plans import inference
 from .plans.registry import TypeSystem
 from .queries import INFERRED, ORACLE_SQL, _table, _typed, query
+from .scratch import fresh_path
 from .sources import files
 
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='files-')}/typed-{uuid.uuid4().hex}"
-
-
 def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -424,7 +418,7 @@ def frequency_series(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name || chr(10) || '\"' || p_brand || '\", x' AS note, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def csv_with_line_breaks(spark, sf_dir):
-    folder = _folder(spark)
+    folder = fresh_path(spark, "typed")
     note = F.concat(F.col("p_name"), F.lit('\n"'), F.col("p_brand"), F.lit('", x'))
     _table(spark, sf_dir, "part").select("p_partkey", note.alias("note"), "p_size", "p_retailprice").write.options(header=True, escape='"').csv(f"{folder}.csv")
     return files.read_file(spark, f"{folder}.csv", "csv", logical_types={"note": "Unknown", "p_size": "Integer"}, index="p_partkey").df
@@ -433,7 +427,7 @@ def csv_with_line_breaks(spark, sf_dir):
 @query("SELECT s_suppkey, s_nationkey::DOUBLE AS latitude, s_acctbal AS longitude FROM supplier")
 def latlong_by_csv(spark, sf_dir):
     df = _table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.col("s_nationkey").cast("double"), "s_acctbal").alias("place"))
-    folder = _folder(spark)
+    folder = fresh_path(spark, "typed")
     TypedTable.init(df, index="s_suppkey", logical_types={"s_suppkey": "Integer", "place": "LatLong"}).to_disk(folder, format="csv")
     return files.read_table(spark, folder).df.select("s_suppkey", "place.latitude", "place.longitude")
 
@@ -441,7 +435,7 @@ def latlong_by_csv(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 'parquet' AS format FROM nation UNION ALL SELECT n_nationkey::BIGINT, n_name, 'orc' FROM nation UNION ALL SELECT n_nationkey::BIGINT, n_name, 'feather' FROM nation")
 def files_by_name(spark, sf_dir):
     """Formats told by a file's ending or content type, without typing information."""
-    out, base = None, _folder(spark)
+    out, base = None, fresh_path(spark, "typed")
     df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     df.write.parquet(f"{base}.parquet")
     df.write.orc(f"{base}.orc")
