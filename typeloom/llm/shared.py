@@ -4,9 +4,7 @@ package to executors, and vectorised word hashing of UTF-8 text held in Arrow bu
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -14,6 +12,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import fresh_path as scratch_path
+from ..scratch import shared_dir
+
 PACKAGE = __name__.partition(".")[0]
 
 #: Bytes that separate words: space and the controls from tab to carriage return.
@@ -50,29 +51,9 @@ def ship(spark: SparkSession) -> None:
     context._shipped_packages = PACKAGE
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own if all run on one
-    machine; on a cluster that is an error, as no machine's own folder is seen by the others."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_own_shared_dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.sparkContext._own_shared_dir = folder
-    return folder.rstrip("/")
-
-
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{PACKAGE}-{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def remove_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application. Results that have not been stored can't be read after it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PACKAGE}-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
