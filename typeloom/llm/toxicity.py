@@ -114,12 +114,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     used = (held >= LEAST_DOCS) & (odds > 0)  # weights are 0 or more: others would have none
     kept = np.flatnonzero(used)
     start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)[kept]  # the lower bound of a feature's log odds ratio
-    found, base = [], 0
+    found, base = ([], [], []), 0
     for at, sentence, feature, doc in parts(used):
-        found.append(((sentence + base).astype(np.int32), feature.astype(np.int32), (doc + at).astype(np.int32)))
+        for own, x in zip(found, (sentence + base, feature, doc + at), strict=True):
+            own.append(x.astype(np.int32))
         base += len(doc)
-    sentence, feature, doc = (np.concatenate([f[i] for f in found]) for i in range(3))
-    del found
+    joined = []
+    for own in found:  # a list goes as soon as its arrays are joined, which keeps the peak low
+        joined.append(np.concatenate(own))
+        own.clear()
+    sentence, feature, doc = joined
     place = np.full(FEATURES, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     feature = place[feature]
