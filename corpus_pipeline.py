@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share 0.8 of their shingles, the row with the smallest id; rows without an id come last,
-    and of rows with one id that with the smallest hash."""
+    and of rows with one id that with the smallest hash. Groups meet by the index of fingerprints, and by MinHash bands where
+    similar sets have distant ones; sets are compared whole."""
     groups = jaccard.near_duplicates(docs)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
     kept = groups.groupBy("_component").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))

@@ -884,6 +884,78 @@ def test_pipeline_near_duplicates_keep_one_row_of_each_group(spark):
     assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(1, one), (2, two), (None, three), (None, ""), (4, "alone")])
 
 
+def facts(texts):
+    """Sets of shingles, keys of bands and five-word fingerprints of texts."""
+    text = utf8(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
+    sets, bounds = jaccard.shingle_sets(*text)
+    held = [set(sets[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return held, jaccard.signatures(sets, bounds)[1], simhash.fingerprints_of(*text, 5)
+
+
+def bandless_pair(seed):
+    """Two texts whose words differ where most bands' minima lie, so that they agree in no band."""
+    rng = random.Random(seed)
+    one = two = [f"w{rng.randrange(10**6)}" for _ in range(454)]
+    for _ in range(10):
+        tries = []
+        for _ in range(400):
+            i = rng.randrange(454)
+            tries.append([*two[:i], f"x{rng.randrange(10**6)}", *two[i + 1 :]])
+        _, keys, _ = facts([" ".join(t) for t in [one, *tries]])
+        same = (keys[1:] == keys[0]).sum(axis=1)
+        two = tries[int(np.argmin(same))]
+        if not same.min():
+            break
+    return " ".join(one), " ".join(two)
+
+
+def test_pipeline_near_duplicates_of_close_fingerprints_need_no_band(spark):
+    """Similar sets that agree in no MinHash band are joined by the index of fingerprints."""
+    import corpus_pipeline
+
+    pairs = [bandless_pair(seed) for seed in (0, 2, 3)]
+    for pair in pairs:
+        (a, b), keys, prints = facts(list(pair))
+        assert not (keys[0] == keys[1]).any() and 10 * len(a & b) >= 8 * len(a | b)
+        assert int(prints[0] ^ prints[1]).bit_count() <= 8
+    docs = spark.createDataFrame([(2 * i + j, t, "en", "a", 0) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("source, bucket", [("variants", 20_000), ("/root/testdata/sf0.01", 20_000), ("/root/testdata/sf0.01", 5)])
+def test_pipeline_near_duplicates_go_by_fingerprints(spark, source, bucket, monkeypatch):
+    """Without bands, the stage joins the similar ones of each group of fingerprints that links of 8 bits make, and checks their sets."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    bands = jaccard.by_bands
+    monkeypatch.setattr(jaccard, "by_bands", lambda table: bands(table).where("false"))
+    texts = near_variants() if source == "variants" else [r.text for r in spark.read.parquet(f"{source}/documents.parquet").collect()]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    sets, _, prints = facts(texts)
+    parent, group = list(range(len(texts))), list(range(len(texts)))
+
+    def root(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    def join(of, a, b):
+        a, b = root(of, a), root(of, b)
+        of[max(a, b)] = min(a, b)
+
+    all_pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    for a, b in all_pairs:
+        if int(prints[a] ^ prints[b]).bit_count() <= 8:
+            join(group, a, b)
+    for a, b in all_pairs:
+        if sets[a] == sets[b] or (root(group, a) == root(group, b) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+            join(parent, a, b)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted({root(parent, i) for i in range(len(texts))})
+    assert len(got) < len({frozenset(s) for s in sets})
+
+
 @pytest.mark.parametrize("filtered", [10**6, 0])
 def test_levels_of_doubling(spark, tables, monkeypatch, filtered):
     """With filters sent to tasks, and with all levels joined by shuffle."""

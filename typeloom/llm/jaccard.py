@@ -1,7 +1,9 @@
 """Near-duplicates by the Jaccard similarity of documents' sets of word shingles.
 
-Documents with one set are one class. Classes meet where all ROWS minima of one of BANDS bands of a MinHash signature
-agree: two with a similarity of 0.8 meet but for about 3 in a million pairs, and more similar ones more surely. Pairs
+Documents with one set are one class. Classes meet where the Gray-order index of SimHash fingerprints joins them by a chain
+of links of at most BITS differing bits, so that no pair within those bits is lost. Similar sets may differ in more bits
+than an index can search; for these, classes meet too where all ROWS minima of one of BANDS bands of a MinHash signature
+agree: two with a similarity of 0.8 meet there but for about 3 in a million pairs, and more similar ones more surely. Pairs
 that meet count only if their sets, compared whole, are similar enough. Neighbours within a bucket are compared first;
 then, within a task, all pairs of a bucket that this has not brought into one component. No table of all pairs is made.
 """
@@ -15,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import mixed, ship, slices, utf8, word_hashes, words, written
-from .simhash import _LOWER, Forest, components
+from .simhash import _LOWER, Forest, components, fingerprints_of, links
 
 #: Words of a shingle; similarity from which documents are near-duplicates, in tenths.
 SHINGLE, TENTHS = 5, 8
 
+#: Differing bits of 64 within which fingerprints link.
+BITS = 8
+
 BANDS, ROWS = 32, 5
 
 #: Members of a bucket, and shingles of their sets, that a task compares at a time; larger buckets are compared block by block.
@@ -69,24 +74,44 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs with _row, which tells rows apart, _class, _size (shingles of the set) and _keys, as a written table."""
+    """docs with _row, which tells rows apart, _class, _size (shingles of the set), _print (SimHash) and _keys, as a written table."""
     ship(docs.sparkSession)
     rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("_row", F.monotonically_increasing_id())
-    names = [*rows.columns, "_class", "_size", "_keys"]
+    names = [*rows.columns, "_class", "_size", "_print", "_keys"]
 
     def run(batches):
         for batch in slices(batches):
-            sets, bounds = shingle_sets(*utf8(batch))
+            text = utf8(batch)
+            sets, bounds = shingle_sets(*text)
             kind, keys = signatures(sets, bounds)
+            prints = pa.array(fingerprints_of(*text, SHINGLE).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind.view(np.int64)), pa.array(np.diff(bounds)), lists], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind.view(np.int64)), pa.array(np.diff(bounds)), prints, lists], names=names)
 
-    schema = rows.select("*", F.lit(0).cast("long").alias("_class"), F.lit(0).cast("long").alias("_size"), F.expr("cast(array() as array<bigint>)").alias("_keys")).schema
+    longs = [F.lit(0).cast("long").alias(name) for name in ("_class", "_size", "_print")]
+    schema = rows.select("*", *longs, F.expr("cast(array() as array<bigint>)").alias("_keys")).schema
     for f in schema:
         f.nullable = True
     return written(rows.mapInArrow(run, schema), "signed")
 
 
+def by_prints(table: DataFrame) -> DataFrame:
+    """class, size and key of signed rows: one key for the classes that a chain of links between fingerprints joins.
+
+    A class is in the group of each of its rows' fingerprints, which count repeats where sets do not.
+    """
+    prints = written(table.select("_class", "_size", "_print").distinct(), "prints")
+    distinct = written(prints.select(F.col("_print").alias("fp")).distinct(), "distinct")
+    roots = components(links(distinct, BITS))
+    grouped = prints.join(roots, prints["_print"] == roots["node"], "left")
+    return grouped.select(F.col("_class").alias("class"), F.col("_size").alias("size"), F.xxhash64(F.lit("print"), F.coalesce("root", "_print")).alias("key")).distinct()
+
+
+def by_bands(table: DataFrame) -> DataFrame:
+    """class, size and key of signed rows, one a class: a key for each band."""
+    return table.select(F.col("_class").alias("class"), F.col("_size").alias("size"), F.explode("_keys").alias("key"))
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose sets, as rows of class and set, are similar enough."""
     one, two = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -125,7 +150,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], names=["class", "set"])
 
     classes = table.groupBy("_class").agg(F.min("_row").alias("_row"))
-    keyed = table.join(classes.select("_row"), "_row", "left_semi").select(F.col("_class").alias("class"), F.col("_size").alias("size"), F.explode("_keys").alias("key"))
+    keyed = by_prints(table).unionByName(by_bands(table.join(classes.select("_row"), "_row", "left_semi")))
     within = Window.partitionBy("key")
     keyed = keyed.withColumn("before", F.lag(F.struct("class", "size")).over(within.orderBy("class"))).withColumn("after", F.lead("class").over(within.orderBy("class")))
     met = written(keyed.where("before is not null or after is not null"), "met")
@@ -158,5 +183,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = written(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "more")
     if more.take(1):
         roots = components(edges.unionByName(more))
-    out = table.drop("_size", "_keys").join(roots, table["_class"] == roots["node"], "left")
+    out = table.drop("_size", "_print", "_keys").join(roots, table["_class"] == roots["node"], "left")
     return out.select(*docs.columns, "_row", F.coalesce("root", "_class").alias("_component"))
