@@ -57,7 +57,7 @@ def tables(spark, docs, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string"}.items():
+    for name, schema in {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 

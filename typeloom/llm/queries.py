@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, mixing, packing, sharding, simhash, substrings, tokens, toxicity, urls
+from . import ann, licences, media, mixing, packing, phrases, repair, sharding, simhash, substrings, tokens, toxicity, urls
 from .shared import scratch_path, written
 
 
@@ -90,6 +90,23 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(_table(spark, sf_dir, "conversations"))
+
+
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scan(_table(spark, sf_dir, "documents")))
+
+
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op12's result does not depend on labels of the method."""
+    return licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def ring_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the law fixes of op4's result: how many rows each shard holds and their slots, and that all rows are there."""
     placed = written(ring_sharding(spark, sf_dir), "placed")
@@ -109,7 +126,11 @@ QUERIES = {
     "op8_flac_media": flac_media,
     "op9_toxicity": toxicity_scores,
     "op10_source_mix": source_mix,
+    "op11_conversation_repair": conversation_repair,
+    "op12_licence_scan": licence_scan,
+    "op13_phrase_collocations": phrase_collocations,
     "ring_sharding_loads": ring_loads,
+    "licence_scan_base": licence_base,
 }
 
 ORACLE_SQL = {
@@ -183,4 +204,47 @@ ORACLE_SQL = {
         FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
                JOIN v ON r.source IS NOT DISTINCT FROM v.source AND r.key = v.key
     """,
+    "licence_scan_base": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), p AS (
+            SELECT doc_id, len(ws)::BIGINT AS n_words,
+                   list_filter(range(len(ws)), lambda i: ws[i + 1] = 'mit' AND ws[i + 2] = 'license') AS mit,
+                   list_filter(range(len(ws)), lambda i: ws[i + 1] = 'apache' AND ws[i + 2] = 'license') AS apache,
+                   list_filter(range(len(ws)), lambda i: ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license') AS gpl
+            FROM w
+        ), q AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+        SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+               concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+        FROM q
+    """,
+    "op13_phrase_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+            FROM documents
+        ), p AS (SELECT lang, unnest(ps) AS p FROM d), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+        o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g1 AS (SELECT lang, ws[i] AS w1, count(*) AS f FROM o GROUP BY ALL),
+        g2 AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f FROM o WHERE i + 1 <= len(ws) GROUP BY ALL),
+        g3 AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f FROM o WHERE i + 2 <= len(ws) GROUP BY ALL HAVING count(*) >= 10),
+        t AS (SELECT lang, sum(f)::BIGINT AS n FROM g1 GROUP BY lang),
+        x AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM g3 UNION ALL SELECT lang, w2, w3, f FROM g3) GROUP BY ALL),
+        two AS (
+            SELECT g2.lang, g2.w1 || ' ' || g2.w2 AS phrase, g2.f AS a, a.f AS l, b.f AS r, (1000000::HUGEINT * g2.f * g2.f) // (a.f::HUGEINT * b.f) AS score
+            FROM g2 JOIN g1 a ON a.lang = g2.lang AND a.w1 = g2.w1 JOIN g1 b ON b.lang = g2.lang AND b.w1 = g2.w2
+                 LEFT JOIN x ON x.lang = g2.lang AND x.w1 = g2.w1 AND x.w2 = g2.w2
+            WHERE g2.f >= 10 AND (x.f IS NULL OR 100 * x.f < 50 * g2.f)
+        ), cut AS (
+            SELECT g3.lang, g3.w1 || ' ' || g3.w2 || ' ' || g3.w3 AS phrase, g3.f AS a, a.f AS l1, bc.f AS r1, ab.f AS l2, c.f AS r2,
+                   (1000000::HUGEINT * g3.f * g3.f) // (a.f::HUGEINT * bc.f) AS s1, (1000000::HUGEINT * g3.f * g3.f) // (ab.f::HUGEINT * c.f) AS s2
+            FROM g3 JOIN g1 a ON a.lang = g3.lang AND a.w1 = g3.w1 JOIN g1 c ON c.lang = g3.lang AND c.w1 = g3.w3
+                 JOIN g2 ab ON ab.lang = g3.lang AND ab.w1 = g3.w1 AND ab.w2 = g3.w2 JOIN g2 bc ON bc.lang = g3.lang AND bc.w1 = g3.w2 AND bc.w2 = g3.w3
+        ), every AS (
+            SELECT * FROM two UNION ALL
+            SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cut
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM every)
+        SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM ranked JOIN t ON t.lang = ranked.lang WHERE rank <= 2000
+    """,
 }
