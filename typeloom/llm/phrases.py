@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BYTE_CODES, BYTE_POWERS, Powers, mixed, runs_hashed, ship, slices, utf8, written
+from .shared import BYTE_CODES, BYTE_POWERS, Powers, forget_shuffles, mixed, runs_hashed, ship, slices, utf8, written
 
 #: Bytes that end a piece, and those that separate words within it.
 _ENDS, _GAPS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -29,7 +29,7 @@ _FOLD[65:91] += 32
 _OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 #: Words of a block, about; a piece that is longer makes a block of its own.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 SCALE, LEAST, MOST_RANK, SHARE = 1_000_000, 10, 2000, 50
 SEEDS = 8
@@ -58,7 +58,8 @@ def _words(batch: pa.RecordBatch, seed: int):
     keys = mixed(np.array([int.from_bytes(_digest(x, seed), "little") for x in names] or [0], dtype=np.uint64), 11)[code]
     codes, size = BYTE_CODES[raw], (ends - starts).astype(np.uint64)
     h = mixed(runs_hashed(codes, BYTE_POWERS, starts, ends) + size + keys, seed)
-    return raw, starts, ends, at, h, mixed(runs_hashed(codes, _OTHER_POWERS, starts, ends) + size + keys, 5), code, names
+    small = lambda x: x.astype(np.int32)
+    return raw, small(starts), small(ends), small(at), h, mixed(runs_hashed(codes, _OTHER_POWERS, starts, ends) + size + keys, 5), small(code), names
 
 
 def _digest(name: str, seed: int) -> bytes:
@@ -69,7 +70,7 @@ def _digest(name: str, seed: int) -> bytes:
 
 def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each block's inverted file as a row (block, hashes, sizes and gaps: the words' hashes, the lengths of their lists, and all
-    lists end to end as differences), and a row (lang, word, h, n) for each of its words."""
+    lists end to end, each as its first position and the differences after it), and a row (lang, word, h, n) for each of its words."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -79,14 +80,15 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
         def flush():
             nonlocal held, many, made
             h, other, size = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
-            step = np.cumsum([0] + [x[3][-1] + 2 for x in held[:-1]])
+            step = np.cumsum([0] + [x[3][-1] + 2 for x in held[:-1]]).astype(np.int32)
             at = np.concatenate([x[3] + s for x, s in zip(held, step, strict=True)])
-            where, part = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            where, part = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(held), dtype=np.int32), [len(x[0]) for x in held])
             order = np.argsort(h, kind="stable")
             sorted_h = h[order]
             new = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
             sizes, shown = np.diff(np.append(new, len(h))), order[new]
-            gaps = np.diff(at[order], prepend=0).astype("<i4")
+            gaps = np.diff(at[order], prepend=0)
+            gaps[new] = at[shown]
             block = task | made
             wrong = order[other[order] != np.repeat(other[shown], sizes)]  # another word with the same hash
             tell = np.concatenate([shown, wrong])
@@ -100,7 +102,7 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
             )
             one = lambda x: pa.array([x], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), one(sorted_h[new].astype("<u8").tobytes()), one(sizes.astype("<i4").tobytes()), one(gaps.tobytes()), *(pa.nulls(1, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
+                [pa.array([block], pa.int64()), one(sorted_h[new].astype("<u8").tobytes()), one(sizes.astype("<i4").tobytes()), one(_planes(gaps)), *(pa.nulls(1, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
                 names=_NAMES,
             )
             held, many, made = [], 0, made + 1
@@ -126,10 +128,21 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
 _NAMES = [x.split()[0] for x in _FILE.split(", ")]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with all their first bytes in front, then all second ones, and so on, which compresses well."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _pairs_of(hashes: bytes, sizes: bytes, gaps: bytes):
     """Words' hashes, and of all pairs in order of position: position, and local codes of their words in one number."""
     h, n = np.frombuffer(hashes, dtype="<u8"), np.frombuffer(sizes, dtype="<i4")
-    at = np.cumsum(np.frombuffer(gaps, dtype="<i4"), dtype=np.int64)
+    gap, begin = _of_planes(gaps), np.cumsum(n) - n
+    at = np.cumsum(gap, dtype=np.int64)
+    at -= np.repeat(at[begin] - gap[begin], n)
     code = np.empty(int(at.max()) + 2, dtype=np.int32)  # lists merge by position: what stands at each place, -1 between pieces
     code.fill(-1)
     code[at] = np.repeat(np.arange(len(h), dtype=np.int32), n)
@@ -200,11 +213,14 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_RANK, sha
             break
     else:
         raise RuntimeError("different words share a hash with every seed")
+    forget_shuffles(spark)
     # One row a block and pair: a pair's rows are as many as blocks, so no group is large.
     same = Window.partitionBy("h1", "h2")
     totals = pair_lists(files).withColumns({"a": F.sum("n").over(same), "k": F.row_number().over(same.orderBy("block"))}).where(F.col("a") >= least)
     one = F.col("k") == 1
     kept = written(totals.select("block", "i", *(F.when(one, F.col(c)).alias(c) for c in ("h1", "h2", "a"))), "pairs")
+    del totals
+    forget_shuffles(spark)
     pairs = kept.where("a is not null").select("h1", "h2", "a")
     triples = written(triple_lists(files, kept.select("block", "i")).groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
 

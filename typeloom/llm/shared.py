@@ -3,6 +3,7 @@ package to executors, and vectorised word hashing of UTF-8 text held in Arrow bu
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -64,6 +65,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results have been written: it does so once the driver's JVM has collected
+    what refers to them, which a driver with memory to spare may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches, column: str = "text", most: int = SLICE_BYTES):
     """Record batches cut so that the named string column holds about `most` bytes in each."""
     for batch in batches:
