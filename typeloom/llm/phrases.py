@@ -29,7 +29,7 @@ _FOLD[65:91] += 32
 _OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 #: Words of a block, about; a piece that is longer makes a block of its own.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 600_000
 
 SCALE, LEAST, MOST_RANK, SHARE = 1_000_000, 10, 2000, 50
 SEEDS = 8
