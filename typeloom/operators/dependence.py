@@ -8,8 +8,10 @@ table of a pair is an aggregation, and only its marginal sizes, collapsed by fre
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,9 @@ from ..config import config
 from ..errors import SparseDataWarning
 from ..functions import logical_types as L
 from ..plans.registry import warn
+from ..scratch import written
 from . import counts
+from .places import PART, ordered
 from .progress import Progress
 from .catalog import valid_mi_types, valid_pearson_types, valid_spearman_types
 
@@ -63,14 +67,65 @@ def adjusted_mutual_information(table: list[tuple[int, int, int, int]], rows: di
     return gain / norm
 
 
+#: Terms of an expectation that are all added up; standard deviations to each side that are looked at; points in one of them where
+#: there are more terms.
+WHOLE, REACH, FINE = 4096, 40, 50
+
+
 def _expected(a: int, b: int, n: int) -> float:
-    """Expected information of a cell with marginals a and b among n."""
-    g = math.lgamma
-    base = g(a + 1) + g(b + 1) + g(n - a + 1) + g(n - b + 1) - g(n + 1)
-    out = 0.0
-    for c in range(max(1, a + b - n), min(a, b) + 1):
-        p = math.exp(base - g(c + 1) - g(a - c + 1) - g(b - c + 1) - g(n - a - b + c + 1))
-        out += c / n * math.log(n * c / (a * b)) * p
+    """Expected information of a cell with marginals a and b among n: the sum over the cell's sizes c, in hypergeometric shares, of
+    c/n log(nc/ab). Sizes beyond REACH deviations add nothing that a double shows. Where deviations are large the shares change so
+    slowly that equally spaced sizes give the sum: the number of terms has a bound that rows don't move."""
+    low, high = max(0, a + b - n), min(a, b)
+    mean = a * b / n
+    deviation = math.sqrt(mean * (1 - a / n) * (1 - b / n) * n / max(n - 1, 1))
+    low, high = max(low, math.floor(mean - REACH * deviation) - 8), min(high, math.ceil(mean + REACH * deviation) + 8)
+    step = 1 if high - low <= WHOLE else max(1, math.floor(deviation / FINE))
+    middle = round(mean)
+    c = np.arange(middle - (middle - low) // step * step, high + 1, step, dtype=float)
+    share = np.exp(_log_binomial(c, a, b / n) + _log_binomial(b - c, n - a, b / n) - _log_binomial(np.array([float(b)]), n, b / n))
+    information = np.zeros_like(c)
+    some = c > 0
+    information[some] = c[some] / n * np.log1p((c[some] - mean) / mean)
+    return float((share * information).sum() / share.sum())
+
+
+def _log_binomial(x: np.ndarray, n: int, p: float) -> np.ndarray:
+    """log of the binomial mass by deviances and the error of Stirling's formula, which keeps its digits for large n."""
+    if p >= 1.0 or n == 0:
+        return np.where(x == n * (p >= 1.0), 0.0, -np.inf)
+    out = np.empty_like(x)
+    inner = (x > 0) & (x < n)
+    y = x[inner]
+    out[inner] = _stirling_error(np.array([float(n)])) - _stirling_error(y) - _stirling_error(n - y) - _deviance(y, n * p) - _deviance(n - y, n * (1 - p)) + 0.5 * np.log(n / (2 * math.pi * y * (n - y)))
+    out[x == 0] = n * math.log1p(-p)
+    out[x == n] = n * math.log(p)
+    out[(x < 0) | (x > n)] = -np.inf
+    return out
+
+
+def _stirling_error(x: np.ndarray) -> np.ndarray:
+    """log x! less Stirling's formula for it, for whole x above 0."""
+    y = 1 / np.maximum(x, 16) ** 2
+    out = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - y / 1188) * y) * y) * y) / np.maximum(x, 16)
+    small = x < 16
+    if small.any():
+        table = np.array([0.0] + [math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16)])
+        out[small] = table[x[small].astype(int)]
+    return out
+
+
+def _deviance(x: np.ndarray, m: float) -> np.ndarray:
+    """x log(x/m) + m - x; near m by a series, as it would lose all digits."""
+    d = (x - m) / (x + m)
+    out = x * np.log(x / m) + m - x
+    near = np.abs(d) < 0.1
+    z, e = d[near], d[near] ** 2
+    total, power = (x[near] - m) * z, 2 * x[near] * z
+    for k in range(1, 12):
+        power = power * e
+        total = total + power / (2 * k + 1)
+    out[near] = total
     return out
 
 
@@ -101,29 +156,44 @@ def _information(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str,
     return out
 
 
-def ranked(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """df with each column's values replaced by their average ranks, nulls left out, from counts by value of all columns at once;
-    and what may be unpersisted when it has been used.
+def ranked(df: DataFrame, names: list[str], row: str) -> DataFrame:
+    """The columns' average ranks among their own values, null where they are null. `row` names a column that tells rows apart.
 
-    Counts are running sums within ranges of (column, value), stitched by the ranges' totals. Ranks of few values are
-    broadcast; those of many, as checked, are joined by shuffle.
+    Ranks of values come from counts by (column, value) of all columns at once: running sums within written ranges, to which the
+    totals of the ranges before are added. Columns of few values, as counted, take theirs from tables sent to all tasks. The rows
+    of all others are turned into (row, column, value), which meet the ranks in one join, and back into rows in one grouping.
     """
+    spark = df.sparkSession
     each = F.array(*(F.struct(F.lit(i).alias("i"), F.col(n).alias("v")) for i, n in enumerate(names)))
-    by = df.select(F.explode(each).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).persist()
-    sizes = {r.i: r.k for r in by.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
-    few = config.get_option("broadcast_rows")
-    spread = by.repartitionByRange("i", "v").withColumn("_part", F.spark_partition_id())
-    totals = spread.groupBy("i", "_part").agg(F.sum("n").alias("_t"))
-    before = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy("i").orderBy("_part")) - F.col("_t")).select("i", "_part", "_before")
-    inside = F.sum("n").over(Window.partitionBy("i", "_part").orderBy("v"))
-    ranks = spread.withColumn("_upto", inside).join(F.broadcast(before), ["i", "_part"])
-    ranks = ranks.select("i", "v", (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2).alias("r")).persist()
-    out = df
-    for i, n in enumerate(names):
-        own = ranks.where(F.col("i") == i).select(F.col("v").alias("_v"), F.col("r").alias("_r"))
-        own = F.broadcast(own) if sizes.get(i, 0) <= few else own
-        out = out.join(own, F.col(n) == F.col("_v"), "left").select(*(F.col("_r").alias(n) if c == n else F.col(c) for c in out.columns))
-    return out, [by, ranks]
+    by = df.select(F.explode(each).alias("x")).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    ranges = ordered(by, ["i", "v"]).rows
+    totals = ranges.groupBy("i", PART).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).collect()  # at most a row a range and column
+    bases, sizes = [], Counter()
+    running: Counter = Counter()
+    for r in sorted(totals, key=lambda r: (r.i, r[PART])):
+        bases.append((r.i, r[PART], running[r.i]))
+        running[r.i] += r.t
+        sizes[r.i] += r.k
+    before = F.broadcast(spark.createDataFrame(bases, f"i int, {PART} int, before long"))
+    upto = F.sum("n").over(Window.partitionBy("i", PART).orderBy("v"))
+    ranks = ranges.withColumn("upto", upto).join(before, ["i", PART]).select("i", "v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("r"))
+    ranks = written(ranks, "ranks")
+    most = config.get_option("broadcast_rows")
+    few, many = [i for i in range(len(names)) if sizes[i] <= most], [i for i in range(len(names)) if sizes[i] > most]
+    near = df.select(row, *names)
+    for i in few:
+        own = ranks.where(F.col("i") == i).select(F.col("v").alias("_v"), F.col("r").alias(f"_r{i}"))
+        near = near.join(F.broadcast(own), F.col(names[i]) == F.col("_v"), "left").drop("_v")
+    if not many:
+        return near.select(*(F.col(f"_r{i}").alias(n) for i, n in enumerate(names)))
+    held = F.struct(*(F.col(f"_r{i}").alias(f"r{i}") for i in few)) if few else F.lit(None).cast("struct<none:int>")
+    kind = near.select(held.alias("held")).schema["held"].dataType
+    long = df.select(row, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(names[i]).alias("v")) for i in many))).alias("x")).where("x.v is not null").select(row, "x.i", "x.v")
+    met = long.join(ranks, ["i", "v"]).select(row, "i", "r", F.lit(None).cast(kind).alias("held"))
+    if few:
+        met = met.unionByName(near.select(row, F.lit(-1).alias("i"), F.lit(None).cast("double").alias("r"), held.alias("held")))
+    wide = met.groupBy(row).agg(F.max("held").alias("held"), *(F.max(F.when(F.col("i") == i, F.col("r"))).alias(f"_r{i}") for i in many))
+    return wide.select(*(F.col(f"held.r{i}" if i in few else f"_r{i}").alias(n) for i, n in enumerate(names)))
 
 
 def _moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
@@ -188,7 +258,7 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
                 binned.append(c)
             else:
                 exprs.append(x.alias(codes[c]))
-    base = data = data.select(*exprs).persist()  # read by every aggregation below; what is lost with an executor is made again
+    data = written(data.select(*exprs, F.monotonically_increasing_id().alias("row")), "dependence")  # every aggregation below reads it
     if binned:
         extremes = data.agg(*(e for i, c in enumerate(binned) for e in (F.min(numbers[c]).alias(f"a{i}"), F.max(numbers[c]).alias(f"b{i}")))).first()
         more = data.agg(*(F.count_if((F.col(numbers[c]) != extremes[f"a{i}"]) & (F.col(numbers[c]) != extremes[f"b{i}"])).alias(f"o{i}") for i, c in enumerate(binned))).first()
@@ -235,7 +305,6 @@ def dependence(table, measures="all", num_bins: int = 10, nrows: int | None = No
             scores[m] = {(a, b): got.get((codes[a], codes[b])) for a, b in todo}
         scores[m] = {p: None if v is None else v * shared[p][0] / shared[p][1] for p, v in scores[m].items()}
         progress.step(len(pairs_of(m)))
-    base.unpersist()
     rows = []
     for p in every:
         own = {m: scores[m].get(p) for m in calculated}
@@ -267,11 +336,8 @@ def _spearman(data: DataFrame, pairs: list[tuple[str, str]], numbers: dict[str,
         return views.setdefault((own, other if other in holey else None), f"v{len(views)}")
 
     used = [(view(numbers[a], numbers[b]), view(numbers[b], numbers[a])) for a, b in pairs]
-    held = data.select(*(F.col(own).alias(v) if other is None else F.when(F.col(other).isNotNull(), F.col(own)).alias(v) for (own, other), v in views.items()))
-    ranks, kept = ranked(held, list(views.values()))
-    got = _moments(ranks, used)
-    for x in kept:
-        x.unpersist()
+    held = data.select("row", *(F.col(own).alias(v) if other is None else F.when(F.col(other).isNotNull(), F.col(own)).alias(v) for (own, other), v in views.items()))
+    got = _moments(written(ranked(held, list(views.values()), "row"), "ranked"), used)
     return {p: got[u] for p, u in zip(pairs, used, strict=True)}
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import config
 from ..functions import logical_types as L
+from ..scratch import written
 from .places import numbered
 
 NO_FREQ = "NO_FREQ"
@@ -177,7 +178,8 @@ def steps(rows: DataFrame) -> DataFrame:
 def infer_frequency(df: DataFrame, name: str, order: list[str] | None = None, debug: bool = False, window_length: int | None = None, threshold: float | None = None):
     """The alias that fits all of a column's timestamps, else None; with debug also where the series departs from its likeliest.
 
-    Rows are in the order of `order`, or of the timestamps themselves. Nulls are left out of the exact test only if there are none.
+    Rows are in the order of `order`, or of the timestamps themselves. No alias fits a column that holds nulls; where it departs from
+    its likeliest, they are left out.
     """
     window = window_length or config.get_option("frequency_window_length")
     threshold = threshold if threshold is not None else config.get_option("frequency_threshold")
@@ -186,11 +188,7 @@ def infer_frequency(df: DataFrame, name: str, order: list[str] | None = None, de
         df = df.withColumn(name, F.expr("timestamp_ntz'1970-01-01'") + stamp)
     else:
         df = df.withColumn(name, stamp.cast("timestamp_ntz"))
-    rows = positioned(df, name, order or [name]).persist()
-    try:
-        return _inferred(rows, window, threshold, debug)
-    finally:
-        rows.unpersist()
+    return _inferred(positioned(df, name, order or [name]), window, threshold, debug)
 
 
 def _inferred(rows: DataFrame, window: int, threshold: float, debug: bool):
@@ -208,7 +206,7 @@ def _inferred(rows: DataFrame, window: int, threshold: float, debug: bool):
     ranges = lambda found: [Range(r.dt and r.dt.isoformat(), r.idx, r["range"]) for r in runs(found).orderBy("idx").collect()]
     out.nan_values = ranges(rows.where(F.col("ts").isNull()))
     out.duplicate_values = ranges(duplicates(rows))
-    clean = rows.where(F.col("ts").isNotNull()).groupBy("ts").agg(F.min("pos").alias("pos")).persist()
+    clean = written(rows.where(F.col("ts").isNotNull()).groupBy("ts").agg(F.min("pos").alias("pos")), "timestamps")
     if clean.count() < window:
         out.message = Message.SHORT.value
         return None, asdict(out)
@@ -224,7 +222,6 @@ def _inferred(rows: DataFrame, window: int, threshold: float, debug: bool):
     out.estimated_freq, out.estimated_range_start, out.estimated_range_end = best["alias"], best.min_dt.isoformat(), best.max_dt.isoformat()
     estimated = series(rows.sparkSession, best["alias"], best.min_dt, best.max_dt)
     out.missing_values, out.extra_values = ranges(missing(estimated, clean)), ranges(missing(clean, estimated))
-    clean.unpersist()
     return None, asdict(out)
 
 

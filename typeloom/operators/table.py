@@ -12,7 +12,7 @@ from ..functions import logical_types as L
 from ..plans import inference
 from ..plans.registry import type_system, warn
 from ..plans.schema import INDEX, TIME_INDEX, ColumnSchema, TableSchema
-from .places import numbered
+from .places import ordered
 
 
 def col(name: str) -> Column:
@@ -349,19 +349,18 @@ class TypedTable:
         if not order:
             raise ValueError("rows have places only with an index or time index")
         names = self.columns if columns is None else [self.columns[i] if isinstance(i, int) else i for i in columns]
-        place = numbered(self.df, order, "_place")
-        n = self.df.count()
+        in_order = ordered(self.df.select(*map(col, dict.fromkeys([*order, *names]))), order)
+        n = in_order.total
         if isinstance(places, slice):
             wanted = range(n)[places]
-            step = abs(wanted.step)
             low, high = (min(wanted[0], wanted[-1]), max(wanted[0], wanted[-1])) if len(wanted) else (0, -1)
-            fits = F.col("_place").between(low, high) & ((F.col("_place") - low) % step == 0)
+            rows = in_order.between(low, high, "_place").where((F.col("_place") - low) % abs(wanted.step) == 0)
         else:
             listed = [places] if isinstance(places, int) else list(places)
             if beyond := [p for p in listed if not -n <= p < n]:
                 raise IndexError(f"there is no row at {beyond[0]}")
-            fits = F.col("_place").isin([p % n for p in listed])
-        found = place.where(fits).select(*map(col, names))
+            rows = in_order.at([p % n for p in listed], "_place")
+        found = rows.select(*map(col, names))
         return found.first() if isinstance(places, int) else TypedTable(found, self.schema.subset(names))
 
     # -- types and tags ----------------------------------------------------------------------------------------------
