@@ -368,6 +368,10 @@ class LatLong(LogicalType):
         bad = F.lit(None) if lenient else F.raise_error(F.concat(F.lit("not a LatLong: "), text)).cast(LATLONG)
         return F.when(text.isNull(), F.lit(None)).when(text.rlike(shape), self._pair(F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2))).otherwise(bad)
 
+    def invalid(self, c: Column) -> Column:
+        """A coordinate is a number or null; NaN is neither."""
+        return c.isNotNull() & (F.coalesce(F.isnan(c["latitude"]), F.lit(False)) | F.coalesce(F.isnan(c["longitude"]), F.lit(False)))
+
     def _pair(self, a: Column, b: Column) -> Column:
         def part(x):
             y = x.try_cast("double")

@@ -352,7 +352,7 @@ def _without_large(data: DataFrame, columns: list[str], schemas, place: dict, mo
     categories = [c for c in columns if schemas[c].is_categorical]
     if len(categories) < 2:
         return columns
-    from .describe import distinct_and_mode
+    from .modes import distinct_and_mode
 
     found = distinct_and_mode(data, [place[c] for c in categories], [])
     sizes = {c: found[place[c]][0] for c in categories if found[place[c]][0] > LARGE_CATEGORY}

@@ -1,17 +1,12 @@
 """Statistics of every column.
 
-Sums, counts and extremes of all columns come from one aggregation. Numbers of distinct values and modes come from counts by
-value, one grouped branch a column, gathered by one job; each branch scans its own column alone. Quartiles come from
-exact quantiles of all numeric columns together.
+Sums, counts and extremes of all columns come from one aggregation, numbers of distinct values and modes from counts of hashes,
+and quartiles from exact quantiles of all numeric columns together.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from datetime import date, datetime
-from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,45 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions import logical_types as L
 from . import counts
+from .modes import distinct_and_mode
 from .progress import Progress
 from .quantiles import quantiles
 
 ROWS = ["physical_type", "logical_type", "semantic_tags", "count", "nunique", "nan_count", "mean", "mode", "std", "min", "first_quartile", "second_quartile", "third_quartile", "max", "num_true", "num_false"]
 
 
-def distinct_and_mode(df: DataFrame, columns: list[str], with_mode: list[str]) -> dict[str, tuple[int, object]]:
-    """Each column's number of distinct non-null values and, where asked, its most frequent value (the least of several)."""
-    branches = []
-    for i, c in enumerate(columns):
-        by = df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        most = F.min(F.struct(-F.col("n"), "v"))["v"]
-        text = F.to_json(most, {"ignoreNullFields": "false"}) if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType)) else most.cast("string")
-        mode = text if c in with_mode else F.lit(None).cast("string")
-        branches.append(by.agg(F.count(F.lit(1)).alias("distinct"), mode.alias("mode")).select(F.lit(i).alias("i"), "distinct", "mode"))
-    if not branches:
-        return {}
-    return {columns[r.i]: (r.distinct, _value(r.mode, df.schema[columns[r.i]].dataType)) for r in reduce(DataFrame.unionByName, branches).collect()}
-
-
-def _value(text: str | None, kind: T.DataType):
-    """What Spark's text of a value stands for."""
-    if text is None or isinstance(kind, T.StringType):
-        return text
-    if isinstance(kind, L.WHOLE):
-        return int(text)
-    if isinstance(kind, T.StructType):
-        return tuple(json.loads(text).values())
-    if isinstance(kind, T.ArrayType):
-        return json.loads(text)
-    if isinstance(kind, T.BooleanType):
-        return text == "true"
-    if isinstance(kind, T.DecimalType):
-        return Decimal(text)
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return float(text)
-    return datetime.fromisoformat(text) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else date.fromisoformat(text) if isinstance(kind, T.DateType) else text
-
-
 def describe_dict(table, include=None, callback: Callable | None = None, results_callback: Callable | None = None, extra_stats: bool = False, bins: int = 10, top_x: int = 10, recent_x: int = 10) -> dict[str, dict]:
     """Statistics by column; the index is left out. With extra_stats also histograms, top values, values in range and recent dates."""
     names = table.columns if include is None else table.schema.selected(include, names_too=True)

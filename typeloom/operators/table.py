@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from ..functions import logical_types as L
 from ..plans import inference
 from ..plans.registry import type_system, warn
 from ..plans.schema import INDEX, TIME_INDEX, ColumnSchema, TableSchema
+from .fingerprints import differing, fingerprint
 from .places import ordered
 
 
@@ -251,10 +254,17 @@ class TypedTable:
         return self.df.sparkSession.createDataFrame(rows, "column string, physical_type string, logical_type string, semantic_tags array<string>")
 
     def equals(self, other, deep: bool = False) -> bool:
-        """Schemas alike; with deep the same rows too, whatever their order."""
+        """Schemas alike; with deep the same rows too, whatever their order: as fingerprints tell, for which no rows are shuffled."""
         if not isinstance(other, TypedTable) or self.schema != other.schema:
             return False
-        return not deep or not (self.df.exceptAll(other.df).take(1) or other.df.exceptAll(self.df).take(1))
+        return not deep or self.physical_types == other.physical_types and fingerprint(self.df) == fingerprint(other.df)
+
+    def differing(self, other: TypedTable) -> DataFrame:
+        """Rows of either table that the other lacks, each as often as it lacks it, with `_side`, left for this table's or right. Only
+        rows of buckets whose fingerprints differ are compared."""
+        if self.physical_types != other.physical_types:
+            raise ValueError("tables with different columns have no rows to compare")
+        return differing(self.df, other.df)
 
     def __eq__(self, other) -> bool:
         return self.equals(other)
@@ -560,9 +570,25 @@ def typed_series(df: DataFrame, name: str, logical_type, **kw) -> TypedColumn:
     return TypedTable(df.select(col(name)), TableSchema(columns, None, None))[name]
 
 
+def _side_by_side(dfs: list[DataFrame], key: str) -> DataFrame:
+    """Rows with one key as one row. Every table's rows are shuffled once, however many tables there are; each holds a key once,
+    and a key that it repeats is an error when rows are read."""
+    rest = [[c for c in df.columns if c != key] for df in dfs]
+    kinds = [T.StructType([f for f in df.schema if f.name != key]) for df in dfs]
+
+    def tagged(i: int) -> DataFrame:
+        own = [F.struct(*map(col, rest[j])) if i == j and rest[j] else F.lit(None).cast(k) if k.fields else F.lit(None).cast("int") for j, k in enumerate(kinds)]
+        return dfs[i].select(col(key).alias("key"), F.lit(i).alias("tag"), *(v.alias(f"s{j}") for j, v in enumerate(own)))
+
+    every = reduce(DataFrame.unionAll, map(tagged, range(len(dfs))))
+    grouped = every.groupBy("key").agg(*(F.first(f"s{j}", ignorenulls=True).alias(f"s{j}") for j in range(len(dfs))), *(F.count_if(F.col("tag") == j).alias(f"n{j}") for j in range(len(dfs))))
+    once = reduce(lambda a, b: a & b, (F.col(f"n{j}") <= 1 for j in range(len(dfs))))
+    checked = F.when(once, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("a table repeats the key "), F.col("key").cast("string"))))
+    return grouped.select(checked.alias(key), *(F.col(f"s{j}")[c].alias(c) for j in range(len(dfs)) for c in rest[j]))
+
+
 def concat_columns(objects: list[TypedTable | TypedColumn], validate: bool = True) -> TypedTable:
-    """Tables side by side, by a full outer join on their indexes, or on a common column set where only one of them is the
-    index. A whole-number or boolean column that gets nulls becomes its nullable type."""
+    """Tables side by side: rows with one value of the index become one row, with nulls for tables that lack it. A whole-number or boolean column that gets nulls becomes its nullable type."""
     if not objects:
         raise ValueError("there is nothing to join")
     tables = [o.table.subset([o.name, o.table.index]) if isinstance(o, TypedColumn) and o.table.index not in (None, o.name) else o.table[[o.name]] if isinstance(o, TypedColumn) else o for o in objects]
@@ -582,11 +608,8 @@ def concat_columns(objects: list[TypedTable | TypedColumn], validate: bool = Tru
         if both := set(metadata) & set(t.metadata):
             raise ValueError(f"the metadata key '{sorted(both)[0]}' is in more than one table")
         metadata |= t.metadata
-    df, columns = tables[0].df, dict(tables[0].schema.copy().columns)
-    for t in tables[1:]:
-        df = df.join(t.df, key, "full_outer")
-        columns |= {c: s for c, s in t.schema.copy().columns.items() if c != key}
-    df = df.select(*map(col, columns))
+    columns = {c: s for t in tables for c, s in t.schema.copy().columns.items()}
+    df = _side_by_side([t.df for t in tables], key).select(*map(col, columns)) if len(tables) > 1 else tables[0].df
     looser = {L.Integer: L.IntegerNullable, L.Age: L.AgeNullable, L.Boolean: L.BooleanNullable}
     strict = [c for c, s in columns.items() if c != key and type(s.logical_type) in looser]
     if strict and len(tables) > 1:

@@ -1,6 +1,6 @@
 """Inference of logical types from data.
 
-What the rules need to know of all columns is gathered in aggregations over a sample where the table is large. A look at a
+What the rules need to know of all columns is gathered in aggregations, over a sample where the table is large. A look at a
 few rows first refutes most of what has to hold for every value; one pass over the sample settles what is left, and another
 counts frequent words in columns that no rule fits, or tries formats on strings that look like datetimes. The walk over the
 type graph then runs on the driver.
@@ -8,6 +8,9 @@ type graph then runs on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,8 @@ from pyspark.sql import types as T
 from ..config import config
 from ..functions import datetimes
 from ..functions import logical_types as L
-from .registry import TypeSystem, type_system
+from ..operators.samples import exact_sample
+from .registry import OfValues, TypeSystem, type_system
 from .words import COMMON
 
 SEED = 42
@@ -25,10 +29,8 @@ _SPLIT = r"[- \[\].,!\?;\n]"
 
 
 def sampled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, or about `rows` of it chosen by a seeded sample of its rows where it has more."""
-    rows = rows or config.get_option("inference_sample_rows")
-    n = df.count()
-    return df if n <= rows else df.sample(False, rows / n, SEED)
+    """df, or exactly `rows` of its rows, chosen by a seed and written once for all looks, where it has more."""
+    return exact_sample(df, rows or config.get_option("inference_sample_rows"), SEED, some_files=True)
 
 
 #: Rows that the first look is at; distinct values, at most, among which a pair of words for true and false is looked for.
@@ -178,7 +180,8 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
         return {}
     kinds = {c: df.schema[c].dataType for c in columns}
     sample = sampled(df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))))
-    custom = {t: r for t, r in system.rules.items() if callable(r)}
+    custom = {t: r for t, r in system.rules.items() if callable(r) and not isinstance(r, OfValues)}
+    by_values = {t: r for t, r in system.rules.items() if isinstance(r, OfValues)}
     exprs, names = [], []
     for i, c in enumerate(columns):
         own = facts(F.col(f"c{i}"), kinds[c])
@@ -202,6 +205,7 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
     for c in columns:
         if got[c].get("few") is not None and len(got[c]["few"]) > FEW:
             got[c]["few"] = None
+    verdicts = _verdicts(sample, columns, by_values)
     dated = [c for c in columns if isinstance(kinds[c], T.StringType) and got[c]["some"] and got[c]["date"]]
     dates = _dates(sample, {c: f"c{columns.index(c)}" for c in dated})
 
@@ -214,6 +218,8 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
             r = system.rules.get(t)
             if r is None:
                 return None
+            if isinstance(r, OfValues):
+                return verdicts.get((c, t), False)
             return bool(found.got[f"custom{list(custom).index(t)}"]) if callable(r) else getattr(found, r)()
 
         return walk(rule, system)
@@ -228,6 +234,26 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
     return {c: out[c]() for c in columns}
 
 
+def _verdicts(sample: DataFrame, columns: list[str], rules: dict[type[L.LogicalType], OfValues]) -> dict[tuple[str, type[L.LogicalType]], bool]:
+    """What rules of values say of each column. A task has a column of the sample, whose rows have a bound."""
+    if not rules:
+        return {}
+    kinds, tests = list(rules), [r.test for r in rules.values()]
+
+    def judged(i: int):
+        def run(x: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"i": [i] * len(tests), "j": list(range(len(tests))), "fits": [bool(test(x["v"])) for test in tests]})
+
+        return run
+
+    out = []
+    for i in range(len(columns)):
+        # Grouped by a constant: all of a column's rows of the sample meet in one task.
+        own = sample.select(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")).groupBy("i")
+        out.append(own.applyInPandas(judged(i), "i int, j int, fits boolean"))
+    return {(columns[r.i], kinds[r.j]): r.fits for r in reduce(DataFrame.unionByName, out).collect()}
+
+
 #: Facts that hold for every value or not at all.
 _EVERY = {"int", "float", "date", "email", "phone", "postal_code", "url", "ipv4", "ipv6", "few_ints"}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from ..functions import logical_types as L
 
@@ -19,10 +21,19 @@ RELATIONSHIPS = [
 ]
 
 
+@dataclass(frozen=True)
+class OfValues:
+    """An inference rule that looks at values: test(series) gets the values of a column in the sample, as a pandas Series with its
+    nulls, and says whether the type fits. It runs in tasks, so it must be importable there or be sent with its closure."""
+
+    test: Callable
+
+
 class TypeSystem:
     """Types in registration order, parent-child relations, an inference rule for some, and the default type.
 
-    An inference rule is the name of a built-in rule or a function (name, spark type) -> boolean aggregate Column or None.
+    An inference rule is the name of a built-in rule, a function (Column, spark type) -> boolean aggregate Column or None, or
+    OfValues. Aggregates see the whole sample in one pass; OfValues is for what they can't say.
     """
 
     def __init__(self):

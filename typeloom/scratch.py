@@ -31,3 +31,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_files(df: DataFrame) -> list[str]:
+    """The files that df is read from, named as its hidden column _metadata.file_path names them."""
+    return sorted(re.sub(r"^(\w+):///", r"\1:/", f) for f in df.inputFiles())

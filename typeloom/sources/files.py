@@ -14,6 +14,8 @@ from ..functions import logical_types as L
 from ..operators.table import TypedTable
 from ..plans.registry import warn
 from ..plans.schema import VERSION, TableSchema
+from ..scratch import input_files
+from . import arrow_source
 
 FORMATS = {
     "csv": "csv", "text/csv": "csv", "parquet": "parquet", "application/parquet": "parquet", "orc": "orc", "application/orc": "orc",
@@ -32,53 +34,52 @@ def _format(path: str, content_type: str | None) -> str:
 
 
 def _arrow_files(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, batch by batch, in tasks that open them by their places. The schema comes from the first file's footer.
-    Files of stores that only Spark reaches are handed to the tasks whole."""
+    """Arrow IPC files by runs of record batches. Files of stores that only Spark reaches are handed to the tasks whole."""
     import pyarrow as pa
     from pyarrow import fs
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    files = spark.read.format("binaryFile").load(path)
-    places = sorted(r.path for r in files.select("path").collect())
-    if not places:
-        raise FileNotFoundError(path)
-
-    def opened(place):
-        store, own = fs.FileSystem.from_uri(place)
-        return pa.ipc.open_file(store.open_input_file(own))
-
-    def batches_of(reader):
-        for i in range(reader.num_record_batches):
-            yield reader.get_batch(i)
-
     try:
-        schema = from_arrow_schema(opened(places[0]).schema)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
-        if "scheme" not in str(e).lower() and "protocol" not in str(e).lower() and "hdfs" not in str(e).lower():
-            raise
-        schema = from_arrow_schema(pa.ipc.open_file(files.where(F.col("path") == places[0]).first().content).schema)
-        return files.select("content").mapInArrow(lambda batches: (x for batch in batches for c in batch.column(0) for x in batches_of(pa.ipc.open_file(c.as_py()))), schema)
-    listed = spark.createDataFrame([(p,) for p in places], "place string").repartition(len(places))
-    return listed.mapInArrow(lambda batches: (x for batch in batches for p in batch.column(0).to_pylist() for x in batches_of(opened(p))), schema)
-
-
-def _quoted_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a csv file has quoted line breaks: then some line holds an odd number of quotes. Files without are read in parts."""
-    return bool(spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).take(1))
+        fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        files = spark.read.format("binaryFile").load(path)
+        first = files.orderBy("path").first()
+        if first is None:
+            raise FileNotFoundError(path) from None
+        schema = from_arrow_schema(pa.ipc.open_file(first.content).schema)
+
+        def batches_of(content):
+            reader = pa.ipc.open_file(content)
+            return (reader.get_batch(i) for i in range(reader.num_record_batches))
+
+        return files.select("content").mapInArrow(lambda batches: (x for batch in batches for c in batch.column(0) for x in batches_of(c.as_py())), schema)
+    return arrow_source.read(spark, path)
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType | None = None, **options) -> DataFrame:
+    """csv files, in parts but for those with quoted line breaks, which have lines with an odd number of quotes: of these each is
+    read by one task. All files have the same header."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    # Names of files, of which a folder holds as many as the driver lists in any case.
+    whole = [r.p for r in spark.read.text(path).where(odd).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+    reader = lambda **more: (spark.read if schema is None else spark.read.schema(schema)).options(**{**more, **options})
+    if not whole or "multiLine" in options:
+        return reader(multiLine=bool(whole)).csv(path)
+    split = sorted(set(input_files(spark.read.text(path))) - set(whole))
+    parts = [reader(multiLine=m).csv(ps) for m, ps in ((False, split), (True, sorted(whole))) if ps]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_file(spark: SparkSession, path: str, content_type: str | None = None, name: str | None = None, index: str | None = None, time_index: str | None = None, semantic_tags=None, logical_types=None, use_standard_tags=True, column_origins=None, replace_nan: bool = False, validate: bool = True, **options) -> TypedTable:
     """A typed table from csv, parquet, orc or arrow files. Options go to Spark's reader.
 
-    csv is read as strings, which inference types; a file is split among tasks unless it has quoted line breaks. replace_nan makes strings that stand for null null, in all columns.
+    csv is read as strings, which inference types; files are split among tasks but for those with quoted line breaks. replace_nan makes strings that stand for null null, in all columns.
     """
     kind = _format(path, content_type)
     if kind == "arrow":
         df = _arrow_files(spark, path)
     else:
-        if kind == "csv":
-            options = {"header": True, "multiLine": _quoted_lines(spark, path), "escape": '"', **options}
-        df = spark.read.options(**options).format(kind).load(path)
+        df = _csv(spark, path, **{"header": True, "escape": '"', **options}) if kind == "csv" else spark.read.options(**options).format(kind).load(path)
     if replace_nan:
         df = df.select(*(L.clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
     return TypedTable.init(df, name, index, time_index, logical_types, semantic_tags, use_standard_tags, column_origins=column_origins, validate=validate)
@@ -133,13 +134,56 @@ def to_disk(table: TypedTable, path: str, format: str = "csv", filename: str = "
         df = df.select(*(_as_text(f).alias(f.name) for f in df.schema))
         options = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **options}
     if kind == "arrow":
-        _write_arrow(df, data)
+        arrow_source.write(df, data)
     else:
+        df = _with_typing(df, info) if kind == "parquet" else df
         writer = df.write.format(kind).options(**options)
         (writer.option("compression", compression) if compression else writer).save(data)
     _write_text(spark, typing, text)
 
 
+#: Where a column's metadata in a Spark schema, which Parquet files keep, holds its typing information, and the table's.
+COLUMN_TYPING, TABLE_TYPING = "typeloom.column", "typeloom.table"
+
+
+def _with_typing(df: DataFrame, info: dict) -> DataFrame:
+    """df with each column's typing information, as JSON, in its metadata; the table's is in that of every column, so that it stays
+    whichever columns are read."""
+    table = json.dumps({k: v for k, v in info.items() if k not in ("column_typing_info", "loading_info")})
+    own = {c["name"]: json.dumps(c) for c in info["column_typing_info"]}
+    return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, COLUMN_TYPING: own[f.name], TABLE_TYPING: table}) for f in df.schema))
+
+
+def typing_within(df: DataFrame) -> dict | None:
+    """The typing information that the columns of df carry, of those that are there; None if one carries none. An index that is no
+    longer there is left out."""
+    fields = df.schema.fields
+    if not fields or any(COLUMN_TYPING not in f.metadata or TABLE_TYPING not in f.metadata for f in fields):
+        return None
+    info = json.loads(fields[0].metadata[TABLE_TYPING])
+    columns = [{**json.loads(f.metadata[COLUMN_TYPING]), "name": f.name, "ordinal": i} for i, f in enumerate(fields)]
+    names = {c["name"] for c in columns}
+    return {**info, **{k: info[k] if info[k] in names else None for k in ("index", "time_index")}, "column_typing_info": columns}
+
+
+def read_typed(spark: SparkSession, path: str, columns: list[str] | None = None, validate: bool = False) -> TypedTable:
+    """Parquet files typed by the information that they carry within, without a typing file beside them. Of `columns`
+    alone, if given. Raises if the files carry none."""
+    df = spark.read.parquet(path)
+    df = df if columns is None else df.select(*(F.col(f"`{c}`") for c in columns))
+    info = typing_within(df)
+    if info is None:
+        raise ValueError(f"the files of {path} carry no typing information")
+    return _typed(df, info, validate)
+
+
+def _typed(df: DataFrame, info: dict, validate: bool) -> TypedTable:
+    _check_version(info["schema_version"])
+    want = {c["name"]: c["physical_type"]["type"] for c in info["column_typing_info"]}
+    df = df.select(*(F.col(f"`{c}`").cast(k).alias(c, metadata={}) for c, k in want.items()))
+    return TypedTable.init_with_full_schema(df, TableSchema.from_dict(info), validate=validate)
+
+
 def _as_text(f: T.StructField):
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
@@ -151,37 +195,8 @@ def _as_text(f: T.StructField):
     return c
 
 
-def _write_arrow(df: DataFrame, data: str) -> None:
-    """A part file from each task, written under a name of its own and renamed when whole."""
-    import uuid
-
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    def run(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(data if "://" in data or data.startswith("file:") else f"file://{os.path.abspath(data)}")
-        store.create_dir(base, recursive=True)
-        part = f"part-{TaskContext.get().partitionId():05d}"
-        own, writer, out, n = f"{base}/.{part}-{uuid.uuid4().hex}", None, None, 0
-        for batch in batches:
-            if writer is None:
-                out = store.open_output_stream(own)
-                writer = pa.ipc.new_file(out, batch.schema)
-            writer.write_batch(batch)
-            n += batch.num_rows
-        if writer is not None:
-            writer.close()
-            out.close()
-            store.move(own, f"{base}/{part}.arrow")
-        yield pa.RecordBatch.from_pydict({"n": [n]})
-
-    df.mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
 def read_table(spark: SparkSession, path: str, filename: str | None = None, data_subdirectory: str = "data", typing_info_filename: str = TYPING_FILE, validate: bool = False, format: str | None = None) -> TypedTable:
-    """A table as to_disk wrote it. Without a typing file, the named data file is read and typed by inference."""
+    """A table as to_disk wrote it. Without a typing file, the named data file is typed by what it carries within, or else by inference."""
     try:
         info = json.loads(_read_text(spark, f"{path}/{typing_info_filename}"))
     except FileNotFoundError:
@@ -190,7 +205,10 @@ def read_table(spark: SparkSession, path: str, filename: str | None = None, data
         kind = format or os.path.splitext(filename)[1].lstrip(".")
         if not kind:
             raise ValueError(f"the format of {filename} is not known") from None
-        return read_file(spark, f"{path}/{data_subdirectory}/{filename}".replace("//", "/"), kind, validate=validate)
+        data = f"{path}/{data_subdirectory}/{filename}"
+        if FORMATS.get(kind) == "parquet" and typing_within(spark.read.parquet(data)) is not None:
+            return read_typed(spark, data, validate=validate)
+        return read_file(spark, data, kind, validate=validate)
     _check_version(info["schema_version"])
     schema = TableSchema.from_dict(info)
     kind = FORMATS[info["loading_info"].get("type") or format]
@@ -198,7 +216,7 @@ def read_table(spark: SparkSession, path: str, filename: str | None = None, data
     want = {c["name"]: c["physical_type"]["type"] for c in info["column_typing_info"]}
     if kind == "csv":
         fields = T.StructType([T.StructField(c, T.StringType()) for c in want])
-        df = spark.read.schema(fields).options(header=True, multiLine=_quoted_lines(spark, data), escape='"', emptyValue="").csv(data)
+        df = _csv(spark, data, fields, header=True, escape='"', emptyValue="")
         df = df.select(*(_from_text(c, k).alias(c) for c, k in want.items()))
     elif kind == "arrow":
         df = _arrow_files(spark, data)
