@@ -29,6 +29,9 @@ from .catalog import valid_mi_types, valid_pearson_types, valid_spearman_types
 MEASURES = ["pearson", "spearman", "mutual_info"]
 SHOWN = ["max", "pearson", "spearman", "mutual_info"]
 
+#: Pairs of columns whose moments one aggregation takes.
+PAIRS = 100
+
 #: Category columns with more values than this may be left out together.
 LARGE_CATEGORY = 800
 
@@ -177,7 +180,6 @@ def ranked(df: DataFrame, names: list[str], row: str) -> DataFrame:
     before = F.broadcast(spark.createDataFrame(bases, f"i int, {PART} int, before long"))
     upto = F.sum("n").over(Window.partitionBy("i", PART).orderBy("v"))
     ranks = ranges.withColumn("upto", upto).join(before, ["i", PART]).select("i", "v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("r"))
-    ranks = written(ranks, "ranks")
     most = config.get_option("broadcast_rows")
     few, many = [i for i in range(len(names)) if sizes[i] <= most], [i for i in range(len(names)) if sizes[i] > most]
     near = df.select(row, *names)
@@ -199,8 +201,8 @@ def ranked(df: DataFrame, names: list[str], row: str) -> DataFrame:
 def _moments(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """Pearson's correlation of number columns over the rows where both are not null; None if one is constant there."""
     out = {}
-    for at in range(0, len(pairs), 100):
-        group, exprs = pairs[at : at + 100], []
+    for at in range(0, len(pairs), PAIRS):
+        group, exprs = pairs[at : at + PAIRS], []
         for i, (a, b) in enumerate(group):
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
@@ -337,7 +339,8 @@ def _spearman(data: DataFrame, pairs: list[tuple[str, str]], numbers: dict[str,
 
     used = [(view(numbers[a], numbers[b]), view(numbers[b], numbers[a])) for a, b in pairs]
     held = data.select("row", *(F.col(own).alias(v) if other is None else F.when(F.col(other).isNotNull(), F.col(own)).alias(v) for (own, other), v in views.items()))
-    got = _moments(written(ranked(held, list(views.values()), "row"), "ranked"), used)
+    ranks = ranked(held, list(views.values()), "row")
+    got = _moments(written(ranks, "ranked") if len(used) > PAIRS else ranks, used)
     return {p: got[u] for p, u in zip(pairs, used, strict=True)}
 
 

@@ -133,6 +133,12 @@ def sampled_medcouple(table, name: str, ignore_zeros: bool = False) -> float | N
     return round(medcouple(values.select("value").toPandas()["value"].to_numpy(dtype=float)), 3)
 
 
+def skewness(table, name: str, ignore_zeros: bool = False) -> float | None:
+    """The third standardised moment of all values, not corrected for their number; None without values or if all are equal."""
+    values, _ = _values(table, name, ignore_zeros)
+    return values.agg(F.skewness("value").alias("s")).first().s
+
+
 def medcouple_bounds(table, name: str, quantiles: dict | None = None, include_indices_and_values: bool = True, ignore_zeros: bool = False, mc: float | None = None) -> dict:
     """Box-plot bounds stretched on the side of the tail and shortened on the other, by the medcouple and the skewness."""
     values, _ = _values(table, name, ignore_zeros)
@@ -140,8 +146,7 @@ def medcouple_bounds(table, name: str, quantiles: dict | None = None, include_in
     if q is None:
         return _none("medcouple", include_indices_and_values)
     mc = sampled_medcouple(table, name, ignore_zeros) if mc is None else mc
-    skew = values.agg(F.skewness("value").alias("s")).first().s
-    k = min(abs(skew or 0.0), 3.5)
+    k = min(abs(skewness(table, name, ignore_zeros) or 0.0), 3.5)
     a, b = (-k, k) if mc >= 0 else (k, -k)
     spread = q[3] - q[1]
     bounds = q[1] - 1.5 * math.exp(a * mc) * spread, q[3] + 1.5 * math.exp(b * mc) * spread

@@ -191,15 +191,17 @@ def infer(df: DataFrame, columns: list[str] | None = None, system: TypeSystem |
         for k, e in own.items():
             exprs.append(e.alias(f"a{len(names)}"))
             names.append((c, k))
-    head = sample.limit(HEAD_ROWS).agg(*exprs).first()
     got: dict[str, dict] = {c: {} for c in columns}
-    open_ = []
-    for (c, k), e, v in zip(names, exprs, head, strict=True):
+    head, open_ = sample.limit(HEAD_ROWS).agg(F.count(F.lit(1)), *exprs).first(), []
+    whole = head[0] < HEAD_ROWS  # then there is no more to see
+    for (c, k), e, v in zip(names, exprs, head[1:], strict=True):
         if k in _EVERY and v is False or k == "few" and len(v) > FEW:
             got[c][k] = v if k != "few" else None  # what fails on some rows fails on more
+        elif whole:
+            got[c][k] = v
         else:
             open_.append(((c, k), e))
-    row = sample.agg(*(e.alias(f"a{i}") for i, (_, e) in enumerate(open_))).first()
+    row = sample.agg(*(e.alias(f"a{i}") for i, (_, e) in enumerate(open_))).first() if open_ else ()
     for ((c, k), _), v in zip(open_, row, strict=True):
         got[c][k] = v
     for c in columns:

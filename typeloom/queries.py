@@ -181,7 +181,8 @@ def boxplot_outliers(spark, sf_dir):
 
 @query("SELECT round((avg(power(value - m, 3)) / power(avg(power(value - m, 2)), 1.5)), 6) AS skewness FROM events, (SELECT avg(value) AS m FROM events)")
 def skewness(spark, sf_dir):
-    return _table(spark, sf_dir, "events").agg(F.round(F.skewness("value"), 6).alias("skewness"))
+    found = outliers.skewness(_typed(spark, sf_dir, "events", {"value": "Double"}), "value")
+    return spark.createDataFrame([(round(found, 6),)], "skewness double")
 
 
 @query(
@@ -348,8 +349,12 @@ def natural_language_mean(spark, sf_dir):
     return _table(spark, sf_dir, "documents").agg(F.round(inference.frequent_words(F.col("text")), 6).alias("common_words"))
 
 
-@query("SELECT name, freq FROM (VALUES ('hours', 'H'), ('days', '3D'), ('weeks', 'W-SUN'), ('month_ends', 'M'), ('month_starts', 'MS'), ('quarters', 'QS-OCT'), ('years', 'A-DEC'), ('weekdays', 'B'), ('none', NULL)) v(name, freq)")
+@query(
+    """SELECT name, CASE WHEN name <> 'none' AND (SELECT count(DISTINCT p_size) = max(p_size) - min(p_size) + 1 FROM part) THEN freq END AS freq
+    FROM (VALUES ('hours', 'H'), ('days', '3D'), ('weeks', 'W-SUN'), ('month_ends', 'M'), ('month_starts', 'MS'), ('quarters', 'QS-OCT'), ('years', 'A-DEC'), ('weekdays', 'B'), ('none', NULL)) v(name, freq)"""
+)
 def frequency_exact(spark, sf_dir):
+    """Aliases of series whose steps are the sizes that parts have."""
     day = F.expr("timestamp_ntz'1995-01-01'")
     n = F.col("id").cast("int")
     made = {
@@ -363,7 +368,8 @@ def frequency_exact(spark, sf_dir):
         "weekdays": F.date_add(F.lit("1995-01-02").cast("date"), (n + 2 * F.floor(n / 5)).cast("int")),
         "none": F.when(n == 20, day).otherwise(day + F.make_dt_interval(days=n * 3)),
     }
-    df = spark.range(60).select(*(e.cast("timestamp_ntz").alias(k) for k, e in made.items()))
+    steps = _table(spark, sf_dir, "part").select((F.col("p_size") - 1).alias("id")).distinct()
+    df = steps.select(*(e.cast("timestamp_ntz").alias(k) for k, e in made.items()))
     found = TypedTable.init(df, logical_types=dict.fromkeys(made, "Datetime")).infer_temporal_frequencies()
     return spark.createDataFrame(list(found.items()), "name string, freq string")
 
@@ -434,17 +440,25 @@ def select_and_rename(spark, sf_dir):
     return t.select(include="numeric").rename({"l_quantity": "l_extendedprice", "l_extendedprice": "l_quantity", "l_linenumber": "line"}).df
 
 
-@query("SELECT count(*)::BIGINT AS types, 14::BIGINT AS inferred FROM range(26)")
-def type_catalog(spark, sf_dir):
-    from .plans.registry import type_system
+_KINDS = "CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'Integer' WHEN column_type = 'DOUBLE' THEN 'Double' WHEN column_type = 'TIMESTAMP' THEN 'Datetime' ELSE 'Categorical' END"
 
-    types = catalog.list_logical_types(spark)
-    return types.agg(F.count(F.lit(1)).alias("types")).withColumn("inferred", F.lit(len(type_system.rules)).cast("long"))
+
+@query(f"SELECT column_name AS \"column\", {_KINDS} AS logical_type, CASE {_KINDS} WHEN 'Integer' THEN 'IntegerNullable' END AS parent_type, CASE {_KINDS} WHEN 'Categorical' THEN 'category' WHEN 'Datetime' THEN '' ELSE 'numeric' END AS standard_tags FROM (DESCRIBE lineitem)")
+def type_catalog(spark, sf_dir):
+    """What the catalogue says of the types that inference finds in line items."""
+    t = TypedTable.init(_table(spark, sf_dir, "lineitem"), validate=False)
+    found = spark.createDataFrame([(c, type(k).__name__) for c, k in t.logical_types.items()], "column string, logical_type string")
+    known = catalog.list_logical_types(spark).select(F.col("name").alias("logical_type"), "parent_type", F.concat_ws(",", "standard_tags").alias("standard_tags"))
+    return found.join(F.broadcast(known), "logical_type").select("column", "logical_type", "parent_type", "standard_tags")
 
 
-@query("SELECT name, is_standard FROM (VALUES ('numeric', true), ('category', true), ('index', false), ('time_index', false), ('date_of_birth', false), ('ignore', false), ('passthrough', false)) v(name, is_standard)")
+@query(f"SELECT t.name, count(CASE WHEN list_contains(t.fits, {_KINDS}) THEN 1 END) AS columns FROM (DESCRIBE orders), (VALUES ('numeric', ['Integer', 'Double']), ('category', ['Categorical']), ('time_index', ['Integer', 'Double', 'Datetime']), ('date_of_birth', ['Datetime'])) t(name, fits) GROUP BY t.name")
 def tag_catalog(spark, sf_dir):
-    return catalog.list_semantic_tags(spark).select("name", "is_standard")
+    """How many columns of orders each tag that the catalogue binds to types fits."""
+    t = TypedTable.init(_table(spark, sf_dir, "orders"), validate=False)
+    found = spark.createDataFrame([(type(k).__name__,) for k in t.logical_types.values()], "kind string")
+    tags = catalog.list_semantic_tags(spark).where("valid_logical_types is not null")
+    return tags.join(found, F.array_contains("valid_logical_types", F.col("kind")), "left").groupBy("name").agg(F.count("kind").alias("columns"))
 
 
 @query("SELECT format, count(*) AS count, round(sum(o_totalprice), 2) AS total, true AS same_schema FROM orders, (VALUES ('csv'), ('parquet'), ('orc'), ('arrow')) f(format) GROUP BY format")

@@ -11,12 +11,12 @@ from .config import config
 from .functions import logical_types as L
 from .operators import dependence as depend
 from .operators import frequency, outliers
-from .operators.table import TypedTable, init_series, is_schema_valid, typed_series
+from .operators.table import TypedTable, concat_columns, init_series, is_schema_valid, typed_series
 from .plans import inference
-from .plans.registry import TypeSystem
+from .plans.registry import OfValues, TypeSystem
 from .queries import INFERRED, ORACLE_SQL, _table, _typed, query
 from .scratch import fresh_path
-from .sources import files
+from .sources import arrow_source, files
 
 
 def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -401,18 +401,123 @@ def frequency_range(spark, sf_dir):
     return _rows(spark, [(found["actual_range_start"][:10], found["actual_range_end"][:10], clean.count())], "first string, last string, n long")
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS alias, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) AS n FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2005-12-31', INTERVAL 1 DAY)) AS d) WHERE {w}" for a, w in (("B", "isodow(d) < 6 AND d >= DATE '1995-01-02'"), ("M", "d = last_day(d)"), ("SM-15", "(d = last_day(d) OR day(d) = 15)"), ("QS-JAN", "day(d) = 1 AND month(d) % 3 = 1"), ("A-DEC", "month(d) = 12 AND day(d) = 31"), ("W-MON", "isodow(d) = 1"))))
+_SPAN = "SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders"
+_FITS = {"B": "isodow(d) < 6", "M": "d = last_day(d)", "SM-15": "d = last_day(d) OR day(d) = 15", "QS-JAN": "day(d) = 1 AND month(d) % 3 = 1", "A-DEC": "month(d) = 12 AND day(d) = 31", "W-MON": "isodow(d) = 1"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS alias, row_number() OVER (ORDER BY d) - 1 AS pos, strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS d FROM ({_SPAN})) WHERE {w}" for a, w in _FITS.items()))
 def frequency_series(spark, sf_dir):
-    """The series that aliases stand for."""
-    firsts = {"B": (1995, 1, 2), "M": (1995, 1, 31), "SM-15": (1995, 1, 15), "QS-JAN": (1995, 1, 1), "A-DEC": (1995, 12, 31), "W-MON": (1995, 1, 2)}
+    """The series that aliases stand for between the first and last day of orders, with their places."""
+    span = _table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("z")).first()
+    fits = {"B": lambda d: d.weekday() < 5, "M": lambda d: (d + dt.timedelta(1)).day == 1, "QS-JAN": lambda d: d.day == 1 and d.month % 3 == 1, "A-DEC": lambda d: (d.month, d.day) == (12, 31), "W-MON": lambda d: d.weekday() == 0}
+    fits["SM-15"] = lambda d: d.day == 15 or fits["M"](d)
     out = None
-    for alias, first in firsts.items():
-        made = frequency.series(spark, alias, dt.datetime(*first), dt.datetime(2005, 12, 31))
-        row = made.agg(F.lit(alias).alias("alias"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last"), F.count(F.lit(1)).alias("n"))
+    for alias, fit in fits.items():
+        first = next(d for i in range(400) if fit(d := span.a + dt.timedelta(i)))
+        made = frequency.series(spark, alias, dt.datetime.combine(first, dt.time()), dt.datetime.combine(span.z, dt.time()))
+        row = made.select(F.lit(alias).alias("alias"), "pos", F.date_format("ts", "yyyy-MM-dd").alias("day"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query(
+    """WITH n AS (SELECT count(DISTINCT o_orderstatus) AS k, count(DISTINCT o_orderdate) AS d FROM orders)
+    SELECT kind, CASE kind WHEN 'nothing' THEN 'datetime_series_is_empty' WHEN 'few' THEN CASE WHEN k < 15 THEN 'datetime_series_is_not_long_enough' END
+        WHEN 'unordered' THEN 'datetime_series_is_not_monotonic' ELSE 'datetime_series_freq_cannot_be_estimated' END AS message
+    FROM n, (VALUES ('nothing'), ('few'), ('unordered'), ('uneven')) v(kind)"""
+)
+def frequency_messages(spark, sf_dir):
+    """Why no frequency is estimated: for no timestamps, few, unordered, and such as follow no alias."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    day = F.expr("timestamp_ntz'2000-01-01'")
+    uneven = F.timestamp_add("SECOND", F.col("o_orderkey") * F.col("o_orderkey"), day)
+    made = {
+        "nothing": (orders.select(F.lit(None).cast("timestamp_ntz").alias("ts")), None),
+        "few": (orders.select(F.timestamp_add("DAY", F.ascii("o_orderstatus"), day).alias("ts")), None),
+        "unordered": (orders.select("o_orderkey", F.col("o_orderdate").alias("ts")), ["o_orderkey"]),
+        "uneven": (orders.select(uneven.alias("ts")), None),
+    }
+    return _rows(spark, [(k, frequency.infer_frequency(df, "ts", order, debug=True)[1]["message"]) for k, (df, order) in made.items()], "kind string, message string")
+
+
+@query("SELECT measure, count(CASE WHEN measure = 'mutual_info' OR column_type <> 'VARCHAR' THEN 1 END) AS columns FROM (DESCRIBE orders), (VALUES ('pearson'), ('spearman'), ('mutual_info')) v(measure) GROUP BY measure")
+def measurable_columns(spark, sf_dir):
+    """How many columns of orders each measure of dependence takes."""
+    from .operators import catalog
+
+    t = TypedTable.init(_table(spark, sf_dir, "orders"), validate=False)
+    kinds = {"pearson": catalog.valid_pearson_types(), "spearman": catalog.valid_spearman_types(), "mutual_info": catalog.valid_mi_types()}
+    return _rows(spark, [(m, sum(isinstance(k, tuple(ts)) for k in t.logical_types.values())) for m, ts in kinds.items()], "measure string, columns long")
+
+
+@query("SELECT s_name AS email FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_custkey % 2 = 1")
+def validate_one_column(spark, sf_dir):
+    """The values of one column that are no addresses."""
+    names = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("email"))
+    some = _table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).otherwise(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@shop.com"))).alias("email"))
+    df = names.unionByName(some)
+    full = TypedTable.init_with_full_schema(df, TypedTable.init(df.limit(0), logical_types={"email": "EmailAddress"}).schema, validate=False)
+    return full["email"].validate_logical_type(return_invalid_values=True).select("email")
+
+
+class DistinctText(L.Unknown):
+    """Texts none of which comes twice."""
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {e}) = count({e}) THEN 'DistinctText' ELSE 'Unknown' END AS logical_type FROM customer" for c, e in (("c_name", "c_name"), ("pair", "c_mktsegment || (c_custkey // 2)"))))
+def infer_by_values(spark, sf_dir):
+    """A custom type that a rule tells from the values themselves."""
+    system = TypeSystem()
+    system.add_type(DistinctText, OfValues(lambda s: bool(s.dropna().is_unique and s.map(lambda v: isinstance(v, str)).all())), parent="Unknown")
+    df = _table(spark, sf_dir, "customer").select("c_name", F.concat("c_mktsegment", F.floor(F.col("c_custkey") / 2)).alias("pair"))
+    return _rows(spark, [(c, type(k).__name__) for c, k in inference.infer(df, system=system).items()], "column string, logical_type string")
+
+
+# -- tables against tables -----------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT * FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0) FULL JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 50000) USING (o_orderkey)
+    FULL JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O') USING (o_orderkey) FULL JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0) USING (o_orderkey)
+    FULL JOIN (SELECT o_orderkey, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey) USING (o_orderkey)"""
+)
+def five_tables_joined(spark, sf_dir):
+    """Five tables with one index, side by side."""
+    orders = _table(spark, sf_dir, "orders")
+    lines = _table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    parts = [
+        (orders.where("o_custkey % 2 = 0").select("o_orderkey", "o_custkey"), "Integer"),
+        (orders.where("o_totalprice > 50000").select("o_orderkey", "o_totalprice"), "Double"),
+        (orders.where("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus"), "Categorical"),
+        (orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderpriority"), "Categorical"),
+        (lines, "Double"),
+    ]
+    tables = [TypedTable.init(df, index="o_orderkey", logical_types={"o_orderkey": "Integer", df.columns[1]: kind}, validate=False) for df, kind in parts]
+    return concat_columns(tables).df
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber < 5), b AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 40)
+    SELECT *, 'left' AS _side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""
+)
+def differing_rows(spark, sf_dir):
+    """Rows that one of two tables lacks, as often as it lacks them."""
+    kinds = {"l_orderkey": "Integer", "l_linenumber": "Integer", "l_quantity": "Double"}
+    t = _typed(spark, sf_dir, "lineitem", kinds)
+    return t.filter("l_linenumber < 5").differing(t.filter("l_quantity < 40"))
+
+
+@query("SELECT 'same rows, dealt anew' AS tables, true AS equal UNION ALL SELECT 'a value changed', NOT (SELECT count(*) > 0 FROM orders WHERE o_orderkey % 100 = 1) UNION ALL SELECT 'a row twice', (SELECT count(*) = 0 FROM orders)")
+def deep_equality(spark, sf_dir):
+    t = _typed(spark, sf_dir, "orders", {"o_orderkey": "Integer", "o_totalprice": "Double", "o_orderpriority": "Categorical"})
+    others = {
+        "same rows, dealt anew": t.df.repartition("o_orderpriority"),
+        "a value changed": t.df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 1, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))),
+        "a row twice": t.df.unionByName(t.df.orderBy("o_orderkey").limit(1)),
+    }
+    return _rows(spark, [(k, t.equals(TypedTable(df, t.schema), deep=True)) for k, df in others.items()], "tables string, equal boolean")
+
+
 # -- files -------------------------------------------------------------------------------------------------------------
 
 
@@ -444,3 +549,47 @@ def files_by_name(spark, sf_dir):
         one = files.read_file(spark, path, content).df.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.lit(kind).alias("format"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, 'Ordinal' AS logical_type FROM orders")
+def typing_within_files(spark, sf_dir):
+    """Parquet files that are typed by what they carry, without a typing file; of three columns."""
+    order = sorted(r[0] for r in _table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())
+    t = _typed(spark, sf_dir, "orders", INFERRED["orders"] | {"o_orderpriority": L.Ordinal(order)}, index="o_orderkey")
+    folder = fresh_path(spark, "typed")
+    t.to_disk(folder, format="parquet")
+    back = files.read_typed(spark, f"{folder}/data/data", ["o_orderkey", "o_orderpriority", "o_orderdate"])
+    return back.df.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit(type(back.logical_types["o_orderpriority"]).__name__).alias("logical_type"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer")
+def arrow_columns(spark, sf_dir):
+    """Two columns of Arrow files that tasks wrote, read by runs of their batches."""
+    path = fresh_path(spark, "arrow")
+    arrow_source.write(_table(spark, sf_dir, "customer").repartition(3), path)
+    return arrow_source.read(spark, path, ["c_custkey", "c_mktsegment"], task_bytes=1 << 14)
+
+
+@query("SELECT * FROM (VALUES ('over data', true), ('pickle', true), ('to a URL', true), ('unknown format', true), ('a new folder', false)) v(guard, raised)")
+def sink_guards(spark, sf_dir):
+    """Which writes are refused."""
+    from .errors import FileExistsInPathError
+
+    t = _typed(spark, sf_dir, "nation", {"n_nationkey": "Integer", "n_name": "Unknown"})
+    folder = fresh_path(spark, "typed")
+    t.to_disk(folder, format="parquet")
+    tried = {
+        "over data": lambda: t.to_disk(folder, format="parquet"),
+        "pickle": lambda: t.to_disk(fresh_path(spark, "typed"), format="pickle"),
+        "to a URL": lambda: t.to_disk("http://example.com/x"),
+        "unknown format": lambda: t.to_disk(fresh_path(spark, "typed"), format="xyz"),
+        "a new folder": lambda: t.to_disk(fresh_path(spark, "typed"), format="orc"),
+    }
+    rows = []
+    for name, do in tried.items():
+        try:
+            do()
+            rows.append((name, False))
+        except (FileExistsInPathError, ValueError):
+            rows.append((name, True))
+    return _rows(spark, rows, "guard string, raised boolean")
