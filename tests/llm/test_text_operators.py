@@ -242,18 +242,60 @@ def test_large_counts_are_divided_exactly(spark):
 
 
 def test_words_that_share_a_hash_lead_to_another_seed(spark, monkeypatch):
-    """With seed 0 all words of 4 bytes or fewer get one hash in the driver's own run of the task function."""
-    made = phrases.inverted_files
-    seeds = []
+    """With seed 0 every word gets one hash."""
+    from pyspark.sql import functions as F
 
-    def spoilt(docs, seed=0, block_words=phrases.BLOCK_WORDS):
-        from pyspark.sql import functions as F
+    made, seeds = phrases._hash, []
 
+    def spoilt(seed):
         seeds.append(seed)
-        out = made(docs, seed, block_words)
-        return out.withColumn("h", F.lit(1).cast("long")) if seed == 0 else out
+        return F.lit(1).cast("long") if seed == 0 else made(seed)
 
-    monkeypatch.setattr(phrases, "inverted_files", spoilt)
+    monkeypatch.setattr(phrases, "_hash", spoilt)
     rows = phrase_rows()
     assert sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, SCHEMA)).collect()) == plain_phrases(rows)
     assert seeds == [0, 1]
+
+
+def test_words_that_share_a_blocks_first_hash(monkeypatch):
+    """All words of one length get one first hash; the second one keeps them apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    real, out = phrases._words, {}
+    monkeypatch.setattr(phrases, "ship", lambda spark: None)
+    monkeypatch.setattr(phrases, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+
+    class Docs:
+        sparkSession = None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    batch = pa.record_batch({"text": pa.array(["ab cd ab. abc xy", "cd", None]), "lang": pa.array(["en", "en", "de"])})
+    for spoilt in (False, True):
+        docs = Docs()
+        monkeypatch.setattr(phrases, "_words", (lambda b: (lambda x: (*x[:4], (x[2] - x[1]).astype(np.uint64), *x[5:]))(real(b))) if spoilt else real)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(phrases, "F", type("F", (), {"col": staticmethod(lambda c: Column()), "coalesce": staticmethod(lambda *a: Column()), "lit": staticmethod(lambda x: Column())}))
+            phrases.inverted_files(docs)
+        out[spoilt] = sorted(r for b in docs.run([batch]) for r in zip(*(b.column(i).to_pylist() for i in (4, 5, 6)), strict=True) if r[1] is not None)
+    assert out[True] == out[False] == [("en", "ab", 2), ("en", "abc", 1), ("en", "cd", 2), ("en", "xy", 1)]
+
+
+class Column:
+    def cast(self, kind):
+        return self
+
+    def alias(self, name):
+        return self
+
+
+def test_hashes_of_blocks_are_those_of_rows(spark):
+    langs, words = ["en", "", "é", "en"], ["a", "b\u0000c", "naïve", "x" * 500]
+    got = [r.h for r in spark.createDataFrame(list(zip(langs, words, strict=True)), "lang string, word string").select(phrases._hash(3).alias("h")).collect()]
+    assert got == phrases._hashed(3, langs, [w.encode() for w in words]).view("int64").tolist()

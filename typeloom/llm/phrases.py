@@ -6,14 +6,15 @@ list of what stands one place later: words give pairs, and pairs that are freque
 over all blocks, is a phrase's exact frequency. Blocks are bounded, so a task never holds more than one of them, however
 frequent a word or long a text is; what is shuffled are counts by block, so a frequent phrase has one row a block.
 
-Words are told apart by 64-bit hashes within a run. All words' hashes are compared with the words themselves; should two
-words share one, the run is repeated with another seed.
+Words go by 64-bit hashes from block to block. The hashes of all words are compared with the words themselves; should two words
+share one, all is done again with another seed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +30,17 @@ _FOLD[65:91] += 32
 _OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 #: Words of a block, about; a piece that is longer makes a block of its own.
-BLOCK_WORDS = 600_000
+BLOCK_WORDS = 1_000_000
 
 SCALE, LEAST, MOST_RANK, SHARE = 1_000_000, 10, 2000, 50
 SEEDS = 8
 
-_FILE = "block long, hashes binary, sizes binary, gaps binary, lang string, word string, h long, n long"
+_FILE = "block long, hashes binary, sizes binary, gaps binary, lang string, word string, n long"
 
 
-def _words(batch: pa.RecordBatch, seed: int):
-    """(raw, starts, ends, positions from 0, hashes, second hashes, language codes, languages) of a batch's words."""
+def _words(batch: pa.RecordBatch):
+    """(raw, starts, ends, positions from 0, two hashes, language codes, languages) of a batch's words. The hashes tell words apart
+    within a block."""
     raw, bounds = utf8(batch)
     raw = _FOLD[raw]
     ends_piece = _ENDS[raw]
@@ -55,22 +57,34 @@ def _words(batch: pa.RecordBatch, seed: int):
     langs = batch.column(1).dictionary_encode()
     names = [x or "" for x in langs.dictionary.to_pylist()]
     code = np.asarray(langs.indices, dtype=np.int64)[row]
-    keys = mixed(np.array([int.from_bytes(_digest(x, seed), "little") for x in names] or [0], dtype=np.uint64), 11)[code]
+    keys = mixed(np.array([xxhash.xxh64_intdigest(x.encode()) for x in names] or [0], dtype=np.uint64), 11)[code]
     codes, size = BYTE_CODES[raw], (ends - starts).astype(np.uint64)
-    h = mixed(runs_hashed(codes, BYTE_POWERS, starts, ends) + size + keys, seed)
+    h = mixed(runs_hashed(codes, BYTE_POWERS, starts, ends) + size + keys)
     small = lambda x: x.astype(np.int32)
     return raw, small(starts), small(ends), small(at), h, mixed(runs_hashed(codes, _OTHER_POWERS, starts, ends) + size + keys, 5), small(code), names
 
 
-def _digest(name: str, seed: int) -> bytes:
-    from hashlib import blake2b
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in an order that brings equal ones together, and where in it each run of equal ones begins."""
+    order = np.argsort(keys, kind="stable")
+    held = keys[order]
+    return order, np.flatnonzero(np.append(True, held[1:] != held[:-1]))
 
-    return blake2b(name.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+
+def _hash(seed: int) -> Column:
+    """The hash of a row's lang and word that all blocks share."""
+    return F.xxhash64(F.concat(F.lit(f"{seed}:"), F.length("lang").cast("string"), F.lit(":"), "lang", "word"))
+
+
+def _hashed(seed: int, langs: list[str], words: list[bytes]) -> np.ndarray:
+    """The same of many words."""
+    front = {x: f"{seed}:{len(x)}:{x}".encode() for x in set(langs)}
+    return np.array([xxhash.xxh64_intdigest(front[x] + w, 42) for x, w in zip(langs, words, strict=True)], dtype=np.uint64)
 
 
 def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each block's inverted file as a row (block, hashes, sizes and gaps: the words' hashes, the lengths of their lists, and all
-    lists end to end, each as its first position and the differences after it), and a row (lang, word, h, n) for each of its words."""
+    lists end to end, each as its first position and the differences after it), and a row (lang, word, n) for each of its words."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -83,32 +97,31 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
             step = np.cumsum([0] + [x[3][-1] + 2 for x in held[:-1]]).astype(np.int32)
             at = np.concatenate([x[3] + s for x, s in zip(held, step, strict=True)])
             where, part = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(held), dtype=np.int32), [len(x[0]) for x in held])
-            order = np.argsort(h, kind="stable")
-            sorted_h = h[order]
-            new = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
+            order, new = _grouped(h)
             sizes, shown = np.diff(np.append(new, len(h))), order[new]
+            if (other[order] != np.repeat(other[shown], sizes)).any():  # two words share the first hash: both tell them apart
+                order, new = _grouped(np.unique(np.stack([h, other], axis=1), axis=0, return_inverse=True)[1].ravel())
+                sizes, shown = np.diff(np.append(new, len(h))), order[new]
             gaps = np.diff(at[order], prepend=0)
             gaps[new] = at[shown]
-            block = task | made
-            wrong = order[other[order] != np.repeat(other[shown], sizes)]  # another word with the same hash
-            tell = np.concatenate([shown, wrong])
-            texts = [held[p][5][s : s + k].tobytes().decode() for p, s, k in zip(part[tell].tolist(), where[tell].tolist(), size[tell].tolist(), strict=True)]
-            langs = [held[p][7][c] for p, c in zip(part[tell].tolist(), np.concatenate([x[6] for x in held])[tell].tolist(), strict=True)]
-            n = len(tell)
+            block, n = task | made, len(shown)
+            texts = [held[p][5][s : s + k].tobytes() for p, s, k in zip(part[shown].tolist(), where[shown].tolist(), size[shown].tolist(), strict=True)]
+            langs = [held[p][7][c] for p, c in zip(part[shown].tolist(), np.concatenate([x[6] for x in held])[shown].tolist(), strict=True)]
+            hashes = _hashed(seed, langs, texts)
             none = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), none(pa.binary()), none(pa.binary()), none(pa.binary()), pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(h[tell].view(np.int64)), pa.array(np.append(sizes, np.zeros(len(wrong), dtype=sizes.dtype)))],
+                [pa.array(np.full(n, block)), none(pa.binary()), none(pa.binary()), none(pa.binary()), pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes)],
                 names=_NAMES,
             )
             one = lambda x: pa.array([x], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), one(sorted_h[new].astype("<u8").tobytes()), one(sizes.astype("<i4").tobytes()), one(_planes(gaps)), *(pa.nulls(1, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64()))],
+                [pa.array([block], pa.int64()), one(hashes.astype("<u8").tobytes()), one(sizes.astype("<i4").tobytes()), one(_planes(gaps)), *(pa.nulls(1, k) for k in (pa.string(), pa.string(), pa.int64()))],
                 names=_NAMES,
             )
             held, many, made = [], 0, made + 1
 
         for batch in slices(batches):
-            raw, starts, ends, at, h, other, code, names = _words(batch, seed)
+            raw, starts, ends, at, h, other, code, names = _words(batch)
             cuts = [0, len(h)]
             if len(h) > block_words:  # one long text: cut where pieces end
                 ends_of = np.flatnonzero(np.diff(at) > 1) + 1
@@ -208,7 +221,9 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_RANK, sha
     spark = docs.sparkSession
     for seed in range(SEEDS):
         files = written(inverted_files(docs, seed, block_words), "inverted")
-        words = written(files.where("word is not null").groupBy("h", "lang", "word").agg(F.sum("n").alias("f")), "words")
+        counts = files.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+        words = written(counts.select(_hash(seed).alias("h"), "lang", "word", "f"), "words")
+        del counts
         if not words.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").take(1):
             break
     else:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 
 import numpy as np
@@ -67,9 +68,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs whose results have been written: it does so once the driver's JVM has collected
-    what refers to them, which a driver with memory to spare may put off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    what refers to them, which a driver with memory to spare may put off for long. Twice, as what is freed first may hold more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def slices(batches, column: str = "text", most: int = SLICE_BYTES):
