@@ -30,7 +30,7 @@ _FOLD[65:91] += 32
 _OTHER_POWERS = Powers(0x9FB21C651E98DF25)
 
 #: Words of a block, about; a piece that is longer makes a block of its own.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 400_000
 
 SCALE, LEAST, MOST_RANK, SHARE = 1_000_000, 10, 2000, 50
 SEEDS = 8
@@ -97,6 +97,8 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
             step = np.cumsum([0] + [x[3][-1] + 2 for x in held[:-1]]).astype(np.int32)
             at = np.concatenate([x[3] + s for x, s in zip(held, step, strict=True)])
             where, part = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(held), dtype=np.int32), [len(x[0]) for x in held])
+            code, raws, names = np.concatenate([x[6] for x in held]), [x[5] for x in held], [x[7] for x in held]
+            held = []  # the parts of what has been joined are not needed any more
             order, new = _grouped(h)
             sizes, shown = np.diff(np.append(new, len(h))), order[new]
             if (other[order] != np.repeat(other[shown], sizes)).any():  # two words share the first hash: both tell them apart
@@ -105,8 +107,9 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
             gaps = np.diff(at[order], prepend=0)
             gaps[new] = at[shown]
             block, n = task | made, len(shown)
-            texts = [held[p][5][s : s + k].tobytes() for p, s, k in zip(part[shown].tolist(), where[shown].tolist(), size[shown].tolist(), strict=True)]
-            langs = [held[p][7][c] for p, c in zip(part[shown].tolist(), np.concatenate([x[6] for x in held])[shown].tolist(), strict=True)]
+            texts = [raws[p][s : s + k].tobytes() for p, s, k in zip(part[shown].tolist(), where[shown].tolist(), size[shown].tolist(), strict=True)]
+            langs = [names[p][c] for p, c in zip(part[shown].tolist(), code[shown].tolist(), strict=True)]
+            raws = h = other = None
             hashes = _hashed(seed, langs, texts)
             none = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +121,7 @@ def inverted_files(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORD
                 [pa.array([block], pa.int64()), one(hashes.astype("<u8").tobytes()), one(sizes.astype("<i4").tobytes()), one(_planes(gaps)), *(pa.nulls(1, k) for k in (pa.string(), pa.string(), pa.int64()))],
                 names=_NAMES,
             )
-            held, many, made = [], 0, made + 1
+            many, made = 0, made + 1
 
         for batch in slices(batches):
             raw, starts, ends, at, h, other, code, names = _words(batch)
