@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import config
+from .medcouples import whole_medcouple
 from .quantiles import quantiles
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -122,9 +123,13 @@ def box_plot(table, name: str, quantiles: dict | None = None, include_indices_an
 
 
 def sampled_medcouple(table, name: str, ignore_zeros: bool = False) -> float | None:
-    """The medcouple, to three digits, of the values or of a sample of medcouple_sample_size of them; None without values."""
+    """The medcouple, to three digits, of the values or of a sample of medcouple_sample_size of them, of all if that is None; None
+    without values."""
     values, _ = _values(table, name, ignore_zeros)
     most = config.get_option("medcouple_sample_size")
+    if most is None:
+        found = whole_medcouple(values)
+        return found if found is None else round(found, 3) + 0.0
     n = values.count()
     if n == 0:
         return None

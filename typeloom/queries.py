@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import logical_types as L
 from .operators import catalog, counts, describe, frequency, outliers
+from .operators.medcouples import whole_medcouple
 from .operators.table import TypedTable, concat_columns
 from .plans import inference
 from .plans.words import COMMON
@@ -207,6 +208,24 @@ def medcouple_bounds(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, low_bound double, high_bound double")
 
 
+_WHOLE = {"customer": "c_acctbal", "part": "p_retailprice", "lineitem": "l_quantity"}
+
+
+def _whole_sql(table: str, c: str) -> str:
+    """The median of all kernels, each distinct one with its number of pairs; values equal to the median count by their signs."""
+    return f"""SELECT * FROM (WITH v AS (SELECT {c} - (SELECT median({c}) FROM {table}) AS z, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1),
+    s AS (SELECT coalesce(sum(n) FILTER (z > 0), 0) AS p, coalesce(sum(n) FILTER (z < 0), 0) AS q, coalesce(sum(n) FILTER (z = 0), 0) AS k FROM v),
+    k AS (SELECT (a.z + b.z) / (a.z - b.z) AS h, a.n * b.n AS w FROM v a, v b WHERE a.z > 0 AND b.z < 0 UNION ALL SELECT 0, k FROM s UNION ALL SELECT 1, p * k + k * (k - 1) // 2 FROM s UNION ALL SELECT -1, q * k + k * (k - 1) // 2 FROM s),
+    g AS (SELECT h, sum(w) AS w FROM k GROUP BY h), c AS (SELECT h, w, sum(w) OVER (ORDER BY h) AS upto, sum(w) OVER () AS total FROM g)
+    SELECT '{c}' AS name, round(sum(h * ((upto - w <= (total - 1) // 2 AND (total - 1) // 2 < upto)::INT + (upto - w <= total // 2 AND total // 2 < upto)::INT)) / 2, 6) AS medcouple FROM c)"""
+
+
+@query(" UNION ALL ".join(_whole_sql(table, c) for table, c in _WHOLE.items()))
+def medcouple_of_all_rows(spark, sf_dir):
+    rows = [(c, round(whole_medcouple(_table(spark, sf_dir, table).select(F.col(c).alias("value"))), 6)) for table, c in _WHOLE.items()]
+    return spark.createDataFrame(rows, "name string, medcouple double")
+
+
 PAIRED = {"l_linenumber": "Integer", "l_quantity": "Double", "l_extendedprice": "Double", "l_discount": "Double", "l_tax": "Double"}
 _PAIRS = [(a, b) for i, a in enumerate(PAIRED) for b in list(PAIRED)[i + 1 :]]
 
