@@ -3,9 +3,10 @@
 Trees are grown on the driver over a bounded sample and sent to all tasks; every row is placed in a leaf of each tree.
 A query walks all trees through one priority queue and takes leaves in the order of how unlikely the sides are that lead
 to them, until they hold a share of the sample. How large a share finds enough of the true neighbours is measured on the
-sample itself, so that vectors with more structure are compared with fewer rows. Leaves are searched where their rows lie:
-a task holds neighbouring leaves of one tree, compares the queries that chose a leaf with that leaf's rows, reranks the
-nearest by exact distances and passes these on alone.
+sample itself, so that vectors with more structure are compared with fewer rows. A row's vector lies in one place alone, a
+cell of the first tree, with its leaves of all trees beside it. Which leaves occur in which cell is known from all rows, so
+a query goes to those cells that hold a row of a leaf it chose, as a bit for each leaf. There it is compared with these
+rows, once each, however many of the trees lead to them; the nearest are reranked by exact distances and passed on alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ SAMPLE_ROWS, TREES, LEAF = 20_000, 6, 12
 #: measured with so many of its rows, but never fewer than LEAST rows of it.
 RECALL, TRIED, LEAST = 0.95, 64, 2_000
 
-#: Rows that a task compares with queries at a time, as estimated from the sample; cells of a tree have fewer sample rows.
+#: Rows that a task compares with queries at a time, as estimated from the sample; cells hold fewer, or are one leaf, dealt over
+#: blocks. Cells and leaves are bounded by the sample, and so is the table of which leaves occur in which cell.
 BLOCK = 4096
 
 #: Queries and exact distances that a task handles at a time.
@@ -42,7 +44,8 @@ SLOPE = 1.702
 @dataclass
 class Forest:
     """Inner nodes of all trees: a normal, an offset, the spread about it and two children; a child below 0 is leaf -1 - child.
-    Leaves count through all trees, with the number of sample rows that each holds, and cells are runs of leaves of one tree."""
+    Leaves count through all trees, with the number of sample rows that each holds; cells are runs of leaves of the first tree,
+    whose leaves come first."""
 
     normals: np.ndarray
     offsets: np.ndarray
@@ -88,7 +91,8 @@ class Forest:
 
 def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, cell: int = BLOCK, seed: int = SEED) -> Forest:
     """Projects a node's points on a line between the half that is near a random one of them and the rest, and splits them there
-    by the median; by one along a random line where that does not part them. Subtrees of at most `cell` points are cells."""
+    by the median; by one along a random line where that does not part them. The first tree's subtrees of at most `cell` points are
+    cells."""
     rng = np.random.default_rng(seed)
     normals, offsets, spreads, children, roots, held, cells = [], [], [], [], [], [], []
     count = 0
@@ -115,7 +119,9 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, cell: int = B
         if parted is None:
             if own < 0:
                 own, count = count, count + 1
-            held.append(len(rows)), cells.append(own)
+            held.append(len(rows))
+            if not roots:
+                cells.append(own)
             return -len(held)
         normal, offset, spread, side = parted
         at = len(normals)
@@ -152,32 +158,45 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
-def nearest_of(q: np.ndarray, chosen: list[np.ndarray], x: np.ndarray, leaf: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_of(q: np.ndarray, chosen: np.ndarray, x: np.ndarray, leaves: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places among q and x, and exact distances, of the k rows of its chosen leaves that are nearest to each query, ties by ids.
-    Rows are sorted by leaf."""
-    names, start = np.unique(leaf, return_index=True)
-    end = np.append(start[1:], len(leaf))
+
+    chosen: for each query, whether it chose each leaf. leaves: each row's leaf in each tree.
+    """
+    wanted = np.zeros((len(q), len(x)), dtype=bool)
+    for leaf in leaves.T:
+        wanted |= chosen[:, leaf]
+    some = np.flatnonzero(wanted.any(axis=0))
+    x, ids, wanted = x[some], ids[some], wanted[:, some]
     norms = (x * x).sum(axis=1)
-    asks = np.repeat(np.arange(len(q)), [len(c) for c in chosen])
-    wanted = np.searchsorted(names, flat := np.concatenate(chosen))
-    some = np.flatnonzero((wanted < len(names)) & (names[np.minimum(wanted, len(names) - 1)] == flat))
-    some = some[np.argsort(wanted[some], kind="stable")]
-    asks, wanted = asks[some], wanted[some]
-    rough = np.full((len(q), len(x)), np.inf)
-    for a, b in zip(edge := np.flatnonzero(np.diff(wanted, prepend=-1)), np.append(edge[1:], len(wanted)), strict=True):
-        own, rows = asks[a:b], slice(start[wanted[a]], end[wanted[a]])
-        rough[own, rows] = norms[rows] - 2 * q[own] @ x[rows].T
+    rough = np.where(wanted, norms - 2 * q @ x.T, np.inf)
     if len(x) > k:
         last = np.partition(rough, k - 1, axis=1)[:, k - 1]
         last = last + 1e-9 * (norms.max() + (q * q).sum(axis=1))  # what rounding may have put behind it
         at, to = np.nonzero((rough <= last[:, None]) & (rough < np.inf))
     else:
-        at, to = np.nonzero(rough < np.inf)
+        at, to = np.nonzero(wanted)
     far = np.concatenate([np.zeros(0), *(np.sqrt(((x[to[i : i + EXACT]] - q[at[i : i + EXACT]]) ** 2).sum(axis=1)) for i in range(0, len(at), EXACT))])
     order = np.lexsort((ids[to], far, at))
     at, to, far = at[order], to[order], far[order]
     ok = np.arange(len(at)) - np.searchsorted(at, at) < k
-    return at[ok], to[ok], far[ok]
+    return at[ok], some[to[ok]], far[ok]
+
+
+def occupied(placed: DataFrame, leaves: int, cells: int) -> np.ndarray:
+    """For each cell, a bit for each leaf of any tree that one of the cell's rows lies in. Its size is bounded by the sample."""
+    found = placed.select("cell", F.explode("leaves").alias("leaf")).distinct().groupBy("cell").agg(F.collect_list("leaf").alias("leaves"))
+
+    def packed(batches):
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, leaves), dtype=bool)
+            bits[np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy()), batch.column(1).flatten().to_numpy()] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())], names=["cell", "bits"])
+
+    out = np.zeros((cells, (leaves + 7) // 8), dtype=np.uint8)
+    for row in found.mapInArrow(packed, "cell long, bits binary").collect():
+        out[row["cell"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -213,48 +232,50 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
     each = n / len(sample)
     forest = grow(sample, trees, cell=max(LEAF, int(BLOCK / each)))
     enough = share(forest, sample, min(k, max(1, len(sample) - 1)), recall)
-    blocks = np.maximum(1, np.ceil(np.bincount(forest.cell, forest.held) * each / BLOCK)).astype(np.int64)
+    blocks = np.maximum(1, np.ceil(np.bincount(forest.cell, forest.held[: len(forest.cell)]) * each / BLOCK)).astype(np.int64)
     sent = spark.sparkContext.broadcast((forest, blocks))
     kind = classes.schema["v"].dataType.simpleString()
-    fields = f"cell long, block long, asks boolean, class long, v {kind}, least long, leaves array<int>"
-    names = [f.split()[0] for f in fields.split(", ")]
+    fields = f"cell long, block long, class long, v {kind}, least long, leaves array<int>"
 
     def index(batches):
         forest, blocks = sent.value
         for batch in batches:
             if batch.num_rows:
-                leaf = forest.place(_matrix(batch.column(1), dim)).ravel()
-                rows = np.repeat(np.arange(batch.num_rows), len(forest.roots))
-                cell = forest.cell[leaf]
-                block = batch.column(0).to_numpy()[rows] % blocks[cell]
-                take = pa.array(rows)
-                leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1), pa.int32()), pa.array(leaf, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), pa.array(np.zeros(len(leaf), dtype=bool)), *(batch.column(i).take(take) for i in range(3)), leaves], names=names)
+                leaf = forest.place(_matrix(batch.column(1), dim))
+                cell = forest.cell[leaf[:, 0]]
+                block = batch.column(0).to_numpy() % blocks[cell]
+                leaves = pa.ListArray.from_arrays(pa.array(np.arange(0, leaf.size + 1, leaf.shape[1]), pa.int32()), pa.array(leaf.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), *batch.columns, leaves], names=["cell", "block", "class", "v", "least", "leaves"])
+
+    wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    asked = written(wanted.join(classes.select("v", "class"), "v").select("vec_id", "class", "v"), "queries")
+    queries = asked.groupBy("class").agg(F.first("v").alias("v")).repartition(spark.sparkContext.defaultParallelism)
+    placed = written(classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, fields), "placed")
+    where = spark.sparkContext.broadcast(occupied(placed, len(forest.held), len(blocks)))
 
     def search(batches):
-        forest, blocks = sent.value
+        (forest, blocks), occupied = sent.value, where.value
         for batch in batches:
             for i in range(batch.num_rows):
-                found = np.array(forest.search(_matrix(batch.column(1).slice(i, 1), dim)[0], enough), dtype=np.int64)
-                found = found[np.argsort(forest.cell[found], kind="stable")]
-                cell, at = np.unique(forest.cell[found], return_index=True)
+                chosen = np.zeros(len(forest.held), dtype=bool)
+                chosen[forest.search(_matrix(batch.column(1).slice(i, 1), dim)[0], enough)] = True
+                bits = occupied & np.packbits(chosen)
+                cell = np.flatnonzero(bits.any(axis=1))
                 many = blocks[cell]
-                cells, parts = np.repeat(cell, many), np.split(found, at[1:])
+                cells = np.repeat(cell, many)
                 block = np.arange(len(cells)) - np.repeat(np.cumsum(many) - many, many)
-                leaves = pa.array([parts[j] for j in np.repeat(np.arange(len(cell)), many)], pa.list_(pa.int32()))
                 same = pa.array(np.full(len(cells), i))
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(block), pa.array(np.ones(len(cells), dtype=bool)), *(batch.column(j).take(same) for j in (0, 1, 0)), leaves], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(block), *(batch.column(j).take(same) for j in (0, 1)), pa.array([bits[c].tobytes() for c in cells], pa.binary())], names=["cell", "block", "class", "v", "chosen"])
 
-    wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    asked = written(wanted.join(classes.select("v", "class"), "v").select("vec_id", "class"), "queries")
-    queries = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v").repartition(spark.sparkContext.defaultParallelism)
-    placed = classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, fields)
-    both = placed.unionByName(queries.mapInArrow(search, fields)).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    asks = queries.mapInArrow(search, f"cell long, block long, class long, v {kind}, chosen binary")
+    both = placed.unionByName(asks, allowMissingColumns=True).select("cell", "block", "class", "v", "least", "leaves", "chosen")
+    both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("chosen").isNotNull())
 
     def compare(batches):
         own, held, x = None, [], None
         for batch in batches:
-            cell, block, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cell, block = (batch.column(i).to_numpy() for i in range(2))
+            asks = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
             edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | np.diff(asks)) + 1
             for a, b in zip([0, *edge], [*edge, len(cell)], strict=True):
                 if b == a:
@@ -263,22 +284,20 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
                     own, held, x = key, [], None
                 part = batch.slice(a, b - a)
                 if not asks[a]:
-                    held.append((_matrix(part.column(4), dim), part.column(6).flatten().to_numpy(), part.column(3).to_numpy(), part.column(5).to_numpy()))
+                    held.append((_matrix(part.column(3), dim), part.column(5).flatten().to_numpy().reshape(b - a, -1), part.column(2).to_numpy(), part.column(4).to_numpy()))
                     continue
                 if not held:
                     continue
                 if x is None:
-                    x, leaf, names_, ids = (np.concatenate(y) for y in zip(*held, strict=True))
-                    order = np.argsort(leaf, kind="stable")
-                    x, leaf, names_, ids = x[order], leaf[order], names_[order], ids[order]
+                    x, leaves, names, ids = (np.concatenate(y) for y in zip(*held, strict=True))
                 for c in range(0, part.num_rows, ASKED):
                     some = part.slice(c, ASKED)
-                    chosen = np.split(some.column(6).flatten().to_numpy(), np.cumsum(some.column(6).value_lengths().to_numpy())[:-1])
-                    at, to, far = nearest_of(_matrix(some.column(4), dim), chosen, x, leaf, ids, k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(some.column(3).to_numpy()[at]), pa.array(names_[to]), pa.array(ids[to]), pa.array(far)], names=["query", "class", "least", "score"])
+                    bits = np.frombuffer(b"".join(some.column(6).to_pylist()), dtype=np.uint8).reshape(some.num_rows, -1)
+                    chosen = np.unpackbits(bits, axis=1).view(bool)
+                    at, to, far = nearest_of(_matrix(some.column(3), dim), chosen, x, leaves, ids, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(some.column(2).to_numpy()[at]), pa.array(names[to]), pa.array(ids[to]), pa.array(far)], names=["query", "class", "least", "score"])
 
-    near = both.mapInArrow(compare, "query long, class long, least long, score double")
-    best = near.groupBy("query", "class").agg(F.min("score").alias("score"), F.min("least").alias("least"))
+    best = both.mapInArrow(compare, "query long, class long, least long, score double")
     best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))).where(F.col("_n") <= k + 1)
     best = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     answers = best.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("near"))
