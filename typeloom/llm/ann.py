@@ -248,7 +248,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), *batch.columns, leaves], names=["cell", "block", "class", "v", "least", "leaves"])
 
     wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    asked = written(wanted.join(classes.select("v", "class"), "v").select("vec_id", "class", "v"), "queries")
+    named = [F.xxhash64("v").alias("_x"), F.hash("v").alias("_h")]  # 96 bits of hash for a vector, which joins without it
+    asked = written(wanted.select("*", *named).join(classes.select("class", *named), ["_x", "_h"]).select("vec_id", "class", "v"), "queries")
     queries = asked.groupBy("class").agg(F.first("v").alias("v")).repartition(spark.sparkContext.defaultParallelism)
     placed = written(classes.select("class", "v", F.col("ids")[0].alias("least")).mapInArrow(index, fields), "placed")
     where = spark.sparkContext.broadcast(occupied(placed, len(forest.held), len(blocks)))
