@@ -737,6 +737,33 @@ def test_nearest_recall(spark):
         assert hit / (10 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("sample, block", [(20_000, 256), (500, 64)])
+def test_nearest_finds_all_rows_of_the_chosen_leaves(spark, monkeypatch, sample, block):
+    """Over several cells, and over leaves that are dealt over blocks, results are those of a plain loop over the same leaves."""
+    grown, enough = [], []
+    grow, share = ann.grow, ann.share
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "grow", lambda *a, **k: grown.append(grow(*a, **k)) or grown[-1])
+    monkeypatch.setattr(ann, "share", lambda *a, **k: enough.append(share(*a, **k) // 4) or enough[-1])
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    by = defaultdict(list)
+    for r in sorted(ann.nearest(vectors).collect(), key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append(r.vec_id)
+    table = vectors.select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(table.embedding.to_numpy()).astype(np.float64), table.vec_id.to_numpy()
+    forest = grown[0]
+    assert forest.cell.max() > 3
+    leaves = forest.place(x)
+    assert set(by) == set(ids[ids % 100 == 0].tolist())
+    for at in np.flatnonzero(ids % 100 == 0):
+        held = np.isin(leaves, forest.search(x[at], enough[0])).any(axis=1) & (ids != ids[at])
+        some = np.flatnonzero(held)
+        far = np.sqrt(((x[some] - x[at]) ** 2).sum(axis=1))
+        assert len(some) < len(x) - 1
+        assert by[ids[at]] == ids[some[np.lexsort((ids[some], far))[:10]]].tolist()
+
+
 def test_nearest_odd_rows(spark):
     same = [1.0, 2.0]
     table = [(i, same) for i in range(30)] + [(100, [1.0, 2.5]), (200, None), (300, [0.0, 0.0]), (400, [float("nan"), 1.0]), (500, [1.0, None]), (600, [1.0]), (None, same), (100, [1.0, 2.5])]
