@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from typeloom.llm import ann, flac, jaccard, media, mixing, packing, queries, sharding, simhash, substrings, tokens, toxicity, urls
@@ -115,6 +116,19 @@ def test_token_files(spark, tables, source):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_token_ids_are_read_by_offset_from_stores_that_are_not_local(monkeypatch, tmp_path, dtype):
+    values = np.arange(5000).astype(dtype)
+    (tmp_path / "part.ids").write_bytes(values.tobytes())
+    near = tokens._between(str(tmp_path), "part.ids", dtype)
+    monkeypatch.setattr(tokens, "_store", lambda uri: (fs.SubTreeFileSystem(uri, fs.LocalFileSystem()), ""))
+    far = tokens._between(str(tmp_path), "part.ids", dtype)
+    for a, b in ((0, 0), (0, 1), (17, 4000), (4999, 5000), (5000, 5000), (0, 5000)):
+        assert near(a, b).tolist() == values[a:b].tolist()
+        got = far(np.int64(a), np.int64(b))
+        assert got.dtype == np.dtype(dtype) and got.tolist() == values[a:b].tolist()
+
+
 def check_packing(got, table):
     want = Counter()
     for d, x in table:

@@ -24,6 +24,9 @@ from .shared import mixed, ship, slices, utf8
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 
+#: Ids that a task reads at a time; a longer document is read alone.
+READ_IDS = 1 << 18
+
 #: Units whose ids an encoder keeps; slots of their hash table; units looked up at a time.
 KEPT_UNITS, TABLE_BITS, LOOKED_UP = 400_000, 20, 1 << 16
 
@@ -342,6 +345,19 @@ def _mapped(uri: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
+def _between(uri: str, name: str, dtype: str):
+    """A function of a and b that gives a flat file's values from place a to b: from a memory map if the store is local, else read by
+    their offset, so that no file needs to fit into memory."""
+    from pyarrow import fs
+
+    store, folder = _store(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        whole = _mapped(uri, name, dtype)
+        return lambda a, b: whole[a:b]
+    file, size = store.open_input_file(f"{folder}/{name}"), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(file.read_at(int(b - a) * size, int(a) * size), dtype=dtype)
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> dict:
     """Writes the token files of all documents to a folder that all executors share, and returns the manifest.
 
@@ -403,12 +419,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, before, n_ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, starts, docs, nulls = (_mapped(folder, f"{part}.{k}", t) for k, t in (("ids", dtype), ("starts", "<u8"), ("docs", "<i8"), ("nulls", "u1")))
+                starts, docs, nulls = (_mapped(folder, f"{part}.{k}", t) for k, t in (("starts", "<u8"), ("docs", "<i8"), ("nulls", "u1")))
+                ids = _between(folder, f"{part}.ids", dtype)
                 bounds = np.append(starts, n_ids).astype(np.int64)
-                for at in range(0, len(docs), 1024):
-                    to = min(at + 1024, len(docs))
+                edges = np.flatnonzero(np.diff(bounds[:-1] // READ_IDS)) + 1
+                for at, to in zip([0, *edges], [*edges, len(docs)], strict=True):
                     own = bounds[at : to + 1]
-                    flat = ids[own[0] : own[-1]].astype("<u4")
+                    flat = ids(own[0], own[-1]).astype("<u4")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.asarray(docs[at:to], dtype=np.int64), pa.int64(), mask=np.asarray(nulls[at:to], dtype=bool)),
