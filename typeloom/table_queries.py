@@ -430,7 +430,9 @@ def frequency_messages(spark, sf_dir):
     """Why no frequency is estimated: for no timestamps, few, unordered, and such as follow no alias."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     day = F.expr("timestamp_ntz'2000-01-01'")
-    uneven = F.timestamp_add("SECOND", F.col("o_orderkey") * F.col("o_orderkey"), day)
+    # A second a key, and squares modulo a prime as its fraction: steps differ, and the years of any keys stay within four digits.
+    rest = F.col("o_orderkey") % 999_983
+    uneven = F.timestamp_add("MICROSECOND", F.col("o_orderkey") * 1_000_000 + rest * rest % 999_983, day)
     made = {
         "nothing": (orders.select(F.lit(None).cast("timestamp_ntz").alias("ts")), None),
         "few": (orders.select(F.timestamp_add("DAY", F.ascii("o_orderstatus"), day).alias("ts")), None),
