@@ -22,6 +22,12 @@ from .shared import BYTE_CODES, BYTE_POWERS, mixed, runs_hashed, ship, slices, u
 #: together. Longer texts than TRAIN_TEXT bytes do not train.
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 6000, 48 << 20, 1 << 20
 
+#: Letters of training texts whose features are found at a time; one longer text makes a part of its own.
+FIT_LETTERS = 1 << 17
+
+#: Pairs of a sentence and a feature that a gradient step handles at a time.
+FIT_PAIRS = 1 << 17
+
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 
@@ -94,29 +100,36 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     """Fits the model. With no labels, or of one class alone, all weights are 0 and the leak is the smoothed rate of 1."""
     n = len(texts)
     rate = (sum(labels) + 0.5) / (n + 2)
-    weights = np.zeros(FEATURES)
     if not 0 < sum(labels) < n:
-        return Model(weights, -40.0, rate)
+        return Model(np.zeros(FEATURES), -40.0, rate)
     y = np.asarray(labels, dtype=float)
+    ends = np.cumsum([len(t) for t in texts])
 
     def parts(used=None):
-        for at in range(0, n, 256):
-            batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 256], pa.string())})
+        at = 0
+        while at < n:  # few letters at a time, as their arrays take many times their size
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FIT_LETTERS, side="right")))
+            batch = pa.RecordBatch.from_pydict({"text": pa.array(texts[at:to], pa.string())})
             yield at, *sentences(*utf8(batch), used)[:3]
+            at = to
 
-    held, held_toxic = np.zeros(FEATURES), np.zeros(FEATURES)
+    held, held_toxic = np.zeros(FEATURES, dtype=np.int32), np.zeros(FEATURES, dtype=np.int32)
     for at, sentence, feature, doc in parts():
         in_docs = np.unique((doc[sentence] + at) * FEATURES + feature)
-        held += np.bincount(in_docs % FEATURES, minlength=FEATURES)
-        held_toxic += np.bincount(in_docs % FEATURES, y[in_docs // FEATURES], minlength=FEATURES)
-    bad, good = held_toxic + 0.5, held - held_toxic + 0.5
+        for counts, own in ((held, in_docs), (held_toxic, in_docs[y[in_docs // FEATURES] > 0])):
+            some, many = np.unique(own % FEATURES, return_counts=True)
+            counts[some] += many.astype(np.int32)
+    kept = np.flatnonzero(held >= LEAST_DOCS)
+    bad, good = held_toxic[kept] + 0.5, held[kept] - held_toxic[kept] + 0.5
     odds = np.log(bad / (y.sum() + 1)) - np.log(good / (n - y.sum() + 1))
-    used = (held >= LEAST_DOCS) & (odds > 0)  # weights are 0 or more: others would have none
-    kept = np.flatnonzero(used)
-    start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)[kept]  # the lower bound of a feature's log odds ratio
+    start = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0)  # the lower bound of a feature's log odds ratio
+    kept, start = kept[odds > 0], start[odds > 0]  # weights are 0 or more: others would have none
+    del held, held_toxic, bad, good, odds
+    used, place = np.zeros(FEATURES, dtype=bool), np.zeros(FEATURES, dtype=np.int32)
+    used[kept], place[kept] = True, np.arange(len(kept))
     found, base = ([], [], []), 0
     for at, sentence, feature, doc in parts(used):
-        for own, x in zip(found, (sentence + base, feature, doc + at), strict=True):
+        for own, x in zip(found, (sentence + base, place[feature], doc + at), strict=True):
             own.append(x.astype(np.int32))
         base += len(doc)
     joined = []
@@ -124,23 +137,32 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         joined.append(np.concatenate(own))
         own.clear()
     sentence, feature, doc = joined
-    place = np.full(FEATURES, -1, dtype=np.int32)
-    place[kept] = np.arange(len(kept))
-    feature = place[feature]
+    # Ranges of pairs, none of which cuts a sentence: with the same sums as all at once, and no long copies of the pairs.
+    cuts = np.unique(np.append(np.searchsorted(sentence, sentence[::FIT_PAIRS]), len(sentence)))
+    ranges = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     theta = np.concatenate([start, [MOST_BIAS, np.log(0.02 / 0.98)]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = theta[-2] + np.bincount(sentence, theta[feature], minlength=len(doc))
+        z = np.zeros(len(doc))
+        for own in ranges:
+            first = sentence[own.start]
+            sums = np.bincount(sentence[own] - first, theta[feature[own]])
+            z[first : first + len(sums)] = sums
+        z += theta[-2]
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         leak = 1 / (1 + np.exp(-theta[-1]))
         none = np.exp(np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
         pull = y * none / np.maximum(1 - none, 1e-9) - (1 - y)
         by_sentence = p * pull[doc]
-        up = np.concatenate([np.bincount(feature, by_sentence[sentence], minlength=len(kept)) - RIDGE * theta[:-2] - SPARSE, [by_sentence.sum(), leak * pull.sum()]]) / n
+        by_feature = np.zeros(len(kept))
+        for own in ranges:
+            np.add.at(by_feature, feature[own], by_sentence[sentence[own]])
+        up = np.concatenate([by_feature - RIDGE * theta[:-2] - SPARSE, [by_sentence.sum(), leak * pull.sum()]]) / n
         m, v = 0.9 * m + 0.1 * up, 0.999 * v + 0.001 * up**2
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         theta[:-2] = np.maximum(theta[:-2], 0)
         theta[-2] = min(theta[-2], MOST_BIAS)
+    weights = np.zeros(FEATURES)
     weights[kept] = theta[:-2]
     return Model(weights, float(theta[-2]), float(1 / (1 + np.exp(-theta[-1]))))
 
